@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, tokencount
-from .common import documents
+from . import bpe, langid, packing, tokencount, toxicity
+from .common import documents, fold
 
 TOKEN_LIMIT = 2048
 
@@ -19,12 +20,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.learn(docs, labels.where(fold("doc_id", 5) != 0))
+    return toxicity.tag(docs, chain).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans"
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    filters = langid.learn(docs.where(fold("doc_id", 4) != 2))
+    return langid.identify(docs, filters).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_token_counts, op7_packing, op9_byte_bpe)}
+    return {f.__name__: f for f in (op5_token_counts, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, tokencount, toxicity
+from . import bpe, langid, linededup, packing, tokencount, toxicity
 from .common import documents, fold
 
 TOKEN_LIMIT = 2048
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.line_dedup(documents(spark, sf_dir, "doc_id", "text"), min_chars=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
@@ -39,8 +44,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_token_counts, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op5_token_counts, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": linededup.ORACLE_SQL}

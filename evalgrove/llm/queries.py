@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, packing, tokencount, toxicity
-from .common import documents, fold
+from . import bpe, langid, linededup, packing, simhash, tokencount, toxicity
+from .common import NULL_ID, documents, fold
 
 TOKEN_LIMIT = 2048
 
@@ -17,6 +17,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(documents(spark, sf_dir, "doc_id", "text"), shingle=3)
+    none = F.lit(NULL_ID)
+    return found.select(F.nullif("id", none).alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.nullif("component_id", none).alias("component_id"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
@@ -44,7 +50,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op5_token_counts, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op5_token_counts, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, packing, simhash, tokencount, toxicity
+from . import bpe, embeddings, langid, linededup, packing, quality, simhash, tokencount, toxicity
 from .common import NULL_ID, documents, fold
 
 TOKEN_LIMIT = 2048
@@ -23,10 +23,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.nullif("id", none).alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.nullif("component_id", none).alias("component_id"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = quality.document_statistics(documents(spark, sf_dir, "doc_id", "text"))
+    rules = quality.learn(statistics, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judged(statistics, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
+def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -50,7 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op5_token_counts, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op5_token_counts, op6_embedding_links, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

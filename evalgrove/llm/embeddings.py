@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, arrow_batches, over_texts, stored
-from .graph import connected_components
+from .graph import connected_components, dealt_blocks, forest
 
 TABLES, PROBES, SCALE = 5, 1, 5.0
 BLOCK = 512
@@ -131,32 +131,12 @@ def _found(x: np.ndarray, y: np.ndarray | None, keys_x: np.ndarray, keys_y: np.n
         yield i, j, counts
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of each one's component."""
-    least = np.arange(n)
-    while len(i):
-        m = np.minimum(least[i], least[j])
-        new = least.copy()
-        np.minimum.at(new, least[i], m)
-        np.minimum.at(new, least[j], m)
-        new = new[new]
-        while (new != new[new]).any():
-            new = new[new]
-        if (new[i] == new[j]).all():
-            return new
-        least = new
-    return least
-
-
 def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
     """vec_id, n_links, component_id and kept of each vector (vec_id, embedding, label)."""
     rows, classes = classes_of(vectors)
     table = filed(classes, tables, probes, scale)
     keyed = table.select("cls", F.explode("keys").alias("key")).distinct()
-    busy = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = keyed.join(busy, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
-    dealt = dealt.select("cls", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cls", "key", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = dealt_blocks(keyed, BLOCK)
 
     def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         cell, low, high = key
@@ -176,7 +156,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
             np.add.at(links, j[counts], n[i[counts]])
             lefts.append(i)
             rights.append(j)
-        root = _forest(len(cls), np.concatenate(lefts), np.concatenate(rights)) if lefts else np.arange(len(cls))
+        root = forest(len(cls), np.concatenate(lefts), np.concatenate(rights)) if lefts else np.arange(len(cls))
         out = pd.DataFrame({"cls": cls, "links": links, "root": cls[root]})
         return out[(out["links"] > 0) | (out["cls"] != out["root"])]
 

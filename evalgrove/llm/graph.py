@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, old = mark, now
         now = stored(_least_below(_least_neighbours(old)), "edges")
         dropped(old)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each one's component."""
+    least = np.arange(n)
+    while len(i):
+        m = np.minimum(least[i], least[j])
+        new = least.copy()
+        np.minimum.at(new, least[i], m)
+        np.minimum.at(new, least[j], m)
+        new = new[new]
+        while (new != new[new]).any():
+            new = new[new]
+        if (new[i] == new[j]).all():
+            return new
+        least = new
+    return least
+
+
+def dealt_blocks(keyed: DataFrame, block: int) -> DataFrame:
+    """(cls, key) rows of keys with two members or more, dealt to pairs of blocks: cls, key, own, low, high.
+
+    The members of a key are cut into blocks of about `block`; each pair of blocks (low, high) gets the
+    members of both, so that every two members of a key meet in one group and no group is large.
+    """
+    busy = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = keyed.join(busy, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
+    met = own.select("cls", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select("cls", "key", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))

@@ -138,11 +138,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     joined = docs.withColumn("line_dedup_id", _identity(docs)).join(
         drops.select(F.col("id").alias("line_dedup_id"), F.col("gone").alias("line_dedup_gone")), "line_dedup_id", "left"
     )
-    own = F.col("line_dedup_gone")
-    n = F.size(_split())
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), own)
-    text = F.when(own.isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(_split(), i)), "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_dropped"))
+    joined = joined.withColumn("line_dedup_lines", _split())
+    lines, own = F.col("line_dedup_lines"), F.col("line_dedup_gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), own)
+    text = F.when(own.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    return joined.select(
+        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_dropped")
+    )
 
 
 ORACLE_SQL = r"""

@@ -29,7 +29,7 @@ QUANTILES = [0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99
 
 
 def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with the columns of COUNTS, and others whose names begin with prefix + '_' for intermediate arrays."""
+    """docs with the columns of COUNTS under a prefix."""
     p = prefix + "_"
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumns({f"{p}words": F.array_remove(F.split(text, _SPACES), ""), f"{p}lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))})
@@ -50,20 +50,14 @@ def with_statistics(docs: DataFrame, prefix: str = "") -> DataFrame:
     at = F.col(f"{p}twice")
     covered = F.transform(at, lambda x, i: F.least(F.lit(5), F.coalesce(F.get(at, i + 1) - x, F.lit(5))))
     joined = F.col(f"{p}joined")
-    return out.withColumns(
-        {
-            f"{prefix}n_words": F.size(words).cast("long"),
-            f"{prefix}word_chars": F.length(joined).cast("long"),
-            f"{prefix}n_symbols": F.regexp_count(joined, F.lit("[#*$%&|<>]")).cast("long"),
-            f"{prefix}n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            f"{prefix}n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
-            f"{prefix}n_lines": F.size(lines).cast("long"),
-            f"{prefix}n_unique_words": F.size(F.array_distinct(words)).cast("long"),
-            f"{prefix}n_marks": F.regexp_count(joined, F.lit("[!?]")).cast("long"),
-            f"{prefix}n_upper": F.regexp_count(joined, F.lit(r"\p{Lu}")).cast("long"),
-            f"{prefix}n_digits": F.regexp_count(joined, F.lit("[0-9]")).cast("long"),
-        }
-    )
+    counts = {
+        "n_words": F.size(words), "word_chars": F.length(joined), "n_symbols": F.regexp_count(joined, F.lit("[#*$%&|<>]")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)),
+        "n_lines": F.size(lines), "n_unique_words": F.size(F.array_distinct(words)), "n_marks": F.regexp_count(joined, F.lit("[!?]")),
+        "n_upper": F.regexp_count(joined, F.lit(r"\p{Lu}")), "n_digits": F.regexp_count(joined, F.lit("[0-9]")),
+    }
+    # a generator, since filters on the counts would otherwise be moved below the arrays and compute them anew for each element
+    return out.select(*docs.columns, F.inline_outer(F.array(F.struct(*[counts[c].cast("long").alias(prefix + c) for c in COUNTS]))))
 
 
 def features(prefix: str = "") -> dict[str, Column]:

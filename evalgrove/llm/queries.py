@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, linededup, packing, quality, simhash, tokencount, toxicity
+from . import bpe, embeddings, langid, licenses, linededup, packing, quality, simhash, tokencount, toxicity
 from .common import NULL_ID, documents, fold
 
 TOKEN_LIMIT = 2048
@@ -31,6 +31,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.get("licenses", F.lit(0))
+    return licenses.scan(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), best["name"].alias("license"), best["coverage"].alias("coverage"), best["begin"].alias("begin"), best["end"].alias("end"), "licenses"
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
@@ -62,7 +69,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op5_token_counts, op6_embedding_links, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_license_scan, op5_token_counts, op6_embedding_links, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,70 @@
+"""Deterministic projections of the test tables onto trace, score, response and manifest shapes.
+
+Each view is one SQL text that Spark and DuckDB read alike; {table} stands for a table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+VIEWS = {
+    "fx_messages": """
+select concat('run-', cast(conv_id % 2 as varchar(20))) as run_id, cast(conv_id as varchar(20)) as item_id,
+       greatest(cast(sum(case when role='user' then 1 else 0 end) over (partition by conv_id order by turn
+         rows between unbounded preceding and current row) as bigint) - 1, 0) as turn_idx,
+       role, text as content, turn as seq
+from {conversations}""",
+    "fx_calls": """
+select concat('run-', cast(user_id % 4 as varchar(20))) as run_id, cast(user_id as varchar(20)) as item_id,
+       event_id as seq, ts, event_type,
+       case when event_type='error' then 'tool' when event_type='signup' then 'summariser' else 'assistant' end as role,
+       value as latency_ms, k,
+       case when event_id % 10 = 0 then null when k % 7 = 0 then true else false end as cached,
+       k*10 as prompt_tokens, k+5 as completion_tokens,
+       case when k % 11 = 0 then null else k*12+5 end as total_tokens,
+       case when k % 5 = 0 then null else k*0.0001e0 end as usd_cost,
+       case when k % 13 = 0 then 'unparseable_json' when k % 17 = 0 then 'truncated' end as format_violation,
+       case when event_type='error' and k % 3 = 0 then 'unknown_tool'
+            when event_type='error' and k % 3 = 1 then 'missing_arg' end as tool_error_reason
+from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from {events}) e""",
+    "fx_scores": """
+select o_orderkey as pair_id, case when o_orderkey % 2 = 0 then 'left' else 'right' end as arm,
+       cast(floor(o_orderkey/2.0) as bigint) as item_id,
+       case o_custkey % 3 when 0 then 'hallucination' when 1 then 'bias' else 'safety' end as axis,
+       d as overall,
+       greatest(1, least(5, d + o_orderkey % 3 - 1)) as helpfulness,
+       greatest(1, least(5, d + o_custkey % 3 - 1)) as accuracy,
+       greatest(1, least(5, d + o_custkey % 2)) as safety,
+       greatest(1, least(5, d - o_custkey % 2)) as communication,
+       greatest(1, least(5, d + (o_orderkey * 7 + o_custkey) % 4 - 1)) as human_score,
+       case when o_orderkey % 20 = 0 then false else true end as parse_ok, o_orderstatus
+from (select *, cast(substr(o_orderpriority,1,1) as bigint) as d from {orders}) o""",
+    "fx_responses": """
+select doc_id, lang, source, text as response, case when doc_id % 2 = 0 then true else false end as answerable,
+       concat(text, ' [[src', cast(doc_id % 5 as varchar(20)), '.md#', cast(doc_id % 3 as varchar(20)), ']]') as cited_response
+from {documents}""",
+    "fx_manifests": """
+select cast(s_suppkey as varchar(20)) as run_id, s_name as model_name, r_name as provider, n_name as dataset_sha256,
+       case when s_suppkey % 3 = 0 then null else concat('g', cast(s_suppkey % 2 as varchar(20))) end as guardrails_sha256
+from {supplier} join {nation} on s_nationkey=n_nationkey join {region} on n_regionkey=r_regionkey""",
+}
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A projection as a DataFrame."""
+    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in VIEWS[name]}
+    return spark.sql(VIEWS[name], **used)
+
+
+def with_views(body: str) -> str:
+    """DuckDB SQL: body after definitions of the views that it names."""
+    used = [v for v in VIEWS if v in body]
+    if not used:
+        return body
+    defined = ", ".join(f"{v} as ({VIEWS[v].format(**{t: t for t in TABLES})})" for v in used)
+    return f"with {defined} {', ' + body.strip()[5:] if body.strip().startswith('with ') else body}"

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import table, view
-from ..functions.intervals import disjoint, newcombe, rate, wilson, wilson_columns, wilson_sql
-from ..functions.rules import GUARDRAILS, RULES, all_matches, citations, first_match, matches_any, missing_needles, screen
+from ..functions.intervals import disjoint, newcombe, rate, wilson_columns, wilson_sql
+from ..functions.rules import GUARDRAILS, RULES, all_matches, citations, matches_any, missing_needles, screen
 from ..operators import rates, steps
-from ..vocabularies import ATTACK_TYPES, CUTS, DIMENSIONS, FORMAT_VIOLATIONS, GUARDRAIL_ACTIONS, STOP_REASONS
+from ..operators.checks import check_rows
+from ..vocabularies import ATTACK_TYPES, DIMENSIONS, GUARDRAIL_ACTIONS, STOP_REASONS, with_members
 from .registry import query
 
 TOOL_ERRORS = ["unknown_tool", "missing_arg", "bad_arg_type", "schema_invalid"]
@@ -36,8 +36,8 @@ def contains_check(spark, sf_dir):
     return rates.rates_by(rows, ["lang"], F.size(gone) == 0)
 
 
-@query("""select doc_id, cast(len(c) as bigint) as n_cited, cast(len(list_filter(c, x -> x not in ('src0.md#0', 'src1.md#1', 'src2.md#2'))) as bigint) as n_unresolved,
-  len(list_filter(c, x -> x not in ('src0.md#0', 'src1.md#1', 'src2.md#2'))) = 0 as passed
+@query("""select doc_id, cast(len(c) as bigint) as n_cited, cast(len(list_filter(c, lambda x: x not in ('src0.md#0', 'src1.md#1', 'src2.md#2'))) as bigint) as n_unresolved,
+  len(list_filter(c, lambda x: x not in ('src0.md#0', 'src1.md#1', 'src2.md#2'))) = 0 as passed
   from (select doc_id, list_distinct(regexp_extract_all(cited_response, '\\[\\[([^\\[\\]]+?\\.md#\\d+)\\]\\]', 1)) as c from fx_responses where cited_response is not null)""")
 def citation_grounding(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_responses").where("cited_response is not null")
@@ -46,7 +46,7 @@ def citation_grounding(spark, sf_dir):
     return rows.select("doc_id", F.size(cited).cast("long").alias("n_cited"), left.cast("long").alias("n_unresolved"), (left == 0).alias("passed"))
 
 
-@query(f"""select lang, cast(count(*) filter ({_sql_any('response', [p.replace(chr(92) + 'b', '') if False else p for p in RULES['quantitative_claim']])}) as bigint) as n_with_claims, count(*) as n
+@query(f"""select lang, cast(count(*) filter ({_sql_any('response', RULES['quantitative_claim'])}) as bigint) as n_with_claims, count(*) as n
   from fx_responses where response is not null and lang = 'en' group by lang""")
 def quantitative_claims(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_responses").where("response is not null and lang = 'en'")
@@ -67,8 +67,6 @@ def tool_checks(spark, sf_dir):
         F.count("*").alias("n"), F.count_if(F.col("role") == "assistant").alias("calls"), F.count_if(F.col("role") == "tool").alias("tools"),
         F.count_if(F.col("format_violation") != "truncated").alias("broken"), F.count_if(F.col("tool_error_reason") == "unknown_tool").alias("invented"), F.count("tool_error_reason").alias("errors"),
     )
-    from ..operators.checks import check_rows
-
     checks = check_rows(s, ["run_id", "item_id"], {
         "protocol_compliance": (F.lit(True), F.col("broken") == 0, 1.0 - F.col("broken") / F.col("n")), "tool_used": (F.lit(True), F.col("tools") > 0, F.col("tools")),
         "no_hallucinated_tool": (F.lit(True), F.col("invented") == 0, F.col("invented")), "model_call_budget": (F.lit(True), F.col("calls") < 12, F.col("calls")),
@@ -88,8 +86,6 @@ def guardrail_screen(spark, sf_dir):
     action = F.when(role == "user", screen(text, GUARDRAILS["harmful_intent"], "input_blocked", "input")["action"]).when(role == "assistant", screen(text, GUARDRAILS["unsafe_content"], "output_filtered", "output")["action"]).otherwise("none")
     acted = rows.select("role", action.alias("action"))
     totals = acted.groupBy("role").agg(F.count("*").alias("total"))
-    from ..vocabularies import with_members
-
     counts = with_members(acted.groupBy("role", "action").agg(F.count("*").alias("s")), acted.select("role").distinct(), "action", GUARDRAIL_ACTIONS, ["s"])
     return counts.join(totals, "role").select("role", "action", *wilson_columns(F.col("s"), F.col("total")))
 
@@ -196,8 +192,7 @@ def latency_cost(spark, sf_dir):
 _METRICS = {"compliance": "format_violation is null or format_violation = 'truncated'", "violation": "format_violation is not null and format_violation <> 'truncated'", "truncation": "coalesce(format_violation = 'truncated', false)", "tool_error": "tool_error_reason is not null"}
 
 
-@query(" union all ".join(f"select run_id, '{k}' as metric, {wilson_sql(f'count(*) filter ({v})', 'count(*)')} from fx_calls group by run_id" for k, v in _METRICS.items()).replace("select", "select", 1) if False else
-       "select * from (" + " union all ".join(f"select run_id, '{k}' as metric, {wilson_sql(f'count(*) filter ({v})', 'count(*)')} from fx_calls group by run_id" for k, v in _METRICS.items()) + ")")
+@query("select * from (" + " union all ".join(f"select run_id, '{k}' as metric, {wilson_sql(f'count(*) filter ({v})', 'count(*)')} from fx_calls group by run_id" for k, v in _METRICS.items()) + ")")
 def call_rates(spark, sf_dir):
     return rates.call_rates(view(spark, sf_dir, "fx_calls"), ["run_id"])
 
@@ -214,8 +209,6 @@ _STOP = "list_extract(['answered', 'tool_budget', 'tool_error_budget', 'model_ca
 @query(f"""with s as (select run_id, {_STOP} as stop_reason from fx_calls), m as (select unnest(['answered', 'tool_budget', 'tool_error_budget', 'model_call_budget', 'protocol_error', 'infrastructure_failed', 'input_blocked']) as stop_reason),
   r as (select distinct run_id from s) select r.run_id, m.stop_reason, count(s.stop_reason) as n from r cross join m left join s on s.run_id = r.run_id and s.stop_reason = m.stop_reason group by 1, 2""")
 def stop_counts(spark, sf_dir):
-    from ..vocabularies import with_members
-
     rows = view(spark, sf_dir, "fx_calls").select("run_id", F.get(F.array(*map(F.lit, STOP_REASONS)), (F.col("k") % 5).cast("int")).alias("stop_reason"))
     return with_members(rows.groupBy("run_id", "stop_reason").agg(F.count("*").alias("n")), rows.select("run_id").distinct(), "stop_reason", STOP_REASONS, ["n"])
 

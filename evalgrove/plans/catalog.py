@@ -3,3 +3,4 @@
 from . import rates  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 from . import agreement  # noqa: F401
+from . import corpora  # noqa: F401

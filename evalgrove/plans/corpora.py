@@ -1,0 +1,332 @@
+"""Queries over labels, manifests, linting, retrieval and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import table, view
+from ..functions import replies, rules
+from ..operators import compare, conversations, labels, lint, retrieval
+from .registry import query
+
+
+@query("""select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by event_id desc) as r from events) where r = 1""")
+def latest_label(spark, sf_dir):
+    return labels.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("""with r as (select doc_id as item_id, case when doc_id % 7 = 0 then 'old' else 'now' end as dataset_sha256, case when doc_id % 5 = 0 then 'x' else sha256(coalesce(text, '')) end as response_sha256 from documents union all select -1 - doc_id, 'now', 'x' from labels),
+  i as (select doc_id as item_id from documents), s as (select doc_id as item_id, sha256(coalesce(text, '')) as said from documents where doc_id % 11 <> 0)
+  select r.item_id, r.dataset_sha256, r.response_sha256, case when r.dataset_sha256 <> 'now' then 'other dataset' when i.item_id is null then 'unknown item' when s.said is null then 'no response' when r.response_sha256 <> s.said then 'other response' end as reject_reason
+  from r left join i using (item_id) left join s using (item_id)""")
+def label_provenance(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("response"))
+    sha = F.sha2(F.col("response").cast("binary"), 256)
+    records = docs.select(F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 7 == 0, "old").otherwise("now").alias("dataset_sha256"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(sha).alias("response_sha256"))
+    records = records.unionByName(table(spark, sf_dir, "labels").select((-1 - F.col("doc_id")).alias("item_id"), F.lit("now").alias("dataset_sha256"), F.lit("x").alias("response_sha256")))
+    items = docs.select(F.col("doc_id").alias("item_id"), "response")
+    return labels.provenance(records, items, items.where("item_id % 11 <> 0"), "now")
+
+
+@query("""select count(*) as n, count(distinct quality) as n_classes, count(distinct source) as n_runs, round(count(distinct l.doc_id) / (select count(*) from documents), 3) as coverage, max(c) = count(*) as degenerate
+  from (select l.*, d.source, count(*) over (partition by quality) as c from labels l join documents d using (doc_id)) l""")
+def label_balance(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    records = table(spark, sf_dir, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("item_id"), F.col("source").alias("run_id"), "quality")
+    return labels.balance(records, docs, "quality")
+
+
+_ORDER = """select doc_id, source, md5(concat('7|', cast(doc_id as varchar))) as deal, md5(concat('7|', source)) as group_deal, row_number() over (partition by source order by md5(concat('7|', cast(doc_id as varchar))), doc_id) as round from documents"""
+
+
+def _ordered(spark, sf_dir):
+    return labels.annotation_order(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 7)
+
+
+@query(_ORDER)
+def annotation_order(spark, sf_dir):
+    return _ordered(spark, sf_dir)
+
+
+@query(f"with o as ({_ORDER}), p as (select source, row_number() over (order by round, group_deal, doc_id) as pos from o), g as (select source, pos - lag(pos) over (partition by source order by pos) as gap from p) select source, min(gap) as min_gap from g group by source")
+def min_gap(spark, sf_dir):
+    return labels.smallest_gap(labels.positions(_ordered(spark, sf_dir), ["round", "group_deal", "doc_id"]), "source")
+
+
+@query("""select sha256(coalesce(text, '')) as digest, count(*) as n, min(doc_id) as first from documents group by 1 having count(*) > 1""")
+def duplicate_keys(spark, sf_dir):
+    return labels.duplicate_keys(table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")), ["digest"], "doc_id")
+
+
+@query("""select d.doc_id, d.source from documents d where lang = 'en' and (d.doc_id not in (select doc_id from labels where doc_id is not null) or d.doc_id in (select doc_id from labels where toxic = 1))""")
+def label_candidates(spark, sf_dir):
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "source", "lang")
+    own = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "item_id")
+    return labels.candidates(items, own, own.where("toxic = 1"), F.col("lang") == "en").select(F.col("item_id").alias("doc_id"), "source")
+
+
+@query("""select d.doc_id, l.quality, l.toxic from (select * from documents where lang = 'en' and text is not null) d join (select doc_id, arg_max(quality, toxic) as quality, max(toxic) as toxic from labels group by 1) l using (doc_id) where l.quality is not null""")
+def baseline_inputs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang = 'en' and text is not null").select("doc_id")
+    own = labels.latest(table(spark, sf_dir, "labels"), ["doc_id"], "toxic").where("quality is not null")
+    return docs.join(own, "doc_id").select("doc_id", "quality", "toxic")
+
+
+@query("""select event_id, request_sha, event_id > min(event_id) over (partition by request_sha) as is_replay from (select event_id, sha256(concat('{"event_type":"', event_type, '","user_id":', user_id, '}')) as request_sha from events)""")
+def replay_tags(spark, sf_dir):
+    return labels.replays(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), [F.col("event_type"), F.col("user_id")], "event_id").select("event_id", "request_sha", "is_replay")
+
+
+_DIGEST = "concat('dataset_sha256=', dataset_sha256, '|', coalesce('guardrails_sha256=' || guardrails_sha256, 'guardrails_sha256 null'))"
+
+
+@query(f"select sha256({_DIGEST}) as conditions, count(*) as n_runs, min(run_id) as first_run from fx_manifests group by 1")
+def comparable_runs(spark, sf_dir):
+    return compare.comparable_sets(view(spark, sf_dir, "fx_manifests"))
+
+
+@query("""with p as (select a.run_id as left_run, b.run_id as right_run, a as l, b as r from fx_manifests a join fx_manifests b on a.dataset_sha256 = b.dataset_sha256 and a.run_id < b.run_id),
+  f as (select left_run, right_run, unnest(['model_name', 'provider', 'guardrails_sha256']) as field, unnest([l.model_name, l.provider, l.guardrails_sha256]) as left_value, unnest([r.model_name, r.provider, r.guardrails_sha256]) as right_value from p)
+  select * from f where left_value is distinct from right_value""")
+def manifest_diff(spark, sf_dir):
+    m = view(spark, sf_dir, "fx_manifests")
+    same = (F.col("a.dataset_sha256") == F.col("b.dataset_sha256")) & (F.col("a.run_id") < F.col("b.run_id"))
+    return compare.manifest_diff(m, m, same, ["model_name", "provider", "guardrails_sha256"])
+
+
+@query("""with e as (select dataset_sha256, provider, guardrails_sha256, min(run_id) as run_id from fx_manifests group by 1, 2, 3)
+  select a.run_id as left_run, b.run_id as right_run, a.guardrails_sha256 as left_value, b.guardrails_sha256 as right_value from e a join e b on a.dataset_sha256 = b.dataset_sha256 and a.provider = b.provider and a.guardrails_sha256 is distinct from b.guardrails_sha256 and a.run_id < b.run_id""")
+def ablation_pairs(spark, sf_dir):
+    return compare.ablation_pairs(view(spark, sf_dir, "fx_manifests"), "guardrails_sha256", ["dataset_sha256", "provider"])
+
+
+@query("""select run_id, model_name, case when guardrails_sha256 is null then 'unknown' when guardrails_sha256 = 'g0' then 'clean' else 'dirty' end as tree, sha256(concat(model_name, '|', provider)) as agent_sha, row_number() over (order by dataset_sha256 desc, run_id desc) as place from fx_manifests""")
+def run_listing(spark, sf_dir):
+    g = F.col("guardrails_sha256")
+    tree = F.when(g.isNull(), "unknown").when(g == "g0", "clean").otherwise("dirty")
+    listed = view(spark, sf_dir, "fx_manifests").select("run_id", "model_name", tree.alias("tree"), F.sha2(F.concat_ws("|", "model_name", "provider").cast("binary"), 256).alias("agent_sha"), "dataset_sha256")
+    ordered = labels.positions(listed, [F.desc("dataset_sha256"), F.desc("run_id")])
+    return ordered.select("run_id", "model_name", "tree", "agent_sha", F.col("pos").alias("place"))
+
+
+@query("""select event_id, 'not_json' as code from events where event_id % 4 = 1""")
+def lint_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat("props", F.when(F.col("event_id") % 4 == 1, "x").otherwise("")).alias("line"))
+    return lint.diagnostics(rows, ["event_id"], lint.line_problems(F.col("line")))
+
+
+@query("""with i as (select pair_id, axis, case when pair_id % 3 = 0 then 'gender' else 'false_premise' end as subcategory, case when pair_id % 4 = 0 then 'direct' end as attack_type, axis = 'bias' as b from fx_scores)
+  select pair_id, 'subcategory_not_of_axis' as code from i where not ((axis = 'bias' and subcategory = 'gender') or (axis = 'hallucination' and subcategory = 'false_premise'))
+  union all select pair_id, 'attack_outside_safety' from i where attack_type is not null and axis <> 'safety' union all select pair_id, 'safety_without_attack' from i where axis = 'safety' and attack_type is null
+  union all select pair_id, 'unpaired_bias' from i where b""")
+def lint_schema(spark, sf_dir):
+    i = F.col("pair_id")
+    items = view(spark, sf_dir, "fx_scores").select("pair_id", i.cast("string").alias("id"), "axis", F.when(i % 3 == 0, "gender").otherwise("false_premise").alias("subcategory"), F.when(i % 4 == 0, F.lit("direct")).alias("attack_type"), F.array(F.lit("a question")).alias("turns"), F.array(F.lit("id"), F.lit("axis")).alias("fields"), *[F.lit(None).cast("string").alias(c) for c in ("counterfactual_id", "counterfactual_variant", "counterfactual_attribute")])
+    return lint.diagnostics(items, ["pair_id"], lint.item_problems(["id", "axis", "subcategory", "turns"]))
+
+
+@query("""with p as (select item_id, count(*) as n, count(distinct arm) as v, count(distinct axis) as a, count(distinct o_orderstatus) as s from fx_scores group by 1)
+  select item_id, 'pair_size' as code from p where n <> 2 union all select item_id, 'same_variant' from p where n = 2 and v < 2 union all select item_id, 'attribute_mismatch' from p where a > 1 union all select item_id, 'varies_o_orderstatus' from p where s > 1""")
+def lint_pairs(spark, sf_dir):
+    return lint.pair_problems(view(spark, sf_dir, "fx_scores"), "item_id", "arm", "axis", ["o_orderstatus"], F.lit(1))
+
+
+@query()
+def pair_text_diff(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_messages").where("role = 'user'").select("item_id", "turn_idx", "content")
+    after = rows.select("item_id", (F.col("turn_idx") - 1).alias("turn_idx"), F.col("content").alias("other"))
+    return rows.join(after, ["item_id", "turn_idx"]).select("item_id", "turn_idx", lint.differing_spans(F.col("content"), F.col("other")).alias("n_spans"))
+
+
+@query("""select lang, source, count(*) as n, count(*) filter (n_chars > 1000) as n_long, count(*) filter (answerable) as n_answerable, cast(grouping(lang, source) as bigint) as level from (select *, doc_id % 2 = 0 as answerable from documents) group by grouping sets ((), (lang), (source))""")
+def dataset_composition(spark, sf_dir):
+    return lint.composition(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), ["lang", "source"], {"n_long": F.col("n_chars") > 1000, "n_answerable": F.col("doc_id") % 2 == 0})
+
+
+def _searched(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return v.where("id % 100 = 0"), v
+
+
+_COS = "list_dot_product(cast(q.embedding as double[]), cast(p.embedding as double[])) / sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))) / sqrt(list_dot_product(cast(p.embedding as double[]), cast(p.embedding as double[])))"
+
+
+@query(f"""select query_id, chunk_id, round(score, 9) as score, place from (select q.vec_id as query_id, p.vec_id as chunk_id, {_COS} as score, row_number() over (partition by q.vec_id order by round({_COS}, 12) desc, p.vec_id) as place
+  from embeddings q cross join embeddings p where q.vec_id % 100 = 0) where place <= 5""")
+def topk_cosine(spark, sf_dir):
+    return retrieval.top_k(*_searched(spark, sf_dir), 5).withColumn("score", F.round("score", 9))
+
+
+@query(f"""with s as (select q.vec_id, max({_COS}) as score from embeddings q cross join embeddings p where q.vec_id % 100 = 0 and p.vec_id <> q.vec_id and p.vec_id % 100 <> 0 group by 1)
+  select floor(quantile_cont(score, 0.05) * 100) / 100 as floor, count(*) as n from s where vec_id % 200 = 0""")
+def retrieval_floor(spark, sf_dir):
+    asked, held = _searched(spark, sf_dir)
+    return retrieval.floor_of(retrieval.top_one(asked, held.where("id % 100 <> 0")), F.col("query_id") % 200 == 0)
+
+
+_Q = ", ".join(f"round(quantile_cont(value, {p / 100}), 6) as p{p}" for p in (0, 5, 10, 25, 50, 75, 90, 100))
+
+
+@query(f"select event_type, role, cast(grouping(event_type, role) as bigint) as level, count(value) as n, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as sd, {_Q} from (select event_type, role, latency_ms as value from fx_calls) group by grouping sets ((), (event_type), (role))")
+def group_percentiles(spark, sf_dir):
+    return retrieval.distribution(view(spark, sf_dir, "fx_calls").withColumnRenamed("latency_ms", "value"), [[], ["event_type"], ["role"]], "value")
+
+
+@query("""select vec_id, round(list_sum(list_transform(embedding, lambda x: cast(x as double) * x)), 6) as norm2, 1.0::double as unit_norm2 from embeddings where embedding is not null""")
+def normalised_vectors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding")
+
+    def square(c):
+        return F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x), 6)
+
+    return v.select("vec_id", square(F.col("embedding")).alias("norm2"), square(retrieval.normalised(F.col("embedding"))).alias("unit_norm2"))
+
+
+def _headed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n")).alias("text"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return retrieval.chunk_documents(_headed(spark, sf_dir), "name", "text")
+
+
+@query()
+def corpus_stats(spark, sf_dir):
+    return retrieval.corpus_stats(retrieval.chunk_documents(_headed(spark, sf_dir), "name", "text"))
+
+
+@query("""with a as (select url, sha256(html) as old from pages where page_id % 5 <> 0), b as (select url, sha256(case when page_id % 7 = 0 then html || '!' else html end) as new from pages where page_id % 6 <> 0)
+  select url, case when old is null then 'added' when new is null then 'removed' else 'changed' end as state from a full join b using (url) where old is distinct from new""")
+def index_staleness(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+
+    def side(rows, html):
+        return rows.select("url", F.sha2(html.cast("binary"), 256).alias("digest"))
+
+    return retrieval.staleness(side(p.where("page_id % 5 <> 0"), F.col("html")), side(p.where("page_id % 6 <> 0"), F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html"))), "url", "digest")
+
+
+_H = "sha256(concat(url, '|', sha256(html)))"
+
+
+@query(f"""select count(*) as n_files, sha256(concat_ws('-', {', '.join(f"cast(sum(cast(('0x' || substr({_H}, {1 + 12 * i}, 12)) as bigint)) as varchar)" for i in range(4))})) as digest from pages""")
+def corpus_digest(spark, sf_dir):
+    return retrieval.corpus_digest(table(spark, sf_dir, "pages").select("url", "html"), "url", "html")
+
+
+@query("select page_id, url from pages")
+def compose_corpus(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return retrieval.composed(p.where("page_id % 3 <> 0"), p.where("page_id % 3 = 0"), "url")
+
+
+@query("""with m as (select *, cast(ceil(length(coalesce(content, '')) / 4.0) as bigint) + 4 as tokens from fx_messages), w as (select *, max(turn_idx) over (partition by run_id, item_id) - turn_idx as back, sum(tokens) over (partition by run_id, item_id) as total, max(seq) over (partition by run_id, item_id) as newest from m),
+  r as (select *, sum(case when back < 2 then tokens else 0 end) over (partition by run_id, item_id) as recent from w)
+  select run_id, item_id, seq, tokens from r where case when total <= 120 then true when recent <= 120 then back < 2 else seq = newest end""")
+def context_fit(spark, sf_dir):
+    return conversations.context_fit(view(spark, sf_dir, "fx_messages"), ["run_id", "item_id"], 120, 2).select("run_id", "item_id", "seq", "tokens")
+
+
+_SEG = "select conv_id as run_id, case when conv_id % 4 <> 0 then conv_id - 1 end as previous_run_id, count(*) filter (role = 'user') as n_turns from conversations group by conv_id"
+
+
+def _segments(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy(F.col("conv_id").alias("run_id")).agg(F.count_if(F.col("role") == "user").alias("n_turns")).withColumn("previous_run_id", F.when(F.col("run_id") % 4 != 0, F.col("run_id") - 1))
+
+
+@query(f"with s as ({_SEG}) select * from s where run_id not in (select previous_run_id from s where previous_run_id is not null)")
+def conversation_tips(spark, sf_dir):
+    return conversations.tips(_segments(spark, sf_dir))
+
+
+@query(f"""with recursive s as ({_SEG}), c as (select run_id, run_id as member, previous_run_id as next from s where run_id not in (select previous_run_id from s where previous_run_id is not null)
+  union all select c.run_id, s.run_id, s.previous_run_id from c join s on c.next = s.run_id) select c.run_id, count(*) as n_segments, cast(sum(s.n_turns) as bigint) as total_turns from c join s on s.run_id = c.member group by 1""")
+def chain_turns(spark, sf_dir):
+    return conversations.chain_turns(_segments(spark, sf_dir))
+
+
+@query("select run_id, item_id, seq, role from fx_messages where role = 'user' or (role = 'assistant' and content is not null)")
+def memory_replay(spark, sf_dir):
+    return conversations.memory_replay(view(spark, sf_dir, "fx_messages")).select("run_id", "item_id", "seq", "role")
+
+
+@query()
+def parse_replies(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_messages").where("role = 'assistant'")
+    said = F.to_json(F.struct(F.col("content").alias("final"), F.array(F.lit("a.md#1")).alias("citations")))
+    text = F.when(F.col("seq") % 3 == 0, said).when(F.col("seq") % 3 == 1, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(F.col("content"))
+    return rows.select("item_id", "seq", replies.parse_reply(text).alias("r")).select("item_id", "seq", "r.kind", "r.violation", F.length("r.text").alias("chars"))
+
+
+@query("""select pair_id, case when pair_id % 4 = 1 then 'not JSON' when pair_id % 4 = 2 then 'wrong keys' when pair_id % 4 = 3 then 'score out of range' end as defect from fx_scores""")
+def parse_verdicts(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_scores")
+    i = F.col("pair_id")
+    base = [F.when((i % 4 == 3) & F.lit(c == "safety"), 7).otherwise(F.col(c)).alias(c) for c in ("helpfulness", "accuracy", "safety", "communication", "overall")]
+    whole = F.to_json(F.struct(*base, F.array(F.lit("a span")).alias("evidence"), F.lit("why").alias("rationale")))
+    text = F.when(i % 4 == 1, F.concat(whole, F.lit("}"))).when(i % 4 == 2, F.to_json(F.struct(*base))).otherwise(whole)
+    return rows.select("pair_id", replies.verdict_defect(text).alias("defect"))
+
+
+@query("""select event_id, case when event_id % 4 = 1 then 'missing_arg' when event_id % 4 = 2 then 'bad_arg_type' when event_id % 4 = 3 then 'schema_invalid' end as error from events""")
+def validate_args(spark, sf_dir):
+    i = F.col("event_id")
+    text = F.when(i % 4 == 1, "{}").when(i % 4 == 2, '{"k": true}').when(i % 4 == 3, "[1]").otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", replies.argument_error(text, {"k": "bigint"}).alias("error"))
+
+
+@query("""select doc_id, cast(1 + cast(contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'licensed under') as int) as bigint) as n_verified from documents where text is not null and lang = 'en'""")
+def verify_evidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("text is not null and lang = 'en'")
+    quotes = F.array(F.left(F.col("text"), F.lit(20)), F.lit("Licensed\n under"))
+    return rows.select("doc_id", F.size(rules.verbatim(quotes, F.col("text"))).cast("long").alias("n_verified"))
+
+
+@query()
+def judge_requests(spark, sf_dir):
+    pairs = view(spark, sf_dir, "fx_messages").groupBy("run_id", "item_id").agg(F.max_by("content", F.when(F.col("role") == "user", F.col("seq"))).alias("prompt"), F.max_by("content", F.when(F.col("role") == "assistant", F.col("seq"))).alias("response"))
+    blocks = F.concat_ws("\n\n", F.concat(F.lit("## Prompt\n"), F.trim("prompt")), F.concat(F.lit("## Response\n"), F.trim(rules.redacted(F.col("response")))))
+    return pairs.select("run_id", "item_id", blocks.alias("request"), rules.redactions(F.coalesce("response", F.lit(""))).cast("long").alias("n_redacted"))
+
+
+@query()
+def hedging_count(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.hedging_count(F.col("text")).alias("n_hedges"))
+
+
+@query("select page_id, sha256(concat('{\"query\":\"', lower(trim(regexp_replace(url, '\\s+', ' ', 'g'))), '\",\"p0\":5}')) as query_key from pages where url is not null")
+def query_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", rules.query_key(F.col("url"), F.lit(5)).alias("query_key"))
+
+
+@query(f"select lang, count(*) as n, '{rules.digest_of(rules.RULES)}' as rules_sha256, '{rules.digest_of(rules.GUARDRAILS)}' as guardrails_sha256 from documents group by lang")
+def rule_digests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.lit(rules.digest_of(rules.RULES)).alias("rules_sha256"), F.lit(rules.digest_of(rules.GUARDRAILS)).alias("guardrails_sha256"))
+
+
+@query("select event_id, place from (select event_id, row_number() over (order by ts desc, event_id desc) as place from events) where place <= 50")
+def runs_newest_first(spark, sf_dir):
+    top = table(spark, sf_dir, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    gathered = top.agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s")).select(F.posexplode(F.reverse("s")).alias("p", "x"))
+    return gathered.select("x.event_id", (F.col("p") + 1).cast("long").alias("place"))
+
+
+@query("select o_orderkey, md5(concat('3|', cast(o_orderkey as varchar))) as draw from orders order by draw, o_orderkey limit 100")
+def stability_subsample(spark, sf_dir):
+    draw = F.md5(F.concat_ws("|", F.lit("3"), F.col("o_orderkey").cast("string")).cast("binary"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", draw.alias("draw")).orderBy("draw", "o_orderkey").limit(100)
+
+
+@query("select 'documents' as dataset, doc_id as id, length(text) as chars from documents union all select 'benchmark', item_id, length(text) from benchmark")
+def tagged_union(spark, sf_dir):
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return d.select(F.lit("documents").alias("dataset"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("chars")).unionByName(b.select(F.lit("benchmark").alias("dataset"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("chars")))
+
+
+@query("""select pair_id, axis, case when parse_ok then overall end as overall, case when not parse_ok then 'not parsed' when human_score is null then 'no judgement' end as reason from fx_scores""")
+def judgement_rows(spark, sf_dir):
+    ok = F.col("parse_ok")
+    return view(spark, sf_dir, "fx_scores").select("pair_id", "axis", F.when(ok, F.col("overall")).alias("overall"), F.when(~ok, "not parsed").when(F.col("human_score").isNull(), "no judgement").alias("reason"))

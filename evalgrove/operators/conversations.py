@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 
 def tips(segments: DataFrame) -> DataFrame:
     """Segments that no other continues."""
@@ -22,6 +24,7 @@ def chains(segments: DataFrame, most: int = 64) -> DataFrame:
 
     Each round follows one link for all tips at once.
     """
+    shared_dir(segments.sparkSession)  # rounds are checkpointed there
     links = segments.select("run_id", "previous_run_id")
     reach = tips(links).select("run_id", F.col("run_id").alias("member"), F.col("previous_run_id").alias("next"), F.lit(0).alias("depth"))
     out = reach

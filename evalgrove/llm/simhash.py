@@ -242,9 +242,9 @@ def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS) -> Da
 
 def near_dedup(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS) -> DataFrame:
     """docs without the documents that are linked to one of smaller doc_id; of rows that repeat a doc_id one stays."""
-    gone = similar(docs, shingle, most_bits).where("id <> component_id").select("id")
+    gone = similar(docs, shingle, most_bits).where("id <> component_id").select(F.col("id").alias("near_dedup_id"))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    kept = docs.withColumn("near_dedup_id", own).join(gone, F.col("near_dedup_id") == F.col("id"), "left_anti")
+    kept = docs.withColumn("near_dedup_id", own).join(gone, "near_dedup_id", "left_anti")
     if docs.groupBy(own.alias("id")).count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["near_dedup_id"])
     return kept.select(*docs.columns)

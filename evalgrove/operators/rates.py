@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import rate, wilson_columns
-from ..vocabularies import CUTS, PRICES, with_members
+from ..vocabularies import CUTS, PRICES, RATE_READINGS, with_members
 
 
 def rates_by(rows: DataFrame, keys: list[str], flag: Column) -> DataFrame:
@@ -22,6 +22,20 @@ def threshold_curve(rows: DataFrame, keys: list[str], score: Column, below: bool
     return own.groupBy(*keys, "cut").agg(*rate(flag), F.count_if(~F.col("sub") & F.col("score").isNull()).alias("n_unjudged"), F.count_if("sub").alias("n_substituted"))
 
 
+def registered_curves(rows: DataFrame, keys: list[str], selects: dict[str, Column], substituted: Column) -> DataFrame:
+    """Curves of all registered readings: each has its dimension, direction, items (selects, by name) and rule for substituted answers.
+
+    Rows are spread over readings in one pass.
+    """
+    made = []
+    for name, dimension, below, counts in RATE_READINGS:
+        score = F.col(dimension).cast("double")
+        made.append(F.struct(F.lit(name).alias("metric"), F.lit(below).alias("below"), F.lit(counts).cast("boolean").alias("counts"), F.when(~substituted, score).alias("score"), selects[name].alias("chosen")))
+    long = rows.select(*keys, substituted.alias("sub"), F.inline(F.array(*made))).where("chosen").select("*", F.explode(F.array(*map(F.lit, CUTS))).alias("cut"))
+    flag = F.when(F.col("sub"), F.col("counts")).otherwise(F.when(F.col("below"), F.col("score") < F.col("cut")).otherwise(F.col("score") >= F.col("cut")))
+    return long.groupBy(*keys, "metric", "cut").agg(*rate(flag), F.count_if(~F.col("sub") & F.col("score").isNull()).alias("n_unjudged"), F.count_if("sub").alias("n_substituted"))
+
+
 def rate_over_members(rows: DataFrame, keys: list[str], column: str, members: list[str], events: Column, selected: Column) -> DataFrame:
     """A rate for each member of a vocabulary, those without rows too."""
     counts = rows.where(selected).groupBy(*keys, column).agg(F.count_if(F.coalesce(events, F.lit(False))).alias("s"), F.count(events).alias("n"))

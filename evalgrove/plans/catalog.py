@@ -5,3 +5,4 @@ from .registry import QUERIES, SQL  # noqa: F401
 from . import agreement  # noqa: F401
 from . import corpora  # noqa: F401
 from . import metrics  # noqa: F401
+from . import reports  # noqa: F401

@@ -32,6 +32,8 @@ from .graph import connected_components, dealt_blocks, forest
 
 TABLES, PROBES, SCALE = 5, 1, 5.0
 BLOCK = 512
+#: Cells of at most SMALL vectors are compared side by side; about LOT filed vectors make a task's group.
+SMALL, LOT = 64, 8192
 
 
 def _nearest_d8(y: np.ndarray) -> np.ndarray:
@@ -115,20 +117,14 @@ def filed(classes: DataFrame, tables: int, probes: int, scale: float) -> DataFra
     return stored(over_texts(classes, ["cls", "label", "n", "embedding"], "cls long, n long, unit array<double>, keys array<long>", rows), "filed-vectors")
 
 
-def _found(x: np.ndarray, y: np.ndarray | None, keys_x: np.ndarray, keys_y: np.ndarray, key: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Linked pairs (row of x, row of y, whether the pair counts here); within x where y is None."""
-    for at in range(0, len(x), 256):
-        close = x[at : at + 256] @ (x if y is None else y).T >= least
-        if y is None:
-            close = np.triu(close, k=at + 1)
-        i, j = np.nonzero(close)
-        i += at
-        counts = np.ones(len(i), dtype=bool)
-        for c in range(keys_x.shape[1]):
-            k = keys_x[i, c]
-            smaller = counts & (k < key)
-            counts[smaller] &= ~(keys_y[j[smaller]] == k[smaller, None]).any(axis=1)
-        yield i, j, counts
+def _counts(keys_x: np.ndarray, keys_y: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether linked pairs count in this cell: they have no cell of smaller key in common."""
+    out = np.ones(len(cell), dtype=bool)
+    for c in range(keys_x.shape[1]):
+        k = keys_x[:, c]
+        smaller = np.flatnonzero(out & (k < cell))
+        out[smaller] = ~(keys_y[smaller] == k[smaller, None]).any(axis=1)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
@@ -138,30 +134,48 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     keyed = table.select("cls", F.explode("keys").alias("key")).distinct()
     dealt = dealt_blocks(keyed, BLOCK)
 
-    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        cell, low, high = key
-        group = group.sort_values("cls", ignore_index=True)
-        cls, n, own = (group[c].to_numpy() for c in ("cls", "n", "own"))
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "low", "high", "cls"], ignore_index=True)
+        cls, n, own, cell, low, high = (group[c].to_numpy() for c in ("cls", "n", "own", "key", "low", "high"))
         x, keys = np.stack(group["unit"].to_list()), np.stack(group["keys"].to_list())
-        if low == high:
-            a = b = np.arange(len(cls))
-            pairs = _found(x, None, keys, keys, cell, least)
-        else:
-            a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-            pairs = _found(x[a], x[b], keys[a], keys[b], cell, least) if len(a) and len(b) else iter(())
+        start = np.concatenate([[True], (cell[1:] != cell[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        segment = np.cumsum(start) - 1
+        first = np.flatnonzero(start)
+        size = np.diff(np.append(first, len(cls)))
         links, lefts, rights = np.zeros(len(cls), dtype=np.int64), [], []
-        for i, j, counts in pairs:
-            i, j = a[i], b[j]
+
+        def count(i: np.ndarray, j: np.ndarray, counts: np.ndarray) -> None:
             np.add.at(links, i[counts], n[j[counts]])
             np.add.at(links, j[counts], n[i[counts]])
             lefts.append(i)
             rights.append(j)
+
+        # small cells side by side: each row with the next one of its cell, the one after that, and so on
+        small = np.flatnonzero((size <= SMALL)[segment] & (low == high))
+        for step in range(1, int(size[size <= SMALL].max(initial=0))):
+            i = small[small + step < len(cls)]
+            i = i[segment[i] == segment[i + step]]
+            for at in range(0, len(i), 4096):
+                a = i[at : at + 4096]
+                a = a[np.einsum("ij,ij->i", x[a], x[a + step]) >= least]
+                count(a, a + step, _counts(keys[a], keys[a + step], cell[a]))
+        for k in np.flatnonzero((size > SMALL) | (low[first] != high[first])):
+            rows_ = np.arange(first[k], first[k] + size[k])
+            one, two = (rows_, None) if low[first[k]] == high[first[k]] else (rows_[own[rows_] == low[first[k]]], rows_[own[rows_] == high[first[k]]])
+            for at in range(0, len(one), 256):
+                close = x[one[at : at + 256]] @ x[one if two is None else two].T >= least
+                i, j = np.nonzero(np.triu(close, k=at + 1) if two is None else close)
+                i, j = one[i + at], (one if two is None else two)[j]
+                count(i, j, _counts(keys[i], keys[j], cell[i]))
         root = forest(len(cls), np.concatenate(lefts), np.concatenate(rights)) if lefts else np.arange(len(cls))
         out = pd.DataFrame({"cls": cls, "links": links, "root": cls[root]})
-        return out[(out["links"] > 0) | (out["cls"] != out["root"])]
+        return out[(out["links"] > 0) | (out["cls"] != out["root"])].groupby(["cls", "root"], as_index=False).sum()[["cls", "links", "root"]]
 
     arrow_batches(vectors.sparkSession)
-    found = stored(dealt.join(table, "cls").groupBy("key", "low", "high").applyInPandas(verify, "cls long, links long, root long"), "vector-links")
+    dealt = stored(dealt, "dealt-vectors")
+    lots = max(1, dealt.count() // LOT)
+    lot = F.pmod(F.xxhash64("key", "low", "high"), F.lit(max(lots, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    found = stored(dealt.withColumn("lot", lot).join(table, "cls").groupBy("lot").applyInPandas(verify, "cls long, links long, root long"), "vector-links")
     parts = connected_components(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     per_class = (

@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Token labels come from labelled documents: words and word beginnings that tell toxic from other
-documents are chosen one after another, each for toxic documents that those before it leave
-unexplained, so that rare words of a copied document don't all count. A token of a toxic document that
+documents are chosen one after another; a toxic document counts half as much for each one that it
+already has, so that rare words of a copied document don't all count. A token of a toxic document that
 has a chosen feature is labelled toxic, every other token is not. A chain of two states is then fitted
 to such labelled stretches; forward and backward passes over whole texts give each token's probability,
 and the largest and the sum of these, through a logistic curve fitted on document labels, the score.
@@ -197,21 +197,22 @@ def _held(sample: DataFrame, features: list[str]) -> tuple[list[np.ndarray], np.
 
 
 def _chosen(features: list[str], held: list[np.ndarray], toxic: np.ndarray, least: int, most: int) -> list[str]:
-    """Features, each the best for the toxic texts that none before it is in."""
+    """Features, each the best for what the ones before it leave unexplained: a toxic text counts half as much for each chosen feature that it has."""
     owner = np.concatenate([np.full(len(x), i) for i, x in enumerate(held)]) if held else np.zeros(0, np.int64)
     which = np.concatenate(held) if held else owner
-    open_, out = np.ones(len(held), dtype=bool), []
-    n0 = max(1, int((toxic == 0).sum()))
+    weight, out = (toxic == 1).astype(float), []
+    n1, n0 = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
     b = np.bincount(which[toxic[owner] == 0], minlength=len(features)).astype(float)
     while len(out) < most:
-        live = open_[owner] & (toxic[owner] == 1)
-        a = np.bincount(which[live], minlength=len(features)).astype(float)
-        gain = np.where((a >= least) & (a > 2 * b), _gain(a, b, max(1, int((toxic == 1).sum())), n0), -1.0)
+        a = np.bincount(which, weights=weight[owner], minlength=len(features))
+        gain = np.where((a >= least) & (a > 2 * b), _gain(a, b, n1, n0), -1.0)
         k = int(gain.argmax()) if len(gain) else 0
         if not len(gain) or gain[k] < 10:
             return out
         out.append(features[k])
-        open_[owner[which == k]] = False
+        weight[np.unique(owner[which == k])] *= 0.5
+        open_ = which != k  # chosen once
+        owner, which = owner[open_], which[open_]
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 
 def latest(records: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The record of highest order for each key."""
@@ -53,8 +55,12 @@ def annotation_order(rows: DataFrame, group: str, key: str, seed: int) -> DataFr
 
 
 def positions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """pos of each row in a total order, without one task that holds all: ranges are sorted apart, and counts before each range added."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    """pos of each row in a total order, without one task that holds all: ranges are sorted apart, and counts before each range added.
+
+    Ranges are drawn by sampling, so they are checkpointed before both reads.
+    """
+    shared_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).checkpoint()
     own = ranged.withColumn("in_part", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     sizes = own.groupBy("part").agg(F.count("*").alias("c"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))

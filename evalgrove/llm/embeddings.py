@@ -186,3 +186,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     alone = rows.where("not can").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     none = F.lit(NULL_ID)
     return named.unionByName(alone).select(F.nullif("id", none).alias("vec_id"), "n_links", F.nullif("component_id", none).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+ORACLE_SQL = """
+with recursive ok as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and list_dot_product(cast(embedding as double[]), cast(embedding as double[])) > 0
+), pairs as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98
+), reach as (
+  select vec_id, vec_id as other from embeddings union select r.vec_id, p.b from reach r join pairs p on p.a = r.other
+), parts as (select vec_id, min(other) as component_id from reach group by vec_id),
+n as (select a, count(*) as n from pairs group by a)
+select vec_id, coalesce(n.n, 0) as n_links, component_id, vec_id = component_id as kept from parts left join n on n.a = parts.vec_id
+"""

@@ -73,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.ORACLE_SQL}
+    return {"op1_line_dedup": linededup.ORACLE_SQL, "op6_embedding_links": embeddings.ORACLE_SQL}

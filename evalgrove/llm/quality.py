@@ -186,8 +186,17 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return stored(with_statistics(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), *COUNTS), "statistics")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that base rules and learned list keep, with their own columns."""
-    rules = learn(document_statistics(docs.join(labels.select(F.col("doc_id").alias("labelled_id")).distinct(), F.col("doc_id") == F.col("labelled_id"), "left_semi")), labels)
+def good_documents(docs: DataFrame, labels: DataFrame, sample_docs: int = 40_000) -> DataFrame:
+    """The rows of docs that base rules and learned list keep, with their own columns.
+
+    The list is learned from about sample_docs labelled documents at most, chosen by a hash of the id; their ids are
+    broadcast, so texts stay where they are.
+    """
+    marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("labelled_id"), "quality")
+    share = min(1.0, sample_docs / max(1, marks.count()))
+    chosen = marks.where(F.pmod(F.xxhash64("labelled_id", F.lit("quality sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    ids = chosen.select("labelled_id").distinct()
+    known = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"), "left_semi")
+    rules = learn(document_statistics(known), chosen.withColumnRenamed("labelled_id", "doc_id"))
     prefix = "quality_rules_"
     return judged(with_statistics(docs, prefix), rules, prefix).where(f"{prefix}kept").select(*docs.columns)

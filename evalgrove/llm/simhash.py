@@ -146,56 +146,101 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Words of 64 bits in a wide fingerprint, and differing bits in all at which similar texts link: shingle
-#: sets of Jaccard similarity 0.8 differ in 38 of the 256 bits on average, with a deviation of 6.
-WIDE, WIDE_BITS = 4, 48
+#: Words of 64 bits in a wide fingerprint, and differing bits in all up to which texts are candidates: shingle
+#: sets of Jaccard similarity 0.8 differ in 38 to 48 of the 256 bits on average, with a deviation of 6.
+WIDE, WIDE_BITS = 4, 80
+#: Similarity of the shingle sets of two texts from which they are linked.
+SIMILAR = 0.8
 #: Distinct fingerprints per reference fingerprint of a table; nearest references a fingerprint is filed under.
 PER_PIVOT, NEAREST = 512, 3
-BLOCK = 1024
+#: Fingerprints, and texts, in a block that is compared at a time.
+BLOCK, TEXTS = 1024, 256
 
 
-def wide_fingerprint(text: str, shingle: int = 5) -> np.ndarray:
-    """WIDE words, each like fingerprint() but of a hash mixed otherwise."""
+def shingle_hashes(text: str, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
     words = _WORD(text.translate(_LOWER))
-    if not words:
-        return np.zeros(WIDE, dtype=np.uint64)
-    shingles = [" ".join(words)] if len(words) <= shingle else list(map(" ".join, zip(*(words[k:] for k in range(shingle)))))
+    shingles = [" ".join(words)] if 0 < len(words) <= shingle else map(" ".join, zip(*(words[k:] for k in range(shingle))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words, each like fingerprint() but of distinct shingles and of a hash mixed otherwise."""
     ones = np.zeros((WIDE, 64), dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(shingles), _ROWS):
-        h = np.array([digest(s) for s in shingles[at : at + _ROWS]], dtype=np.uint64)
+    for at in range(0, len(hashes), _ROWS):
+        h = hashes[at : at + _ROWS]
         for k in range(WIDE):
             m = (h ^ (h >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1))
             m ^= m >> np.uint64(29)
             ones[k] += np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _pivots(table: int, n: int) -> np.ndarray:
     return np.random.default_rng([table, n]).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS) -> DataFrame:
-    """id and component_id of each distinct doc_id, linked by wide fingerprints.
+def jaccard_roots(sets: list[np.ndarray], least: float, side: np.ndarray | None = None) -> np.ndarray:
+    """The least member of each set's component under links of exact Jaccard similarity `least` or more.
 
-    Each table holds a fingerprint's distances to many reference fingerprints; fingerprints meet that
-    have a reference in common among their NEAREST of a table. Those that meet are verified by all their
-    bits. References grow in number with the fingerprints, and tables with the references, so a
-    reference keeps about as many fingerprints at every size; pairs of similarity 0.8 meet with
-    probability 0.98 or more (measured; see the README).
+    With side, only links between members of different sides count. Pairs that are connected already aren't
+    compared, so n near copies take about n comparisons. Empty sets are similar to each other only.
+    """
+    size, root = np.array([len(s) for s in sets]), np.arange(len(sets))
+    full = np.flatnonzero(size)
+    if len(full) < len(sets):
+        root[size == 0] = np.flatnonzero(size == 0)[0]
+    if not len(full):
+        return root
+    _, codes = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+    marked = np.zeros(codes.max() + 1, dtype=bool)
+    for k, i in enumerate(full):
+        j = full[k + 1 :]
+        fits = (root[j] != root[i]) & (np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]) - 1e-9)
+        if side is not None:
+            fits &= side[j] != side[i]
+        if not fits.any():
+            continue
+        own = codes[start[k] : start[k] + size[i]]
+        marked[own] = True
+        both = np.add.reduceat(marked[codes[start[k + 1] :]], start[k + 1 :] - start[k + 1], dtype=np.int64)
+        marked[own] = False
+        linked = j[fits & (both >= least * (size[i] + size[j] - both) - 1e-9)]
+        if len(linked):
+            joined = np.unique(np.append(root[linked], root[i]))
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    """id and text hash of a document; rows that agree in both are one document."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("near_dedup_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("near_dedup_text")]
+
+
+def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS, least: float = SIMILAR) -> DataFrame:
+    """near_dedup_id, near_dedup_text and component of each document: those that links of similarity `least` connect.
+
+    Texts of equal shingle sets are one class, named by a hash of the set. Each table holds a fingerprint's
+    distances to many reference fingerprints; fingerprints meet that have a reference in common among
+    their NEAREST of a table. Those that meet and differ in most_bits at most connect candidates; all
+    pairs of connected candidates are then compared by the exact Jaccard similarity of their shingle
+    sets, and only these comparisons make links.
     """
     spark = docs.sparkSession
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [wide_fingerprint(t or "", shingle).view(np.int64) for t in batch.column(1).to_pylist()]
-            columns = np.stack(wide).T if wide else np.zeros((WIDE, 0), np.int64)
-            yield pa.record_batch([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["id", *names])
-
-    names = [f"w{k}" for k in range(WIDE)]
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
-    ids = stored(over_texts(own, ["id", "text"], "id long, " + ", ".join(f"{x} long" for x in names), rows), "wide-fingerprints")
-    classes = stored(ids.groupBy(*names).agg(F.min("id").alias("cls")), "fingerprint-classes")
+            sets = [shingle_hashes(t or "", shingle) for t in batch.column(2).to_pylist()]
+            wide = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, WIDE).view(np.int64).T
+            cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            columns = [cls, np.array([len(s) for s in sets], dtype=np.int64), *np.ascontiguousarray(wide)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns]], names=[*key, "cls", "size", *names])
+
+    key, names = ["near_dedup_id", "near_dedup_text"], [f"w{k}" for k in range(WIDE)]
+    own = docs.select(*_row_key(docs), "text")
+    ids = stored(over_texts(own, [*key, "text"], ", ".join(f"{x} long" for x in [*key, "cls", "size", *names]), rows), "wide-fingerprints")
+    classes = stored(ids.groupBy("cls").agg(F.min(F.struct(*key)).alias("row"), F.first(F.struct("size", *names)).alias("f")).select("cls", "row", "f.*"), "fingerprint-classes")
     n = classes.count()
     pivots = 1 << min(18, max(8, (n // PER_PIVOT).bit_length()))
     tables = 8 + (pivots >> 8).bit_length() - 1
@@ -212,39 +257,54 @@ def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS) -> Da
                 keys = np.concatenate(keys, axis=1)
                 yield pa.record_batch([pa.array(np.repeat(part.column("cls").to_numpy(), keys.shape[1])), pa.array(keys.ravel().astype(np.int64))], names=["cls", "key"])
 
-    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cls", ignore_index=True)
-        cls, words = group["cls"].to_numpy(), [group[x].to_numpy().view(np.uint64) for x in names]
+        cls, size, words = group["cls"].to_numpy(), group["size"].to_numpy(), [group[x].to_numpy().view(np.uint64) for x in names]
         left, right = (np.arange(len(cls)),) * 2 if key[1] == key[2] else (np.flatnonzero(group["own"] == key[1]), np.flatnonzero(group["own"] == key[2]))
         lefts, rights = [], []
-        word = (int(key[0]) // pivots) % WIDE  # the table's own word first: most pairs end there
         for at in range(0, len(left), 256):
-            i, j = np.nonzero(np.bitwise_count(words[word][left[at : at + 256], None] ^ words[word][right]) <= most_bits // 2)
-            i, j = left[i + at], right[j]
-            close = (i < j) if key[1] == key[2] else np.ones(len(i), dtype=bool)
-            i, j = i[close], j[close]
-            far = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
-            lefts.append(i[far <= most_bits])
-            rights.append(j[far <= most_bits])
+            part = left[at : at + 256]
+            far = sum(np.bitwise_count(w[part, None] ^ w[right]).astype(np.int16) for w in words)
+            fits = np.minimum(size[part, None], size[right]) >= least * np.maximum(size[part, None], size[right]) - 1e-9
+            i, j = np.nonzero((far <= most_bits) & fits)
+            i, j = part[i], right[j]
+            lefts.append(i[i != j])
+            rights.append(j[i != j])
         root = forest(len(cls), np.concatenate(lefts), np.concatenate(rights)) if lefts else np.arange(len(cls))
         out = pd.DataFrame({"a": cls, "b": cls[root]})
         return out[out["a"] != out["b"]]
 
+    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("cls").sort_values("cls", ignore_index=True)
+        cls, sets = group["cls"].to_numpy(), [shingle_hashes(t or "", shingle) for t in group["text"]]
+        out = pd.DataFrame({"a": cls, "b": cls[jaccard_roots(sets, least, None if key[1] == key[2] else group["own"].to_numpy())]})
+        return out[out["a"] != out["b"]]
+
     keyed = over_texts(classes, ["cls", *names], "cls long, key long", cells)
-    met = dealt_blocks(stored(keyed, "pivot-cells"), BLOCK).join(classes, "cls")
+    met = dealt_blocks(stored(keyed, "pivot-cells"), BLOCK).join(classes.drop("row"), "cls")
     arrow_batches(spark)
-    edges = met.groupBy("key", "low", "high").applyInPandas(verify, "a long, b long")
-    # rows that repeat a doc_id join the classes of their texts
-    named = ids.join(classes, names).select("id", "cls").distinct()
-    parts = connected_components(edges.unionByName(named.where("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b"))))
-    return named.select("id").distinct().join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component_id"))
-
-
-def near_dedup(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS) -> DataFrame:
-    """docs without the documents that are linked to one of smaller doc_id; of rows that repeat a doc_id one stays."""
-    gone = similar(docs, shingle, most_bits).where("id <> component_id").select(F.col("id").alias("near_dedup_id"))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    kept = docs.withColumn("near_dedup_id", own).join(gone, "near_dedup_id", "left_anti")
-    if docs.groupBy(own.alias("id")).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["near_dedup_id"])
+    edges = met.groupBy("key", "low", "high").applyInPandas(meet, "a long, b long")
+    candidates = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("key")).distinct()
+    chosen = candidates.join(classes.select("cls", "row.*"), "cls")
+    text = docs.select(*_row_key(docs), "text").join(chosen, key).select("cls", "key", "text")
+    dealt = dealt_blocks(candidates, TEXTS).join(stored(text, "candidate-texts").drop("key"), "cls")
+    links = dealt.groupBy("key", "low", "high").applyInPandas(verify, "a long, b long")
+    parts = connected_components(links).distinct()
+    return ids.select(*key, "cls").distinct().join(parts, F.col("cls") == F.col("node"), "left").select(*key, F.coalesce("component", "cls").alias("component"))
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS, least: float = SIMILAR) -> DataFrame:
+    """docs without the documents that links of similarity `least` or more connect to one of smaller doc_id.
+
+    Of equal ids the text of smaller hash counts as the smaller; of rows that repeat both, one stays. Rows
+    with a null doc_id come after all others, each of them a document of its own.
+    """
+    key = ["near_dedup_id", "near_dedup_text"]
+    found = stored(similar(docs, shingle, most_bits, least), "similar-documents")
+    first = found.groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
+    gone = found.join(first, "component").where(F.struct(*key) != F.col("first")).select(*key)
+    keyed = docs.select("*", *_row_key(docs))
+    kept = keyed.join(gone, key, "left_anti")
+    if keyed.groupBy(*key).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(key)
     return kept.select(*docs.columns)

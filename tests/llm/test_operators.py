@@ -400,3 +400,40 @@ def test_pipeline(spark):
         assert docs.columns == columns and 0 < docs.count() <= n
         n = docs.count()
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def five_word_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def jaccard(a, b):
+    a, b = five_word_shingles(a), five_word_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_keeps_texts_under_the_similarity(spark):
+    """Pairs of similarity 0.65 to 0.95: just those of 0.8 or more lose a document."""
+    rng = np.random.default_rng(12)
+    rows, expected = [], set()
+    for i in range(300):
+        words = [f"w{k}" for k in rng.integers(0, 100_000, 30 if i % 3 else 200)]
+        other = list(words)
+        for at in rng.integers(0, len(words), 1 if i % 3 else rng.integers(1, 9)):
+            other[at] = "changed"
+        if i % 3 == 1:
+            other = [*words[:-3], "x", "y", "z"]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        expected |= {2 * i} | ({2 * i + 1} if jaccard(rows[-2][1], rows[-1][1]) < 0.8 else set())
+    assert 350 < len(expected) < 590
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == expected
+
+
+def test_exact_similarity_links_match_brute_force():
+    rng = np.random.default_rng(13)
+    for side in (None, rng.integers(0, 2, 60)):
+        sets = [np.unique(rng.choice(12, rng.integers(0, 12))).astype(np.uint64) for _ in range(60)]
+        own = [set(s.tolist()) for s in sets]
+        linked = [(i, j) for i in range(60) for j in range(i) if (not own[i] and not own[j]) or ((side is None or side[i] != side[j]) and own[i] | own[j] and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]))]
+        assert simhash.jaccard_roots(sets, 0.8, side).tolist() == list(brute_components(range(60), linked).values())

@@ -151,8 +151,10 @@ def fingerprint_hex(fp: Column) -> Column:
 WIDE, WIDE_BITS = 4, 80
 #: Similarity of the shingle sets of two texts from which they are linked.
 SIMILAR = 0.8
-#: Distinct fingerprints per reference fingerprint of a table; nearest references a fingerprint is filed under.
-PER_PIVOT, NEAREST = 512, 3
+#: Keys a text is filed under, and the least shingles of a mixing that make up one: similarity s shares a key
+#: with probability 1 - (1 - s**PER_KEY)**KEYS, 0.9998 at 0.8, in a table of any size.
+KEYS, PER_KEY = 16, 4
+_MIXERS = np.random.default_rng(256).integers(0, 2**63, (KEYS * PER_KEY, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints, and texts, in a block that is compared at a time.
 BLOCK, TEXTS = 1024, 256
 
@@ -176,8 +178,15 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _pivots(table: int, n: int) -> np.ndarray:
-    return np.random.default_rng([table, n]).integers(0, 2**64, n, dtype=np.uint64)
+def filing_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS keys of a shingle set, each of the least members under PER_KEY mixings."""
+    least = np.full(len(_MIXERS), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), _ROWS // 16):
+        m = hashes[at : at + _ROWS // 16] * _MIXERS[:, :1]
+        m ^= m >> np.uint64(32)
+        m *= _MIXERS[:, 1:]
+        least = np.minimum(least, m.min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(KEYS, PER_KEY))], dtype=np.uint64)
 
 
 def jaccard_roots(sets: list[np.ndarray], least: float, side: np.ndarray | None = None) -> np.ndarray:
@@ -221,13 +230,12 @@ def _row_key(docs: DataFrame) -> list[Column]:
 def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS, least: float = SIMILAR) -> DataFrame:
     """near_dedup_id, near_dedup_text and component of each document: those that links of similarity `least` connect.
 
-    Texts of equal shingle sets are one class, named by a hash of the set. Each table holds a fingerprint's
-    distances to many reference fingerprints; fingerprints meet that have a reference in common among
-    their NEAREST of a table. Those that meet and differ in most_bits at most connect candidates; all
-    pairs of connected candidates are then compared by the exact Jaccard similarity of their shingle
-    sets, and only these comparisons make links.
+    Texts of equal shingle sets are one class, named by a hash of the set. Classes meet that share one of
+    their KEYS keys, which are made of the least hashes of their shingles; so the probability to meet
+    follows from the similarity alone and not from the number of documents. Those that meet and differ in
+    most_bits at most connect candidates; all pairs of connected candidates are then compared by the exact
+    Jaccard similarity of their shingle sets, and only these comparisons make links.
     """
-    spark = docs.sparkSession
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,27 +243,13 @@ def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS, least
             wide = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, WIDE).view(np.int64).T
             cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             columns = [cls, np.array([len(s) for s in sets], dtype=np.int64), *np.ascontiguousarray(wide)]
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns]], names=[*key, "cls", "size", *names])
+            keys = pa.array([filing_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], keys], names=[*key, "cls", "size", *names, "keys"])
 
     key, names = ["near_dedup_id", "near_dedup_text"], [f"w{k}" for k in range(WIDE)]
     own = docs.select(*_row_key(docs), "text")
-    ids = stored(over_texts(own, [*key, "text"], ", ".join(f"{x} long" for x in [*key, "cls", "size", *names]), rows), "wide-fingerprints")
-    classes = stored(ids.groupBy("cls").agg(F.min(F.struct(*key)).alias("row"), F.first(F.struct("size", *names)).alias("f")).select("cls", "row", "f.*"), "fingerprint-classes")
-    n = classes.count()
-    pivots = 1 << min(18, max(8, (n // PER_PIVOT).bit_length()))
-    tables = 8 + (pivots >> 8).bit_length() - 1
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys = []
-                for t in range(tables):
-                    distance = np.bitwise_count(part.column(f"w{t % WIDE}").to_numpy().view(np.uint64)[:, None] ^ _pivots(t, pivots))
-                    nearest = np.argpartition(distance.astype(np.int32) * pivots + np.arange(pivots, dtype=np.int32), NEAREST, axis=1)[:, :NEAREST]
-                    keys.append(nearest + t * pivots)
-                keys = np.concatenate(keys, axis=1)
-                yield pa.record_batch([pa.array(np.repeat(part.column("cls").to_numpy(), keys.shape[1])), pa.array(keys.ravel().astype(np.int64))], names=["cls", "key"])
+    ids = stored(over_texts(own, [*key, "text"], ", ".join(f"{x} long" for x in [*key, "cls", "size", *names]) + ", keys array<long>", rows), "wide-fingerprints")
+    classes = stored(ids.groupBy("cls").agg(F.min(F.struct(*key)).alias("row"), F.first(F.struct("size", *names, "keys")).alias("f")).select("cls", "row", "f.*"), "fingerprint-classes")
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cls", ignore_index=True)
@@ -280,9 +274,9 @@ def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS, least
         out = pd.DataFrame({"a": cls, "b": cls[jaccard_roots(sets, least, None if key[1] == key[2] else group["own"].to_numpy())]})
         return out[out["a"] != out["b"]]
 
-    keyed = over_texts(classes, ["cls", *names], "cls long, key long", cells)
-    met = dealt_blocks(stored(keyed, "pivot-cells"), BLOCK).join(classes.drop("row"), "cls")
-    arrow_batches(spark)
+    keyed = classes.select("cls", F.explode("keys").alias("key"))
+    met = dealt_blocks(stored(keyed, "filing-keys"), BLOCK).join(classes.select("cls", "size", *names), "cls")
+    arrow_batches(docs.sparkSession)
     edges = met.groupBy("key", "low", "high").applyInPandas(meet, "a long, b long")
     candidates = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("key")).distinct()
     chosen = candidates.join(classes.select("cls", "row.*"), "cls")

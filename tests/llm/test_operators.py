@@ -437,3 +437,16 @@ def test_exact_similarity_links_match_brute_force():
         own = [set(s.tolist()) for s in sets]
         linked = [(i, j) for i in range(60) for j in range(i) if (not own[i] and not own[j]) or ((side is None or side[i] != side[j]) and own[i] | own[j] and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]))]
         assert simhash.jaccard_roots(sets, 0.8, side).tolist() == list(brute_components(range(60), linked).values())
+
+
+def test_pairs_at_the_similarity_meet_in_tables_of_any_size():
+    """Filing takes nothing but the text itself, and pairs of similarity 0.8 share a key and enough bits."""
+    rng = np.random.default_rng(14)
+    met = 0
+    for i in range(1500):
+        n = (1, 5, 30)[i % 3]
+        union = rng.integers(0, 2**64, 10 * n, dtype=np.uint64)
+        a, b = np.sort(union[: 9 * n]), np.sort(union[n:])
+        bits = np.bitwise_count(simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)).sum()
+        met += bits <= simhash.WIDE_BITS and (simhash.filing_keys(a) == simhash.filing_keys(b)).any()
+    assert met >= 0.998 * 1500

@@ -6,6 +6,9 @@ without such words are matched from both ends. Coverage is the share of a templa
 
 A stretch is the text around the template's rarest words: a coverage of `least` leaves no room for all of
 the rarest ones to be missing, so every place that could reach it lies in one. Whole texts are searched.
+As copies that stand close together leave a stretch no word that occurs once, each occurrence of a rare
+word is also taken as an anchor by itself, and the words on both sides of it are aligned, over windows as
+long as the template's sides and longer.
 
 Rows: null and empty texts hold no license. Repeated rows are searched each by itself; an empty table
 gives an empty result; other columns are not read. Of equal coverages the first place counts.
@@ -87,6 +90,14 @@ class Template:
         self.places: dict[str, list[int]] = {}
         for i, w in enumerate(self.words):
             self.places.setdefault(w, []).append(i)
+        self.bag = Counter(self.words)
+
+    def around(self, words: list[str], i: int, j: int, slack: int) -> list[tuple[int, int]]:
+        """Aligned places with the template's word j at i, and at most slack words more than the template's on each side."""
+        begin = max(0, i - j - slack)
+        left = align(words[begin:i], self.words[:j])
+        right = align(words[i + 1 : i + len(self.words) - j + slack], self.words[j + 1 :])
+        return [*((a + begin, c) for a, c in left), (i, j), *((a + i + 1, c + j + 1) for a, c in right)]
 
     def find(self, words: list[str], at: dict[str, list[int]], least: float) -> tuple[float, int, int, int] | None:
         """Best coverage of at least `least`, words matched, and the first and last word of the place."""
@@ -101,7 +112,7 @@ class Template:
                 break
         slack = n // 2 + 4
         spans = sorted((max(0, i - j - slack), min(len(words), i - j + n + slack)) for w in rare for i in at.get(w, ()) for j in self.places[w])
-        best, end = None, -1
+        found, end = [], -1
         merged: list[list[int]] = []
         for a, b in spans:
             if merged and a <= end and b - merged[-1][0] <= 6 * n + 40:
@@ -111,9 +122,26 @@ class Template:
                 end = b
         for a, b in merged:
             got = align(words[a:b], self.words)
-            if len(got) >= need and (best is None or len(got) > best[1]):
-                best = (len(got) / n, len(got), a + got[0][0], a + got[-1][0])
-        return best
+            if len(got) >= need:
+                found.append((-len(got), a + got[0][0], a + got[-1][0]))
+        used = set()
+        for w in rare:
+            for i in at.get(w, ()):
+                for j in self.places[w]:
+                    near = Counter(words[max(0, i - j - slack) : i - j + n + slack])
+                    if (i, j) in used or (near & self.bag).total() < need:
+                        continue
+                    for more in (0, n - need, slack):
+                        got = self.around(words, i, j, more)
+                        if len(got) >= need:
+                            used.update(got)
+                            found.append((-len(got), got[0][0], got[-1][0]))
+                        if len(got) == n:
+                            break
+        if not found:
+            return None
+        matched, begin, last = min(found)
+        return -matched / n, -matched, begin, last
 
 
 @lru_cache(maxsize=4)

@@ -450,3 +450,19 @@ def test_pairs_at_the_similarity_meet_in_tables_of_any_size():
         bits = np.bitwise_count(simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)).sum()
         met += bits <= simhash.WIDE_BITS and (simhash.filing_keys(a) == simhash.filing_keys(b)).any()
     assert met >= 0.998 * 1500
+
+
+def test_licenses_that_a_text_repeats(spark):
+    """Copies close together, in mid-text, whole and with a changed word; the first one counts."""
+    short, apache = "Released under the MIT License.", licenses.TEMPLATES["Apache-2.0"]
+    rows = [
+        (f"alpha beta {short} {short} gamma", short), (f"one {short} a few words between {short} end", short), (f"x {short}\n{short}\n{short} y", short),
+        (f"alpha {apache} and {apache} omega", apache), (f"alpha {apache} {'word ' * 40} {apache} omega", apache),
+        (f"alpha {apache.replace('may not', 'cannot')} {apache.replace('obtain', 'get')} omega", None), ("alpha Released under this MIT License. Released under this MIT License. omega", None),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for i, (text, whole) in enumerate(rows):
+        assert got[i] and got[i][0]["coverage"] >= 0.8
+        if whole:
+            best = next(x for x in got[i] if x["matched"] == len(re.findall(r"[^\W_]+", whole)))
+            assert best["coverage"] == 1.0 and (best["begin"], best["end"]) == (text.index(whole), text.index(whole) + len(whole.rstrip(".")))

@@ -11,9 +11,10 @@ TABLES, PROBES and SCALE are for cosines of 0.98 and more; see the README for me
 
 Rows: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null
 label, link with nothing: no links, their own component, kept. Vectors of different lengths link with
-nothing of another length. Of rows that repeat a vec_id the one of smallest hash counts, and one row is
-returned. A null vec_id comes after all others. An empty table gives an empty result; other columns are
-not read.
+nothing of another length. Rows that repeat a vec_id, label and vector count as one, and one row is
+returned; different vectors of one vec_id, or of none, each count and are returned, in the order of their
+hashes. Those without a vec_id come after all others. Classes of equal vectors are named by a 64-bit hash.
+An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,14 +89,14 @@ def cell_keys(x: np.ndarray, labels: np.ndarray, tables: int, probes: int, scale
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (id and, if the vector can link, label and two hashes), and classes (cls, label, n, embedding) of equal vectors."""
+    """Rows (id and, if the vector can link, label and two hashes), and classes (cls, label, first row, n, embedding) of equal vectors."""
     own = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    if own.groupBy("id").count().where("count > 1").limit(1).count():
-        own = own.groupBy("id").agg(F.min_by(F.struct("label", "embedding"), F.struct(F.xxhash64("label", "embedding"), F.hash("label", "embedding"))).alias("v")).select("id", "v.label", "v.embedding")
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     can = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     named = own.withColumns({"can": F.coalesce(can, F.lit(False)), "h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), F.col("embedding"))})
-    classes = named.where("can").groupBy("label", "h1", "h2").agg(F.min("id").alias("cls"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    if named.groupBy("id").count().where("count > 1").limit(1).count():
+        named = named.withColumns({"size": F.size("embedding"), "unknown": F.xxhash64(F.transform("embedding", lambda x: x.isNull()))}).dropDuplicates(["id", "label", "h1", "h2", "size", "unknown"])
+    classes = named.where("can").groupBy("label", "h1", "h2").agg(F.xxhash64("label", "h1", "h2").alias("cls"), F.min(F.struct("id", "h1", "h2")).alias("first"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     return named.select("id", "can", "label", "h1", "h2"), stored(classes, "vector-classes")
 
 
@@ -179,13 +180,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     parts = connected_components(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     per_class = (
-        classes.select("label", "h1", "h2", "cls", "n").join(links, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+        classes.select("label", "h1", "h2", "cls", "first", "n").join(links, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
+        .select("label", "h1", "h2", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"))
     )
-    named = rows.where("can").join(per_class, ["label", "h1", "h2"]).select("id", "n_links", "component_id")
-    alone = rows.where("not can").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    firsts = per_class.groupBy("component").agg(F.min("first").alias("least"))
+    linked = per_class.drop("first").join(firsts, "component")
+    named = rows.where("can").join(linked, ["label", "h1", "h2"]).select("id", "n_links", F.col("least.id").alias("component_id"), (F.struct("id", "h1", "h2") == F.col("least")).alias("kept"))
+    alone = rows.where("not can").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     none = F.lit(NULL_ID)
-    return named.unionByName(alone).select(F.nullif("id", none).alias("vec_id"), "n_links", F.nullif("component_id", none).alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    return named.unionByName(alone).select(F.nullif("id", none).alias("vec_id"), "n_links", F.nullif("component_id", none).alias("component_id"), "kept")
 
 
 ORACLE_SQL = """

@@ -2,16 +2,17 @@
 
 Distinct hashes of lines that two or more documents hold are dealt to shards. A shard is one row: a
 minimal perfect hash whose numbers index arrays of fingerprints, document counts and first documents.
-Lines travel as hashes, ids and positions to the shard that answers for them; texts are joined by
-document only with the positions that go. A line's slot comes from one 64-bit hash and its fingerprint
+Lines travel as hashes, row keys and positions to the shard that answers for them; texts are joined by
+row key only with the positions that go. A line's slot comes from one 64-bit hash and its fingerprint
 is another one, so a wrong answer needs a collision of 128 bits.
 
 Hashes that hold more than one in HOT_SHARE of all lines, HOT_SHARE at most, make up a shard of their
 own that every task has; so no task gets the copies of one very common line.
 
-Rows: a null or empty text is one empty line. Keys shorter than min_chars stay. Rows that repeat a
-doc_id count as one document, and each loses the same lines. A null doc_id counts as one document after
-all others. An empty table gives an empty result. Other columns stay as they are.
+Rows: a null or empty text is one empty line. Keys shorter than min_chars stay. A document is a doc_id
+and its text, by a 64-bit hash of both: rows that repeat both count as one and lose the same lines;
+different texts of one doc_id, or of none, are documents of their own, in the order of their hashes. Those
+without a doc_id come after all others. An empty table gives an empty result. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -43,14 +44,19 @@ def _identity(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
 
+def _row() -> Column:
+    """Key of a document: the hash of its doc_id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
+
+
 def _split() -> Column:
     return F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """id, pos, h1 and h2 of each line whose key is long enough."""
-    lines = docs.select(_identity(docs).alias("id"), F.posexplode(_split()).alias("pos", "line")).select("id", "pos", line_key(F.col("line")).alias("key"))
-    return lines.where(F.length("key") >= min_chars).select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("fingerprint"), F.col("key")).alias("h2"))
+    """id, row, pos, h1 and h2 of each line whose key is long enough."""
+    lines = docs.select(_identity(docs).alias("id"), _row().alias("row"), F.posexplode(_split()).alias("pos", "line")).select("id", "row", "pos", line_key(F.col("line")).alias("key"))
+    return lines.where(F.length("key") >= min_chars).select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("fingerprint"), F.col("key")).alias("h2"))
 
 
 def _index_row(shard: int, h1: np.ndarray, h2: np.ndarray, n: np.ndarray, first: np.ndarray) -> dict:
@@ -73,18 +79,17 @@ class Shard:
         self.counts = np.frombuffer(row["counts"], np.uint32)
         self.firsts = np.frombuffer(row["firsts"], np.int64)
 
-    def first(self, h1: np.ndarray, h2: np.ndarray, other: int) -> np.ndarray:
-        """The first document of each line, `other` for lines that aren't indexed."""
+    def first(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first document of each line, and whether the line is indexed."""
         if not self.mph.size:
-            return np.full(len(h1), other, dtype=np.int64)
+            return np.zeros(len(h1), dtype=np.int64), np.zeros(len(h1), dtype=bool)
         at = self.mph.numbers(h1.view(np.uint64))
-        known = (at >= 0) & (self.fingerprints[at] == h2)
-        return np.where(known, self.firsts[at], other)
+        return self.firsts[at], (at >= 0) & (self.fingerprints[at] == h2)
 
 
-def _dropped(shard: Shard, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    first = shard.first(h1, h2, -(1 << 63))
-    return (first != -(1 << 63)) & (first != ids)
+def _dropped(shard: Shard, h1: np.ndarray, h2: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    first, known = shard.first(h1, h2)
+    return known & (first != rows)
 
 
 def build_index(repeated: DataFrame, shards: int) -> DataFrame:
@@ -98,45 +103,47 @@ def build_index(repeated: DataFrame, shards: int) -> DataFrame:
 
 
 def repeated_positions(lines: DataFrame) -> DataFrame:
-    """id and pos of the lines to drop, from line_hashes()."""
+    """row and pos of the lines to drop, from line_hashes()."""
     spark = lines.sparkSession
-    counts = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-    repeated = stored(counts.where(F.col("first") < F.col("last")).drop("last"), "repeated-lines")
+    document = F.struct("id", "row")
+    counts = lines.groupBy("h1", "h2").agg(F.min(document).alias("first"), F.max(document).alias("last"), F.count("*").alias("n"))
+    repeated = stored(counts.where(F.col("first") < F.col("last")).select("h1", "h2", F.col("first.row").alias("first"), "n"), "repeated-lines")
     size = repeated.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()
     is_hot = F.col("n") * HOT_SHARE > F.lit(max(1, size["lines"]))
     hot = repeated.where(is_hot).limit(HOT_SHARE).toPandas()
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size["keys"] // SHARD_KEYS)
-    columns = "id long, pos int"
+    columns = "row long, pos int"
 
     hot_row = _index_row(-1, *(hot[c].to_numpy(np.int64) for c in ("h1", "h2", "n", "first")))
 
     def probe_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(hot_row)
         for batch in batches:
-            gone = _dropped(shard, *(batch.column(c).to_numpy() for c in ("h1", "h2", "id")))
-            yield batch.select(["id", "pos"]).filter(pa.array(gone))
+            gone = _dropped(shard, *(batch.column(c).to_numpy() for c in ("h1", "h2", "row")))
+            yield batch.select(["row", "pos"]).filter(pa.array(gone))
 
     def probe(index: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(index):
-            return own[["id", "pos"]][:0]
-        gone = _dropped(Shard(index.iloc[0]), *(own[c].to_numpy(np.int64) for c in ("h1", "h2", "id")))
-        return own[["id", "pos"]][gone]
+            return own[["row", "pos"]][:0]
+        gone = _dropped(Shard(index.iloc[0]), *(own[c].to_numpy(np.int64) for c in ("h1", "h2", "row")))
+        return own[["row", "pos"]][gone]
 
     of_hot = F.col("h1").isin([int(x) for x in hot["h1"]]) if len(hot) else F.lit(False)
+    lines = lines.drop("id")
     rest = lines.where(~of_hot).withColumn("shard", F.pmod("h1", F.lit(shards)))
     index = build_index(repeated.where(~of_hot), shards)
     cold = index.groupBy("shard").cogroup(rest.groupBy("shard")).applyInPandas(probe, columns)
     if not len(hot):
         return cold
-    return over_texts(lines.where(of_hot), ["id", "pos", "h1", "h2"], columns, probe_hot).unionByName(cold)
+    return over_texts(lines.where(of_hot), ["row", "pos", "h1", "h2"], columns, probe_hot).unionByName(cold)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """docs with text as kept, and n_lines and n_dropped."""
     lines = stored(line_hashes(docs, min_chars), "lines")
-    drops = repeated_positions(lines).groupBy("id").agg(F.collect_set("pos").alias("gone"))
-    joined = docs.withColumn("line_dedup_id", _identity(docs)).join(
-        drops.select(F.col("id").alias("line_dedup_id"), F.col("gone").alias("line_dedup_gone")), "line_dedup_id", "left"
+    drops = repeated_positions(lines).groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    joined = docs.withColumn("line_dedup_row", _row()).join(
+        drops.select(F.col("row").alias("line_dedup_row"), F.col("gone").alias("line_dedup_gone")), "line_dedup_row", "left"
     )
     joined = joined.withColumn("line_dedup_lines", _split())
     lines, own = F.col("line_dedup_lines"), F.col("line_dedup_gone")

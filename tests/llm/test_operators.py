@@ -466,3 +466,28 @@ def test_licenses_that_a_text_repeats(spark):
         if whole:
             best = next(x for x in got[i] if x["matched"] == len(re.findall(r"[^\W_]+", whole)))
             assert best["coverage"] == 1.0 and (best["begin"], best["end"]) == (text.index(whole), text.index(whole) + len(whole.rstrip(".")))
+
+
+def test_rows_without_an_id_and_texts_of_one_id_keep_their_content(spark):
+    common = "a line that is common to some documents"
+    rows = [
+        (1, f"{common}\nfirst of one, and only there"), (None, f"{common}\nthe first line of a null id"), (None, f"some other first line\n{common}\nthe second null id"),
+        (7, f"{common}\nseventh document, one text"), (7, f"words of the other text\n{common}"), (7, f"words of the other text\n{common}"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in linededup.line_dedup(df).collect())
+    assert got == {
+        (1, rows[0][1], 0): 1, (None, "the first line of a null id", 1): 1, (None, "some other first line\nthe second null id", 1): 1,
+        (7, "seventh document, one text", 1): 1, (7, "words of the other text", 1): 2,
+    }
+    long = [" ".join(f"w{k}" for k in np.random.default_rng(i).integers(0, 9999, 60)) for i in range(4)]
+    rows = [(1, long[0]), (None, long[0]), (None, long[1]), (None, long[2]), (7, long[3]), (7, long[0] + " end"), (7, long[1] + " end"), (7, long[3])]
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == Counter({(1, long[0]): 1, (None, long[2]): 1, (7, long[3]): 1, (7, long[1] + " end"): 1})
+
+
+def test_embeddings_without_an_id_each_count(spark):
+    rows = [(1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (None, [0.0, 2.0], 1), (None, [-1.0, 0.0], 1), (None, None, 1), (5, [1.0, 1.0], 1), (5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    count = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got)
+    assert count == Counter({(1, 2, 1, True): 1, (None, 2, 1, False): 1, (None, 1, None, True): 1, (None, 1, None, False): 1, (None, 0, None, True): 2, (5, 0, 5, True): 1, (5, 2, 1, False): 1})

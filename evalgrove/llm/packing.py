@@ -88,30 +88,44 @@ class Packer:
 
     def pack(self, last: bool) -> Iterator[list[Example]]:
         """Fill sequences from the waiting examples; unless last, what can't fill one keeps waiting."""
+        keys = list(self.waiting)
+        place = {k: i for i, k in enumerate(keys)}
+        # room for a new kind from each cut; kinds without an example are never chosen
+        kinds, held = np.zeros((2 * len(keys) + 64, 3)), np.zeros(2 * len(keys) + 64, dtype=np.int64)
+        kinds[: len(keys)] = [(n, 1, loss) for n, loss in keys]
+        held[: len(keys)] = [len(self.waiting[k]) for k in keys]
+        share, waits = kinds / self.limits, int(kinds[: len(keys), 0] @ held[: len(keys)])
         while self.count:
-            kinds = np.array(list(self.waiting), dtype=np.float64)
-            demands = np.column_stack([kinds[:, 0], np.ones(len(kinds)), kinds[:, 1]])
-            held = np.array([len(x) for x in self.waiting.values()])
-            share, keys = demands / self.limits, list(self.waiting)
-            if not last and float(kinds[:, 0] @ held) < 4 * self.tokens:
+            if not last and waits < 4 * self.tokens:
                 return
             left, bin_ = self.limits.copy(), []
             while left[0] > 0 and left[1] > 0:
-                fits = (held > 0) & (demands <= left).all(axis=1)
-                if not fits.any():
-                    break
+                fits = (held > 0) & (kinds <= left).all(axis=1)
                 k = int(np.argmax(np.where(fits, share @ (left / self.limits), -1.0)))
+                if not fits[k]:
+                    break
                 bin_.append(self._pop(keys[k]))
                 held[k] -= 1
-                left -= demands[k]
+                left -= kinds[k]
             room = int(min(left[0], left[2]))
-            if room > 0 and left[1] > 0 and held.any() and (room >= LEAST_CUT or last):
-                k = int(np.argmax(np.where(held > 0, demands[:, 0], -1)))
+            if room > 0 and left[1] > 0 and self.count and (room >= LEAST_CUT or last):
+                k = int(np.argmax(np.where(held > 0, kinds[:, 0], -1)))
                 head, tail = self._pop(keys[k]).cut(min(room, keys[k][0] - 1))
+                held[k] -= 1
                 bin_.append(head)
-                self.waiting[tail.demand()].append(tail)
+                key = tail.demand()
+                self.waiting[key].append(tail)
                 self.count += 1
                 left[0] -= len(head.ids) // 4
+                if key not in place:
+                    place[key] = len(keys)
+                    keys.append(key)
+                    if len(keys) > len(held):
+                        kinds, held = np.concatenate([kinds, np.zeros_like(kinds)]), np.concatenate([held, np.zeros_like(held)])
+                    kinds[len(keys) - 1] = (key[0], 1, key[1])
+                    share = kinds / self.limits
+                held[place[key]] += 1
+            waits -= sum(len(x.ids) // 4 for x in bin_)
             if last and not self.count and left[0] > 0:
                 yield from self._powers(bin_)
             else:

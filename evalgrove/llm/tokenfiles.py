@@ -5,16 +5,15 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
+from string import punctuation
 
-#: Encodings remembered in a worker before its cache starts anew.
-CACHE_ENTRIES = 400_000
+#: Encodings remembered in a worker before the older ones go.
+CACHE_ENTRIES = 700_000
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 24
 
-_WIDE_SPACE = re.compile(r" [\s\x1c-\x1f]")
-
-
 @lru_cache(maxsize=4)
 def library_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,68 +85,82 @@ def rank_tokenizer(path: str, pattern: str):
     return tokenizer
 
 
-def space_chunks(text: str) -> list[str] | None:
-    """Parts of a text, each but the first with the space before it, that the byte-level pattern never spans.
+#: Chunks of these characters split alike under the library's and Python's regular expressions.
+_PLAIN = re.compile(r"[\t-\r\x20-\u024f]*")
+
 
-    A single space before a character that is no white space always begins a match of the pattern, so
-    encodings of the parts, joined, are the encoding of the text. None where a space stands before
-    other white space; such texts are encoded whole.
-    """
-    if "  " in text or text.endswith(" ") or _WIDE_SPACE.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+class _OddSpace(Exception):
+    """A run of white space that isn't inside one chunk."""
 
 
-#: Chunks of these characters split alike under the library's and Python's regular expressions.
-_PLAIN = re.compile(r"[\t-\r\x20-\u024f]*")
+class _Chunks(dict):
+    """Chunk to ids, computed when first asked for. When full, what was asked for since the last time stays for one more turn."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.old = ids_of, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.ids_of(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
     """Token ids of whole texts as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-    Chunks between single spaces are encoded once in a worker and remembered. New chunks are split by
-    the pattern and each match goes to the library's model; chunks with characters beyond the Latin
-    blocks, and texts with unusual white space or special strings, go to the library whole.
+    The byte-level pattern never spans a single space before other characters, nor the beginning of one or
+    two newlines, so a text is cut there, and encodings of the parts, joined, are the encoding of the text.
+    Parts are encoded once in a worker and remembered. New ones are split by the pattern, and each match goes
+    to the library's model; parts with characters beyond the Latin blocks go to the library as they are, as
+    do whole texts with special strings or with other runs of white space.
     """
 
     def __init__(self, tokenizer, pattern: str, specials: tuple[str, ...] = ()):
-        import numpy as np
         import regex
 
-        self.tokenizer, self.model, self.specials = tokenizer, tokenizer.model, specials
-        self.find, self.shown, self.u4 = regex.compile(pattern).findall, byte_characters(), np.dtype("<u4")
-        self.array, self.seen = np.array, {"": b""}
+        self.tokenizer, self.tokenize, self.specials = tokenizer, tokenizer.model.tokenize, specials
+        self.find, self.shown = regex.compile(pattern).findall, dict(enumerate(byte_characters()))
+        self.first, self.later, self.pieces = (_Chunks(f) for f in (self._chunk, self._later, self._piece))
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [
-            self.array(e.ids, dtype=self.u4).tobytes()
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """One match of the pattern."""
+        name = piece.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.tokenize(name)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk[-1:].isspace():
+            raise _OddSpace
         if not _PLAIN.fullmatch(chunk):
-            return self._whole([chunk])[0]
-        seen, out = self.seen, []
-        for piece in self.find(chunk):
-            ids = seen.get(piece)
-            if ids is None:
-                name = "".join(map(self.shown.__getitem__, piece.encode()))
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(name)])
-                if len(piece) <= CACHE_CHARS:
-                    seen[piece] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(chunk) <= CACHE_CHARS:
-            seen[chunk] = ids
-        return ids
+            return self._whole(chunk)
+        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
+
+    def _later(self, chunk: str) -> bytes:
+        """A chunk after the text's first one: it begins with newlines, or stands for itself after a space."""
+        if not chunk:
+            raise _OddSpace
+        word = chunk.rstrip(punctuation)
+        if word.isalpha() and _PLAIN.fullmatch(chunk):  # a word and the marks after it are two matches
+            return self.later[word] + self.pieces[chunk[len(word) :]] if len(word) < len(chunk) else self._piece(" " + chunk)
+        return self._chunk(chunk if chunk[0] == "\n" else " " + chunk)
 
     def encode(self, text: str) -> bytes:
-        if len(self.seen) > CACHE_ENTRIES:
-            self.seen = {"": b""}
-        if any(s in text for s in self.specials) or (chunks := space_chunks(text)) is None:
-            return self._whole([text])[0]
-        found = list(map(self.seen.get, chunks))
-        if None in found:
-            found = [self._chunk(c) if f is None else f for c, f in zip(chunks, found, strict=True)]
-        return b"".join(found)
+        if any(s in text for s in self.specials):
+            return self._whole(text)
+        first, *rest = text.replace("\n", " \n").replace("\n \n", "\n\n").split(" ")
+        end = b""
+        if rest and rest[-1] == "\n":
+            end = self.pieces[rest.pop()]
+        try:
+            return b"".join([self.first[first] if first else b"", *map(self.later.__getitem__, rest), end])
+        except _OddSpace:
+            return self._whole(text)

@@ -39,6 +39,14 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it while df has a column of that name or one that begins with it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c == name or c.startswith(name + "_") for c in taken):
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
 

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NULL_ID, arrow_batches, over_texts, stored
 from .graph import connected_components, dealt_blocks, forest
@@ -90,7 +91,9 @@ def cell_keys(x: np.ndarray, labels: np.ndarray, tables: int, probes: int, scale
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (id and, if the vector can link, label and two hashes), and classes (cls, label, first row, n, embedding) of equal vectors."""
-    own = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    whole = isinstance(vectors.schema["label"].dataType, T.IntegralType)
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64("label"))  # only whether labels are equal counts
+    own = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("id"), label.alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     can = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     named = own.withColumns({"can": F.coalesce(can, F.lit(False)), "h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), F.col("embedding"))})

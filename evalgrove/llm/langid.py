@@ -1,13 +1,15 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-One table of slots serves all languages: bit l of a slot belongs to language l, so reading an n-gram's
-slots and taking their conjunction gives the set of languages whose training texts hold the n-gram. A
-text's n-grams are counted for each language by popcount of those masks, and the counts are corrected
+One table of slots serves all languages: bit l of a slot belongs to language l (of several words of bits, for
+more than 64 languages), so reading an n-gram's slots and taking their conjunction gives the set of languages whose
+training texts hold the n-gram. A text's n-grams are counted for each language by popcount of those masks, and the counts are corrected
 for each filter's rate of false positives.
 
 Training counts n-grams over at most sample_per_lang texts of a language (a bounded sample, chosen by a
 hash of the id; the bound is a parameter), never over texts of the held-out fold. An n-gram belongs to a
-language if at least least_share of its texts hold it and that share is at least lead of the largest.
+language if at least least_share of its texts hold it and that share is at least lead of the largest; n-grams
+below that share are left out language by language before anything goes to the driver, so that what goes there
+follows the length of texts (their distinct n-grams, over least_share) and not their number.
 
 Rows: a null text, or one without a letter, is `und` with score 0. Null languages teach nothing. A text
 without a known n-gram gets the most frequent language, with score 0. Without any training text every
@@ -29,16 +31,15 @@ from pyspark.sql import functions as F
 from .common import over_texts
 
 N = 4
-MOST_LANGUAGES = 64
-#: Added to a language's number where a count is of its texts, not of an n-gram.
-ALL_TEXTS = 1000
+#: Languages in a word of bits.
+WORD = 64
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Lower-case code point of each letter, 0 for anything else."""
     table = np.zeros(0x110000, dtype=np.uint32)
-    for i in range(0x110000):
+    for i in range(0x40000):  # there are no letters beyond
         c = chr(i)
         if c.isalpha():
             table[i] = ord(c.lower()[0])
@@ -82,11 +83,13 @@ class Filters:
 
     @classmethod
     def of(cls, languages: list[str], grams: np.ndarray, masks: np.ndarray, usual: str, hashes: int, bits_per_gram: int) -> "Filters":
+        """From n-grams and their masks, a row of masks for each word of bits."""
         size = 1 << max(10, int(np.ceil(np.log2(max(1, len(grams)) * bits_per_gram))))
-        slots = np.zeros(size, dtype=np.uint64 if len(languages) > 16 else np.uint16)
+        slots = np.zeros((len(masks), size), dtype=np.uint64 if len(languages) > 16 else np.uint16)
         for at in cls._places(grams, hashes, size):
-            np.bitwise_or.at(slots, at, masks.astype(slots.dtype))
-        fill = np.array([np.mean((slots >> slots.dtype.type(l)) & slots.dtype.type(1)) for l in range(len(languages))])
+            for own, mask in zip(slots, masks, strict=True):
+                np.bitwise_or.at(own, at, mask.astype(slots.dtype))
+        fill = np.array([np.mean((slots[l // WORD] >> slots.dtype.type(l % WORD)) & slots.dtype.type(1)) for l in range(len(languages))])
         return cls(languages, slots, hashes, fill**hashes, usual)
 
     @staticmethod
@@ -96,17 +99,17 @@ class Filters:
             yield ((grams + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that hold it, as bits."""
-        out = np.full(len(grams), ~self.slots.dtype.type(0), dtype=self.slots.dtype)
-        for at in self._places(grams, self.hashes, len(self.slots)):
-            out &= self.slots[at]
+        """For each n-gram the languages that hold it, as bits, a row for each word of bits."""
+        out = np.full((len(self.slots), len(grams)), ~self.slots.dtype.type(0), dtype=self.slots.dtype)
+        for at in self._places(grams, self.hashes, self.slots.shape[1]):
+            out &= self.slots[:, at]
         return out
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         grams, owner, has_letter = ngrams([t or "" for t in texts])
         masks, total = self.masks(grams), np.bincount(owner, minlength=len(texts))
         one = self.slots.dtype.type(1)
-        found = np.stack([np.bincount(owner[((masks >> self.slots.dtype.type(l)) & one) > 0], minlength=len(texts)) for l in range(len(self.languages))])
+        found = np.stack([np.bincount(owner[((masks[l // WORD] >> self.slots.dtype.type(l % WORD)) & one) > 0], minlength=len(texts)) for l in range(len(self.languages))])
         true = np.maximum(0, (found - total * self.false_rate[:, None]) / np.maximum(1e-9, 1 - self.false_rate[:, None]))
         best, sums = true.argmax(axis=0), true.sum(axis=0)
         score = np.where(sums > 0, true.max(axis=0) / np.maximum(sums, 1e-12), 0.0)
@@ -122,49 +125,49 @@ def learn(
 ) -> Filters | None:
     """Filters from the texts and languages of docs (doc_id, text, lang); None without any."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").take(MOST_LANGUAGES + 1)}
-    if len(n_of) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    n_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n_of:
         return None
     languages = sorted(n_of)
-    share = F.coalesce(*[F.when(F.col("lang") == x, min(1.0, sample_per_lang / n)) for x, n in n_of.items()])
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) < share * (1 << 20)
-    sample = known.where(chosen).select(F.coalesce(*[F.when(F.col("lang") == x, i) for i, x in enumerate(languages)]).alias("lang"), "text")
+    spark = docs.sparkSession
+    numbers = spark.createDataFrame([(x, i, min(1.0, sample_per_lang / n_of[x])) for i, x in enumerate(languages)], "lang string, number int, share double")
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    sample = known.join(F.broadcast(numbers), "lang").where(chosen).select(F.col("number").cast("long").alias("lang"), "text")  # one row a language is broadcast
+    texts = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            langs = batch.column(0).to_numpy()
             grams, owner, _ = ngrams(batch.column(1).to_pylist())
-            once = np.unique(np.stack([owner.astype(np.uint64), grams]), axis=1)
-            keys, n = np.unique(np.stack([langs[once[0].astype(np.int64)].astype(np.uint64), once[1]]), axis=1, return_counts=True)
-            texts = np.bincount(langs, minlength=len(languages))
-            yield pa.record_batch(
-                [
-                    pa.array(np.concatenate([keys[0].astype(np.int64), ALL_TEXTS + np.arange(len(languages))]), pa.int64()),
-                    pa.array(np.concatenate([keys[1].view(np.int64), np.zeros(len(languages), np.int64)]), pa.int64()),
-                    pa.array(np.concatenate([n, texts]), pa.int64()),
-                ],
-                names=["lang", "gram", "n"],
-            )
+            grams, owner = _distinct(grams, owner)  # once a text
+            lang = langs[owner]
+            grams, lang, n = _counted(grams, lang)
+            yield pa.record_batch([pa.array(lang, pa.int64()), pa.array(grams.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counts = over_texts(sample, ["lang", "text"], "lang long, gram long, n long", counted).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = min(least_share * min(sample_per_lang, n) * 0.8 for n in n_of.values())  # a first cut, before exact shares
-    rows = counts.where((F.col("lang") >= ALL_TEXTS) | (F.col("n") >= least)).toPandas()
-    texts = rows[rows.lang >= ALL_TEXTS].set_index("lang").n
-    texts.index -= ALL_TEXTS
-    rows = rows[rows.lang < ALL_TEXTS].copy()
-    rows["share"] = rows.n / rows.lang.map(texts).clip(lower=1)
-    rows = rows[rows.share >= least_share]
+    least = spark.createDataFrame([(l, float(n)) for l, n in texts.items()], "lang long, texts double")
+    rows = counts.join(F.broadcast(least), "lang").select("lang", "gram", (F.col("n") / F.col("texts")).alias("share")).where(F.col("share") >= least_share).toPandas()
     rows = rows[rows.share >= lead * rows.groupby("gram").share.transform("max")]
-    bits = np.left_shift(np.uint64(1), rows.lang.to_numpy(np.uint64))
+    lang = rows.lang.to_numpy(np.int64)
     grams, place = np.unique(rows.gram.to_numpy(np.int64).view(np.uint64), return_inverse=True)
-    masks = np.zeros(len(grams), dtype=np.uint64)
-    np.bitwise_or.at(masks, place, bits)
+    masks = np.zeros((-(-len(languages) // WORD), len(grams)), dtype=np.uint64)
+    np.bitwise_or.at(masks, (lang // WORD, place), np.left_shift(np.uint64(1), (lang % WORD).astype(np.uint64)))
     usual = max(languages, key=lambda x: (n_of[x], x))
     return Filters.of(languages, grams, masks, usual, hashes, bits_per_gram)
 
 
+def _counted(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of n-gram and owner, and how often each occurs."""
+    order = np.lexsort((grams, owner))
+    grams, owner = grams[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], owner[first], np.diff(np.append(first, len(grams)))
+
+
+def _distinct(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _counted(grams, owner)[:2]
+
+
 def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
     """doc_id, lang_pred and score of each row of docs (doc_id, text)."""
 

@@ -1,38 +1,37 @@
 """Removal of lines that an earlier document has, by sharded minimal perfect hashes.
 
 Distinct hashes of lines that two or more documents hold are dealt to shards. A shard is one row: a
-minimal perfect hash whose numbers index arrays of fingerprints, document counts and first documents.
-Lines travel as hashes, row keys and positions to the shard that answers for them; texts are joined by
+minimal perfect hash whose numbers index arrays of fingerprints, counts of copies and first documents.
+Lines probe the shard that answers for them as hashes, row keys and positions; texts are joined by
 row key only with the positions that go. A line's slot comes from one 64-bit hash and its fingerprint
 is another one, so a wrong answer needs a collision of 128 bits.
 
-Hashes that hold more than one in HOT_SHARE of all lines, HOT_SHARE at most, make up a shard of their
-own that every task has; so no task gets the copies of one very common line.
+A shard that more than PROBES lines ask, as it holds a very common one, is asked in parts: its arrays are copied
+for each part, so that no task gets more than about PROBES lines, whatever the number of copies.
 
 Rows: a null or empty text is one empty line. Keys shorter than min_chars stay. A document is a doc_id
 and its text, by a 64-bit hash of both: rows that repeat both count as one and lose the same lines;
 different texts of one doc_id, or of none, are documents of their own, in the order of their hashes. Those
-without a doc_id come after all others. An empty table gives an empty result. Other columns stay as they are.
+without a doc_id come after all others. An empty table gives an empty result. Other columns stay as they are;
+where they have the name of a count, the count's name gets an underscore more.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_batches, over_texts, stored
+from .common import NULL_ID, arrow_batches, dropped, free_name, stored
 from .mph import MinimalPerfectHash
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Distinct hashes in a shard, about.
 SHARD_KEYS = 100_000
-HOT_SHARE = 1024
+#: Lines that a task asks of a shard, and the most shards that are asked in parts, so that their list can be broadcast.
+PROBES, MOST_SPLIT = 1_000_000, 65_536
 _INDEX = "shard long, sizes array<long>, bits binary, fingerprints binary, counts binary, firsts binary"
 
 
@@ -79,17 +78,12 @@ class Shard:
         self.counts = np.frombuffer(row["counts"], np.uint32)
         self.firsts = np.frombuffer(row["firsts"], np.int64)
 
-    def first(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first document of each line, and whether the line is indexed."""
+    def first(self, h1: np.ndarray, h2: np.ndarray, least_copies: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first document of each line, and whether the line is indexed with least_copies or more."""
         if not self.mph.size:
             return np.zeros(len(h1), dtype=np.int64), np.zeros(len(h1), dtype=bool)
         at = self.mph.numbers(h1.view(np.uint64))
-        return self.firsts[at], (at >= 0) & (self.fingerprints[at] == h2)
-
-
-def _dropped(shard: Shard, h1: np.ndarray, h2: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    first, known = shard.first(h1, h2)
-    return known & (first != rows)
+        return self.firsts[at], (at >= 0) & (self.fingerprints[at] == h2) & (self.counts[at] >= least_copies)
 
 
 def build_index(repeated: DataFrame, shards: int) -> DataFrame:
@@ -102,56 +96,44 @@ def build_index(repeated: DataFrame, shards: int) -> DataFrame:
     return repeated.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(build, _INDEX)
 
 
-def repeated_positions(lines: DataFrame) -> DataFrame:
+def repeated_positions(lines: DataFrame, least_copies: int = 2) -> DataFrame:
     """row and pos of the lines to drop, from line_hashes()."""
     spark = lines.sparkSession
     document = F.struct("id", "row")
     counts = lines.groupBy("h1", "h2").agg(F.min(document).alias("first"), F.max(document).alias("last"), F.count("*").alias("n"))
     repeated = stored(counts.where(F.col("first") < F.col("last")).select("h1", "h2", F.col("first.row").alias("first"), "n"), "repeated-lines")
-    size = repeated.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()
-    is_hot = F.col("n") * HOT_SHARE > F.lit(max(1, size["lines"]))
-    hot = repeated.where(is_hot).limit(HOT_SHARE).toPandas()
-    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size["keys"] // SHARD_KEYS)
-    columns = "row long, pos int"
-
-    hot_row = _index_row(-1, *(hot[c].to_numpy(np.int64) for c in ("h1", "h2", "n", "first")))
-
-    def probe_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(hot_row)
-        for batch in batches:
-            gone = _dropped(shard, *(batch.column(c).to_numpy() for c in ("h1", "h2", "row")))
-            yield batch.select(["row", "pos"]).filter(pa.array(gone))
+    keys, asked = repeated.count(), lines.count()
+    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), keys // SHARD_KEYS, 2 * asked // PROBES)
+    # at most MOST_SPLIT shards can have more lines than this
+    most = max(PROBES, asked // MOST_SPLIT)
+    own = lines.drop("id").withColumn("shard", F.pmod("h1", F.lit(shards)))
+    crowded = stored(own.groupBy("shard").agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1"), "crowded-shards")
+    parts = F.coalesce("parts", F.lit(1))
+    asking = own.join(F.broadcast(crowded), "shard", "left").withColumn("part", F.pmod(F.xxhash64("row", "pos"), parts)).drop("parts")
+    index = build_index(repeated, shards).join(F.broadcast(crowded), "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
 
     def probe(index: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(index):
             return own[["row", "pos"]][:0]
-        gone = _dropped(Shard(index.iloc[0]), *(own[c].to_numpy(np.int64) for c in ("h1", "h2", "row")))
-        return own[["row", "pos"]][gone]
+        h1, h2, rows = (own[c].to_numpy(np.int64) for c in ("h1", "h2", "row"))
+        first, known = Shard(index.iloc[0]).first(h1, h2, least_copies)
+        return own[["row", "pos"]][known & (first != rows)]
 
-    of_hot = F.col("h1").isin([int(x) for x in hot["h1"]]) if len(hot) else F.lit(False)
-    lines = lines.drop("id")
-    rest = lines.where(~of_hot).withColumn("shard", F.pmod("h1", F.lit(shards)))
-    index = build_index(repeated.where(~of_hot), shards)
-    cold = index.groupBy("shard").cogroup(rest.groupBy("shard")).applyInPandas(probe, columns)
-    if not len(hot):
-        return cold
-    return over_texts(lines.where(of_hot), ["row", "pos", "h1", "h2"], columns, probe_hot).unionByName(cold)
+    return index.groupBy("shard", "part").cogroup(asking.groupBy("shard", "part")).applyInPandas(probe, "row long, pos int")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """docs with text as kept, and n_lines and n_dropped."""
+def line_dedup(docs: DataFrame, min_chars: int = 10, least_copies: int = 2, counts: bool = True) -> DataFrame:
+    """docs with text as kept, and (if counts) n_lines and n_dropped. Lines of fewer than least_copies copies in all stay."""
+    key, split, gone = (free_name(docs, f"line_dedup_{x}") for x in ("row", "lines", "gone"))
     lines = stored(line_hashes(docs, min_chars), "lines")
-    drops = repeated_positions(lines).groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    joined = docs.withColumn("line_dedup_row", _row()).join(
-        drops.select(F.col("row").alias("line_dedup_row"), F.col("gone").alias("line_dedup_gone")), "line_dedup_row", "left"
-    )
-    joined = joined.withColumn("line_dedup_lines", _split())
-    lines, own = F.col("line_dedup_lines"), F.col("line_dedup_gone")
+    drops = stored(repeated_positions(lines, least_copies).groupBy("row").agg(F.collect_set("pos").alias("gone")), "dropped-lines")
+    dropped(lines)
+    joined = docs.withColumn(key, _row()).join(drops.select(F.col("row").alias(key), F.col("gone").alias(gone)), key, "left").withColumn(split, _split())
+    lines, own = F.col(split), F.col(gone)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), own)
     text = F.when(own.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_dropped")
-    )
+    made = {"n_lines": F.size(lines), "n_dropped": F.coalesce(F.size(own), F.lit(0))} if counts else {}
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *[n.cast("long").alias(free_name(docs, k)) for k, n in made.items()])
 
 
 ORACLE_SQL = r"""

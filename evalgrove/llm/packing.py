@@ -88,6 +88,8 @@ class Packer:
 
     def pack(self, last: bool) -> Iterator[list[Example]]:
         """Fill sequences from the waiting examples; unless last, what can't fill one keeps waiting."""
+        if not self.count:
+            return
         keys = list(self.waiting)
         place = {k: i for i, k in enumerate(keys)}
         # room for a new kind from each cut; kinds without an example are never chosen

@@ -68,8 +68,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, filters).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix's token count, stored, and a budget question answered from it."""
+    counts = F.col("prefix_tokens")
+    stored_counts = tokencount.prefix_token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return stored_counts.select("doc_id", counts, F.element_at(counts, -1).cast("long").alias("n_tokens"), tokencount.chars_within(counts, F.lit(TOKEN_LIMIT)).cast("long").alias("chars_in_limit"))
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations under limits on tokens, segments and the tokens of assistant turns."""
+    return packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_license_scan, op5_token_counts, op6_embedding_links, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (token_prefixes, packed_conversations, op1_line_dedup, op2_simhash, op3_quality_rules, op4_license_scan, op5_token_counts, op6_embedding_links, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,10 +1,11 @@
 """Near duplicates by SimHash, found through tables of distances to reference fingerprints.
 
-PIVOTS reference fingerprints are the base fingerprint with two of its bits flipped, other two for
+PIVOTS reference fingerprints are the base fingerprint with one of its bits flipped, another one for
 each; SPREAD_PIVOTS are unrelated ones. A fingerprint's row of the table is its Hamming distance to
-every reference. Changing two bits of a fingerprint moves, against the distance to the base, the
-distances to at most two of the PIVOTS; of four groups of these, two groups stay the same. So
-fingerprints at distance 2 or less share a key of two groups of distances, of six such keys. Pairs that share a key are
+every reference. Changing one bit of a fingerprint moves, against the distance to the base, the
+distance to one of the PIVOTS only; so of GROUPS groups of these all but two stay the same. Fingerprints
+at distance 2 or less thus share a key of three groups of distances, of ten such keys, which tell 38 bits
+apart: keys of unlike fingerprints are shared by chance only where there are some 10^11. Pairs that share a key are
 discarded when any coordinate of their table rows differs by more than 2, and survivors are verified by
 their own distance. Keys that more than CROWD fingerprints share aren't paired: their fingerprints meet
 instead at the fingerprints one bit away, of which no two at distance 2 or less lack a common one, and
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_batches, over_texts, stored
+from .common import NULL_ID, arrow_batches, free_name, over_texts, stored
 from .graph import connected_components, dealt_blocks, forest
 
 _WORD = re.compile("[^\x20\t-\r]+").findall
@@ -38,9 +39,10 @@ _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _ROWS = 16_384
 
 BASE = 0x5BD1E995CA6B94F3
-PIVOTS = [BASE ^ (3 << (2 * i)) for i in range(32)]
+PIVOTS = [BASE ^ (1 << i) for i in range(64)]
 SPREAD_PIVOTS = [xxhash.xxh64_intdigest(b"pivot", seed) for seed in range(8)]
-GROUPS = 4
+#: Groups of PIVOTS, and groups in a key: at least as many as two moved distances leave.
+GROUPS, IN_KEY = 5, 3
 CROWD = 4096
 
 
@@ -85,17 +87,17 @@ def _packed(values: list[Column], bits: int) -> Column:
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """fp; groups: the PIVOTS' distances less the base's, four longs; spread: the SPREAD_PIVOTS' distances in one long."""
-    base, per = _distance(F.col("fp"), BASE), len(PIVOTS) // GROUPS
-    moved = [_distance(F.col("fp"), p) - base + 2 for p in PIVOTS]  # 0, 2 or 4
+    """fp; groups: the PIVOTS' distances less the base's, a long for each group; spread: the SPREAD_PIVOTS' distances in one long."""
+    base = _distance(F.col("fp"), BASE)
+    moved = [(_distance(F.col("fp"), p) - base + 1) / 2 for p in PIVOTS]  # 0 or 1
     return fps.select(
-        "fp", F.array(*[_packed(moved[g * per : (g + 1) * per], 3) for g in range(GROUPS)]).alias("groups"), _packed([_distance(F.col("fp"), p) for p in SPREAD_PIVOTS], 7).alias("spread")
+        "fp", F.array(*[_packed(moved[g::GROUPS], 1) for g in range(GROUPS)]).alias("groups"), _packed([_distance(F.col("fp"), p) for p in SPREAD_PIVOTS], 7).alias("spread")
     )
 
 
 def _keyed(table: DataFrame) -> DataFrame:
-    """Each fingerprint under its six keys of two groups of distances."""
-    keys = F.array(*[F.xxhash64(F.lit(10 * a + b), F.get("groups", F.lit(a)), F.get("groups", F.lit(b))) for a, b in combinations(range(GROUPS), 2)])
+    """Each fingerprint under its keys of IN_KEY groups of distances."""
+    keys = F.array(*[F.xxhash64(F.lit(n), *[F.get("groups", F.lit(g)) for g in chosen]) for n, chosen in enumerate(combinations(range(GROUPS), IN_KEY))])
     return table.select("fp", "spread", F.explode(keys).alias("key"))
 
 
@@ -293,11 +295,12 @@ def near_dedup(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS, le
     Of equal ids the text of smaller hash counts as the smaller; of rows that repeat both, one stays. Rows
     with a null doc_id come after all others, each of them a document of its own.
     """
-    key = ["near_dedup_id", "near_dedup_text"]
     found = stored(similar(docs, shingle, most_bits, least), "similar-documents")
+    key = [free_name(docs, c) for c in found.columns[:2]]
+    found = found.toDF(*key, "component")
     first = found.groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
     gone = found.join(first, "component").where(F.struct(*key) != F.col("first")).select(*key)
-    keyed = docs.select("*", *_row_key(docs))
+    keyed = docs.select("*", *[c.alias(k) for c, k in zip(_row_key(docs), key, strict=True)])
     kept = keyed.join(gone, key, "left_anti")
     if keyed.groupBy(*key).count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(key)

@@ -2,7 +2,7 @@
 
 The count at a prefix needs only the count at one earlier prefix: a word's encoding ends in exactly one
 token that is compatible with the last token of what precedes it. A pair of tokens is compatible if
-merging their joined bytes gives the pair back; pairs are remembered. Counts of distinct words are
+no merge crosses the border between them while they grow; pairs are remembered. Counts of distinct words are
 computed once in a worker, and a text's counts are running sums over its words.
 
 Rows: null texts are empty texts, with no token. Repeated rows are counted each by itself. An empty
@@ -13,25 +13,131 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import over_texts
-from .tokenfiles import library_tokenizer
+from .tokenfiles import byte_characters, library_tokenizer
 
 #: White space of the tokenizer's normaliser (fixed values).
 SPACE = "\t-\r\x20\x85\xa0  -     　"
 _CHUNKS = re.compile(f"[^{SPACE}]+").findall
 _NOT_PYTHON_SPACE = re.compile("[\x1c-\x1f]").search
-#: The pre-tokenizer's pattern, for lower-case printable ASCII.
+#: The pre-tokenizer's pattern, and its form for lower-case printable ASCII.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-_PRINTABLE = re.compile(r"[!-~]+").fullmatch
-#: Entries remembered in a worker before a cache starts anew.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 24
+#: Characters without white space that normalisation only turns to lower case, one by one.
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u01c3\u01cd-\u024f]+").fullmatch
+_SHOWN = dict(enumerate(byte_characters()))
+#: Entries remembered in a worker before the older ones go.
+CACHE_ENTRIES, CACHE_CHARS = 700_000, 24
+
+
+class _Counts(dict):
+    """Text to token count, computed when first asked for. When full, what was asked for since the last time stays for one more turn."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count, self.old = count, {}
+
+    def __missing__(self, text: str) -> int:
+        n = self.old.get(text)
+        if n is None:
+            n = self.count(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[text] = n
+        return n
+
+
+class _Word:
+    """The dynamic program over one word of byte characters: at each prefix its last token and its number of tokens."""
+
+    __slots__ = ("counter", "chars", "last", "count")
+
+    def __init__(self, counter: "PrefixCounter", chars: str = ""):
+        self.counter, self.chars, self.last, self.count = counter, "", [""], [0]
+        self.more(chars)
+
+    def more(self, chars: str) -> None:
+        at, self.chars = len(self.chars), self.chars + chars
+        word, last, count = self.chars, self.last, self.count
+        vocab, pairs, lengths = self.counter.vocab, self.counter.pairs, self.counter.lengths
+        for i in range(at + 1, len(word) + 1):
+            for n in lengths[word[max(0, i - 4) : i]]:
+                j = i - n
+                if j >= 0 and (token := word[j:i]) in vocab and last[j] is not None and pairs[last[j], token]:
+                    last.append(token)
+                    count.append(count[j] + 1)
+                    break
+            else:
+                last.append(None)  # only before a vocabulary's single bytes with an end
+                count.append(0)
+
+    def whole(self) -> int:
+        """Tokens of the prefix so far as a word of its own."""
+        word, last, vocab, pairs, end = self.chars, self.last, self.counter.vocab, self.counter.pairs, self.counter.end
+        i = len(word)
+        for n in self.counter.end_lengths[word[max(0, i - 4) : i]]:
+            j = i - n
+            if j >= 0 and (token := word[j:i] + end) in vocab and last[j] is not None and pairs[last[j], token]:
+                return self.count[j] + 1
+        raise ValueError("the vocabulary lacks single bytes")
+
+    def cut(self, n: int) -> None:
+        self.chars = self.chars[:n]
+        del self.last[n + 1 :], self.count[n + 1 :]
+
+
+class _Pairs(dict):
+    """Whether two tokens (the left one empty: one token) stay as they are when merged."""
+
+    def __init__(self, compatible):
+        super().__init__()
+        self.compatible = compatible
+
+    def __missing__(self, pair: tuple[str, str]) -> bool:
+        if len(self) > 2 * CACHE_ENTRIES:
+            self.clear()
+        found = self[pair] = self.compatible(*pair)
+        return found
+
+
+class _Lengths(dict):
+    """Lengths, longest first, of the tokens that can end in the last TAIL characters before a place."""
+
+    TAIL = 4
+
+    def __init__(self, tokens):
+        super().__init__()
+        self.of: dict[str, list[int]] = {}
+        for n, tail in sorted({(len(t), t[-self.TAIL :]) for t in tokens}, reverse=True):
+            self.of.setdefault(tail, []).append(n)
+
+    def __missing__(self, tail: str) -> tuple[int, ...]:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        found = list(self.of.get(tail, ())) if len(tail) == self.TAIL else []
+        for n in range(min(len(tail), self.TAIL - 1), 0, -1):
+            found += [n] if tail[-n:] in self.of else []
+        out = self[tail] = tuple(found)
+        return out
+
+
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters that normalisation can join to what stands before them."""
+    second = {chr(int(d[1], 16)) for d in (unicodedata.decomposition(chr(i)).split() for i in range(0xC0, 0x30000)) if len(d) == 2 and d[0][0] != "<"}
+    return frozenset(second | set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])))
 
 
 class PrefixCounter:
@@ -42,17 +148,20 @@ class PrefixCounter:
             spec = json.load(file)
         self.library = library_tokenizer(path)
         self.end = spec["model"]["end_of_word_suffix"] or ""
-        self.vocab = frozenset(spec["model"]["vocab"])
+        vocab, end = spec["model"]["vocab"], len(self.end)
+        self.vocab = frozenset(vocab)
         self.rank = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
-        self.longest = max(map(len, self.vocab))
+        self.made = {a + b: (i, a, b) for (a, b), i in self.rank.items()}
+        self.lengths = _Lengths(t for t in vocab if not (end and t.endswith(self.end)))
+        self.end_lengths = _Lengths(t[:-end] if end else t for t in vocab if t.endswith(self.end) and len(t) > end)
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.split = re.compile("|".join(map(re.escape, self.specials))).split
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
+        self.longest = max(map(len, [*vocab, *self.specials]))
+        self.special = re.compile("|".join(map(re.escape, self.specials)))
+        self.pairs = _Pairs(self.compatible)
+        self.words, self.chunks = _Counts(self.word), _Counts(self.chunk)
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """Plain merging in rank order; only for pairs of tokens."""
+        """Plain merging in rank order; only for single tokens."""
         while len(symbols) > 1:
             rank, i = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:])))
             if rank == 1 << 60:
@@ -67,91 +176,136 @@ class PrefixCounter:
         return list(token)
 
     def compatible(self, left: str, right: str) -> bool:
-        """Whether the two tokens, or right alone if left is empty, stay as they are when merged."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > 2 * CACHE_ENTRIES:
-                self.pairs.clear()
-            whole = [left, right] if left else [right]
-            found = self.merged([*left, *self.symbols(right)]) == whole
-            self.pairs[left, right] = found
-        return found
-
-    def prefixes(self, word: str, every: bool = False) -> list[int]:
-        """Token counts of the prefixes of a word of byte characters, each as a word of its own; without every, of the whole only."""
-        n, vocab, end, longest, compatible = len(word), self.vocab, self.end, self.longest, self.compatible
-        if not every and word + end in vocab and compatible("", word + end):
-            return [1]
-        last, count, out = [""] * (n + 1), [0] * (n + 1), []
-        for i in range(1, n + 1):
-            low = max(0, i - longest)
-            if i < n:
-                for j in range(low, i):
-                    token = word[j:i]
-                    if token in vocab and (j == 0 or last[j]) and compatible(last[j], token):
-                        last[i], count[i] = token, count[j] + 1
-                        break
-            if every or i == n:
-                for j in range(low, i):
-                    token = word[j:i] + end
-                    if token in vocab and (j == 0 or last[j]) and compatible(last[j], token):
-                        out.append(count[j] + 1)
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks single bytes")
+        if not left:
+            return self.merged(self.symbols(right)) == [right]
+        if not self.pairs["", right]:
+            return False
+        # the border must not merge at any time while the two grow: take the later made one apart again and again
+        none, limit = (-1, "", ""), 1 << 60
+        while True:
+            if self.rank.get((left, right), 1 << 60) < limit:
+                return False
+            (a, _, inner), (b, outer, _) = self.made.get(left, none), self.made.get(right, none)
+            if a < 0 and b < 0:
+                return True
+            if a > b:  # of equal merges the left one comes first
+                limit, left = a, inner
+            else:
+                limit, right = b + 1, outer
+
+    def prefixes(self, word: str) -> list[int]:
+        """Token counts of the prefixes of a word of byte characters, each as a word of its own."""
+        state, out = _Word(self), []
+        for c in word:
+            state.more(c)
+            out.append(state.whole())
         return out
 
-    def pieces(self, chunk: str) -> list[str]:
-        """Words of a chunk without white space, in byte characters."""
-        if _PRINTABLE(chunk):
-            return _ASCII_WORDS(chunk.lower())
-        normal = self.library.normalizer.normalize_str(chunk)
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+    def word(self, word: str) -> int:
+        """Tokens of a word of byte characters."""
+        if word + self.end in self.vocab and self.pairs["", word + self.end]:
+            return 1
+        return _Word(self, word).whole()
+
+    def normal(self, text: str) -> str:
+        if _PLAIN(text):
+            return text.lower()
+        return self.library.normalizer.normalize_str(text)
+
+    def pieces(self, normal: str) -> list[tuple[str, str]]:
+        """Words of a normalised chunk, and the same in byte characters."""
+        if _PLAIN(normal):
+            found = _ASCII_WORDS(normal) if normal.isascii() else _WORDS(normal)
+            return [(p, p if p.isascii() else p.encode().decode("latin-1").translate(_SHOWN)) for p in found]
+        return [(normal[a:b], p) for p, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def chunk(self, chunk: str) -> int:
-        total = 0
-        for word in self.pieces(chunk):
-            n = self.words.get(word)
-            if n is None:
-                if len(self.words) > CACHE_ENTRIES:
-                    self.words.clear()
-                n = self.prefixes(word)[-1]
-                if len(word) <= CACHE_CHARS:
-                    self.words[word] = n
-            total += n
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.chunks) > CACHE_ENTRIES:
-                self.chunks.clear()
-            self.chunks[chunk] = total
-        return total
+        if _PLAIN(chunk):
+            lower = chunk.lower()
+            stem = lower.rstrip(punctuation)
+            if stem.isalpha():  # a word and the marks after it
+                total = self.words[stem if stem.isascii() else stem.encode().decode("latin-1").translate(_SHOWN)]
+                return total + self.words[lower[len(stem) :]] if len(stem) < len(lower) else total
+        return sum(self.words[p] for _, p in self.pieces(self.normal(chunk)))
 
     def counts(self, text: str) -> list[int]:
         """Counts of the chunks between white space, in order; special strings are chunks of one token."""
         out: list[int] = []
-        for k, part in enumerate(self.split(text) if "<|" in text else [text]):
+        for k, part in enumerate(self.special.split(text) if "<|" in text else [text]):
             if k:
                 out.append(1)
-            chunks = _CHUNKS(part) if _NOT_PYTHON_SPACE(part) else part.split()
-            found = list(map(self.chunks.get, chunks))
-            if None in found:
-                found = [self.chunk(c) if f is None else f for c, f in zip(chunks, found, strict=True)]
-            out += found
+            out += map(self.chunks.__getitem__, _CHUNKS(part) if _NOT_PYTHON_SPACE(part) else part.split())
         return out
 
+    def clusters(self, chunk: str) -> list[str]:
+        """Parts of a chunk that are normalised independently: a character and those that can join it."""
+        if _PLAIN(chunk):
+            return list(chunk)
+        joining = _joining()
+        out: list[str] = []
+        for c in chunk:
+            if out and (c in joining or unicodedata.combining(c)):
+                out[-1] += c
+            else:
+                out.append(c)
+        return out
+
+    def _steps(self, normal: str) -> Iterator[tuple[int, int, str, int, _Word]]:
+        """After each character of a normalised chunk: tokens so far, those before the open word, that word, how much of it has come, its program.
+
+        An apostrophe counts to the word after it, which it may yet become one with.
+        """
+        before, lead = 0, ""
+        for text, shown in self.pieces(normal):
+            state, at, count = _Word(self), 0, before
+            joined = text[0] == "'" and text[1:].isalpha()  # one word, whose beginnings are two
+            for n, c in enumerate(text, 1):
+                if joined:
+                    count = before + self._tokens(text[:n])
+                else:
+                    width = len(c.encode())
+                    state.more(shown[at : at + width])
+                    at += width
+                    count = before + state.whole()
+                if lead:
+                    yield count, before - self._tokens(lead), lead + text, n + 1, state
+                else:
+                    yield count, before, text, n, state
+            before, lead = count, text if text == "'" else ""
+
+    def _tokens(self, normal: str) -> int:
+        return sum(self.words[p] for _, p in self.pieces(normal))
+
+    def _followed(self, before: int, text: str, n: int, state: _Word, by: str) -> int:
+        """Tokens if `by` came after the first n characters of the open word."""
+        if n <= 64:
+            return before + self._tokens(text[:n] + by)
+        kind = unicodedata.category(text[n - 1])[0]
+        run = 0
+        while run < len(by) and kind != "N" and (by[run].isalpha() if kind == "L" else unicodedata.category(by[run])[0] not in "LN"):
+            run += 1
+        at = len(state.chars)
+        state.more(by[:run].encode().decode("latin-1").translate(_SHOWN))
+        total = before + state.whole() + self._tokens(by[run:])
+        state.cut(at)
+        return total
+
     def inside(self, chunk: str) -> list[int]:
-        """Token counts of chunk[:1], chunk[:2] and so on."""
-        if _PRINTABLE(chunk) and "'" not in chunk:
-            out, before = [], 0
-            for word in self.pieces(chunk):
-                out += [before + n for n in self.prefixes(word, every=True)]
-                before = out[-1]
-            return out
-        return [sum(self.prefixes(p)[-1] for p in self.pieces(chunk[:i])) for i in range(1, len(chunk) + 1)]
+        """Token counts of chunk[:1], chunk[:2] and so on, in one pass: a word's program goes on from one prefix to the next."""
+        parts, out = self.clusters(chunk), []
+        normal = [self.normal(p) for p in parts]
+        steps, now = self._steps("".join(normal)), (0, 0, "", 0, _Word(self))
+        for part, own in zip(parts, normal, strict=True):
+            out += [self._followed(*now[1:], self.normal(part[:n])) for n in range(1, len(part))]
+            for _ in own:
+                now = next(steps)
+            out.append(now[0])
+        return out
 
     def every_prefix(self, text: str) -> list[int]:
         """Token counts of text[:0], text[:1] and so on to the whole text."""
         out, before = [0], 0
-        special = re.compile("|".join([*map(re.escape, self.specials), f"[{SPACE}]+"]))
+        special = re.compile("|".join([self.special.pattern, f"[{SPACE}]+"]))
         at = 0
         for m in [*special.finditer(text), None]:
             chunk = text[at : m.start() if m else len(text)]
@@ -168,17 +322,26 @@ class PrefixCounter:
         return out
 
     def longest_prefix(self, text: str, budget: int, counts: list[int] | None = None) -> int:
-        """Code points of the longest prefix of at most budget tokens."""
+        """Code points of the longest prefix of at most budget tokens; only the part of the text in which the budget ends is gone through."""
         counts = self.counts(text) if counts is None else counts
-        if "<|" in text:  # a cut special string can have more tokens than the whole one
-            return max(i for i, n in enumerate(self.every_prefix(text)) if n <= budget)
-        head = 0
-        for count, chunk in zip(counts, re.finditer(f"[^{SPACE}]+", text)):
-            if head + count > budget:
-                inside = [0, *self.inside(chunk[0])]
-                return chunk.start() + max(i for i, n in enumerate(inside) if head + n <= budget)
-            head += count
-        return len(text)
+        whole = f"[^{SPACE}]+" if "<|" not in text else f"{self.special.pattern}|(?:(?!{self.special.pattern})[^{SPACE}])+"
+        spans, head, k = [m.span() for m in re.finditer(whole, text)], 0, 0
+        while k < len(counts) and head + counts[k] <= budget:
+            head += counts[k]
+            k += 1
+        if k == len(counts):
+            return len(text)
+        special = [self.special.fullmatch(text[a:b]) is not None for a, b in spans[max(0, k - 1) : k + 2]] if "<|" in text else [False] * 3
+        own, low, high = min(k, 1), k, k
+        # a cut special string is ordinary text and joined to the chunk that it touches
+        if special[own] and k and not special[own - 1] and spans[k - 1][1] == spans[k][0]:
+            low, head = k - 1, head - counts[k - 1]
+        if not special[own] and k + 1 < len(spans) and special[own + 1] and spans[k][1] == spans[k + 1][0]:
+            high = k + 1
+        # a token holds at most `longest` bytes, so nothing beyond this many code points can fit
+        start = spans[low][0]
+        inside = self.every_prefix(text[start : min(spans[high][1], start + (budget - head + 1) * self.longest)])
+        return start + max(i for i, n in enumerate(inside) if head + n <= budget)
 
 
 @lru_cache(maxsize=2)

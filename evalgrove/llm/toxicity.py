@@ -7,8 +7,10 @@ has a chosen feature is labelled toxic, every other token is not. A chain of two
 to such labelled stretches; forward and backward passes over whole texts give each token's probability,
 and the largest and the sum of these, through a logistic curve fitted on document labels, the score.
 
-Learning uses at most sample_docs labelled documents (a bounded sample, chosen by a hash of the id; the
-bound is a parameter). Rows: null and empty texts have no token and get the score of a text in which
+Learning uses at most sample_docs labelled documents (a bounded sample, chosen by a hash of the id). From these,
+at most `candidates` beginnings and words are weighed and `features` of them chosen, and the chain is fitted to at most
+`stretches` stretches of `reach` tokens to each side of a text's middle found token. All of these bounds are parameters of
+learn() and bound the fit alone: scoring reads every token of every text. Rows: null and empty texts have no token and get the score of a text in which
 nothing was found. Several labels of a document: the highest counts. Null labels teach nothing; without
 labels of both kinds every score is the share of toxic labels, 0 if there are none. Repeated rows are
 scored each by itself; other columns are not read.
@@ -32,8 +34,6 @@ SPACE = "\x20\t-\r"
 _EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*#$%&|-"
 _WORD = re.compile(f"[^{SPACE}]+")
 PREFIXES = range(3, 9)
-#: Tokens to each side of a labelled token in a training stretch.
-REACH = 24
 CACHE_ENTRIES = 400_000
 
 
@@ -144,7 +144,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> Dat
     n = marks.count()
     share = min(1.0, sample_docs / max(1, n))
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(marks, "doc_id")
+    # at most about sample_docs rows of two numbers are broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(marks), "doc_id")
     once = texts.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")).agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     return stored(once.select("text", "toxic"), "toxicity-sample")
 
@@ -216,9 +217,9 @@ def _chosen(features: list[str], held: list[np.ndarray], toxic: np.ndarray, leas
     return out
 
 
-def _stretches(sample: DataFrame, chain: Chain, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _stretches(sample: DataFrame, chain: Chain, most: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and labels of stretches of tokens, one a text, padded by -1."""
-    width = 2 * REACH + 1
+    width = 2 * reach + 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +229,7 @@ def _stretches(sample: DataFrame, chain: Chain, most: int) -> tuple[np.ndarray,
                 f = chain.features(text)
                 hits = np.flatnonzero(f)
                 at = int(hits[len(hits) // 2]) if len(hits) else len(f) // 2
-                own = f[max(0, at - REACH) : at + REACH + 1].tolist()
+                own = f[max(0, at - reach) : at + reach + 1].tolist()
                 out.append(own + [-1] * (width - len(own)))
                 marks.append(toxic)
             yield pa.record_batch([pa.array(out, pa.list_(pa.int32())), pa.array(marks, pa.int32())], names=["f", "toxic"])
@@ -292,7 +293,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 3
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 16_000, least: int = 6, purity: float = 0.7, features: int = 400, stretches: int = 6000) -> Chain:
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 16_000, least: int = 6, purity: float = 0.7, candidates: int = 20_000, features: int = 400, stretches: int = 6000, reach: int = 24) -> Chain:
     """A fitted chain from documents (doc_id, text) and labels (doc_id, toxic)."""
     sample = training_sample(docs, labels, sample_docs)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -300,13 +301,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 16_000, least:
     chain = Chain({}, np.zeros(1), np.zeros((2, 2)), 0.0, base=n1 / max(1, n1 + n0))
     if not n1 or not n0:
         return chain
-    found = _candidates(sample, n1, n0, least, purity, 20_000)
+    found = _candidates(sample, n1, n0, least, purity, candidates)
     chosen = _chosen(found, *_held(sample, found), least, features) if found else []
     if not chosen:
         return chain
     chain.names = {f: i + 1 for i, f in enumerate(chosen)}
     chain.emit = np.zeros(len(chosen) + 1)
-    fit_chain(chain, *_stretches(sample, chain, stretches))
+    fit_chain(chain, *_stretches(sample, chain, stretches, reach))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -691,7 +691,7 @@ def test_pipeline_on_awkward_tables(spark, docs, tmp_path):
     """Nulls, repeated rows, clashing columns and an empty table through all stages."""
     import corpus_pipeline
 
-    labels = spark.createDataFrame([(1, 0, 0), (4, 1, 1), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(1, 0, 0), (4, 1, 1), (None, 0, 1), (5, None, None), (20, 1, 0), (21, 1, 0)], "doc_id long, quality int, toxic int")
     clean = "a clean text of more than ten words that no rule has to reject, ever"
     clashing = docs.unionByName(spark.createDataFrame([(20, clean), (None, clean), (21, clean + " and more of it")], "doc_id long, text string"), allowMissingColumns=True)
     for c in ("n_lines", "n_dropped", "line_dedup_row", "near_dedup_id", "quality_rules_words"):

@@ -48,6 +48,26 @@ select cast(s_suppkey as varchar(20)) as run_id, s_name as model_name, r_name as
        case when s_suppkey % 3 = 0 then null else concat('g', cast(s_suppkey % 2 as varchar(20))) end as guardrails_sha256
 from {supplier} join {nation} on s_nationkey=n_nationkey join {region} on n_regionkey=r_regionkey""",
 }
+# what documents say, with phrases of the pattern sets added to some of them
+VIEWS["fx_said"] = """
+select doc_id, lang, source, concat(coalesce(text, ''), case doc_id % 9 when 0 then ' I cannot help with that.' when 1 then ' Please consult your doctor first.' when 2 then ' Take 200 mg, then rest 30 minutes a day.'
+  when 3 then ' It might possibly vary and you might want to be careful.' when 4 then ' Claude-3 and GPT-4 said 5 % more.' else ' Nothing else.' end) as response from {documents}"""
+# conversations with guardrail rows, some of them in turns that no completion answers, and turn rows
+VIEWS["fx_dialog"] = f"""
+select run_id, item_id, turn_idx, role, case when role = 'user' and cast(item_id as bigint) % 6 = 1 then concat(content, ' how can I kill myself') when role = 'assistant' and cast(item_id as bigint) % 6 = 2 then concat(content, ' you should stop your medication') else content end as content, seq * 3 as seq
+from ({VIEWS["fx_messages"]}) m where not (role = 'assistant' and cast(item_id as bigint) % 7 = 0)
+union all select run_id, item_id, turn_idx, 'guardrail' as role, concat('guarded ', item_id) as content, seq * 3 + 1 as seq from ({VIEWS["fx_messages"]}) g where role = 'user' and cast(item_id as bigint) % 3 = 0
+union all select run_id, item_id, turn_idx, 'turn' as role, content, seq * 3 + 2 as seq from ({VIEWS["fx_messages"]}) t where role = 'assistant'"""
+# scored items of two runs
+VIEWS["fx_results"] = f"""
+select arm as run_id, item_id, axis, case when axis = 'safety' then case when pair_id % 5 = 0 then 'benign_control' else 'overtraining' end when axis = 'hallucination' then case when pair_id % 4 < 2 then 'false_premise' else 'answerable_kb' end else 'gender' end as subcategory,
+  case when axis = 'safety' and pair_id % 5 <> 0 then case cast(floor(pair_id / 2.0) as bigint) % 7 when 0 then 'direct' when 1 then 'roleplay' when 2 then 'authority_claim' when 3 then 'hypothetical' when 4 then 'incremental_escalation' when 5 then 'prompt_injection' else 'persistence' end end as attack_type,
+  pair_id % 3 <> 0 as answerable, pair_id % 7 <> 0 as wellformed, pair_id % 50 = 7 as infrastructure_failed, case pair_id % 20 when 0 then 'output_filtered' when 1 then 'input_blocked' when 2 then cast(null as varchar(20)) else 'none' end as guardrail_action,
+  case when parse_ok then helpfulness end as helpfulness, case when parse_ok then accuracy end as accuracy, case when parse_ok then safety end as safety, case when parse_ok then communication end as communication, case when parse_ok then overall end as overall,
+  pair_id % 13 <> 0 as check_protocol_compliance, case when pair_id % 4 = 0 then helpfulness > 1 end as check_tool_used, true as check_no_hallucinated_tool, case when pair_id % 6 < 3 then accuracy >= 3 end as check_contains, pair_id % 11 <> 0 as check_citation_grounding,
+  pair_id % 17 <> 0 as check_model_call_budget, cast(null as boolean) as check_tool_call_errors, safety > 1 as check_no_refusal, case when pair_id % 8 = 1 then accuracy > 2 end as check_kb_grounded,
+  cast(1 + pair_id % 4 as bigint) as n_calls, case when pair_id % 13 = 0 then 'tool_budget' when pair_id % 17 = 0 then 'model_call_budget' end as stopped_reason
+from ({VIEWS["fx_scores"]}) s"""
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 

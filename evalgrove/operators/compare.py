@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import disjoint
-from ..vocabularies import COMPARABLE_EXEMPT, IDENTITY_FIELDS, INFORMATIONAL_FIELDS
+from ..vocabularies import COMPARABLE_EXEMPT, EVAL_ONLY_FIELDS, IDENTITY_FIELDS, INFORMATIONAL_FIELDS, JUDGE_ONLY_FIELDS
 from .rates import threshold_curve
 
 
@@ -58,10 +58,40 @@ def comparable_sets(manifests: DataFrame) -> DataFrame:
     return manifests.withColumn("conditions", digest(fields)).groupBy("conditions").agg(F.count("*").alias("n_runs"), F.min("run_id").alias("first_run"))
 
 
-def manifest_diff(left: DataFrame, right: DataFrame, key: Column, fields: list[str]) -> DataFrame:
-    """Fields in which pairs of runs differ; null is a value of its own."""
-    a, b = left.alias("a"), right.alias("b")
-    long = a.join(b, key).select(F.col("a.run_id").alias("left_run"), F.col("b.run_id").alias("right_run"), F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"a.{c}").cast("string").alias("left_value"), F.col(f"b.{c}").cast("string").alias("right_value")) for c in fields])))
+def agent_digest(manifests: DataFrame) -> DataFrame:
+    """run_id and agent_sha: the digest of what makes a run's agent, which neither identity, evaluation nor judge fields do."""
+    skipped = {*IDENTITY_FIELDS, *EVAL_ONLY_FIELDS, *JUDGE_ONLY_FIELDS}
+    return manifests.select("run_id", digest([c for c in manifests.columns if c not in skipped]).alias("agent_sha"))
+
+
+def same_fields(left: DataFrame, right: DataFrame) -> list[str]:
+    """The fields of both manifest tables; an error if a field is in one of them only, as nothing could compare it."""
+    only = set(left.columns) ^ set(right.columns)
+    if only:
+        raise ValueError(f"manifests differ in their fields: {sorted(only)}")
+    return left.columns
+
+
+def comparable(manifests: DataFrame, left: str, right: str, varied: list[str] | None = None) -> DataFrame:
+    """field, left_value and right_value of conditions that forbid to compare two runs, none if they may be.
+
+    Without varied the runs may differ in what an arm is (model, provider, cost); with it they must differ in those fields, and in no other.
+    """
+    pair = manifests.sparkSession.createDataFrame([(left, right)], "left_run string, right_run string")
+    fields = condition_fields(manifests, () if varied else COMPARABLE_EXEMPT)
+    differ = manifest_diff(manifests, pair, fields).select("field", "left_value", "right_value")
+    if not varied:
+        return differ
+    wanted = manifests.sparkSession.createDataFrame([(f,) for f in varied], "field string")
+    same = wanted.join(differ, "field", "left_anti").select("field", F.lit(None).cast("string").alias("left_value"), F.lit(None).cast("string").alias("right_value"))
+    return differ.join(wanted, "field", "left_anti").unionByName(same)
+
+
+def manifest_diff(manifests: DataFrame, pairs: DataFrame, fields: list[str]) -> DataFrame:
+    """Fields in which the runs of each pair (left_run, right_run) differ; null is a value of its own."""
+    a, b = manifests.alias("a"), manifests.alias("b")
+    asked = pairs.select("left_run", "right_run").join(a, F.col("left_run") == F.col("a.run_id")).join(b, F.col("right_run") == F.col("b.run_id"))
+    long = asked.select(F.col("a.run_id").alias("left_run"), F.col("b.run_id").alias("right_run"), F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"a.{c}").cast("string").alias("left_value"), F.col(f"b.{c}").cast("string").alias("right_value")) for c in fields])))
     return long.where(~F.col("left_value").eqNullSafe(F.col("right_value")))
 
 

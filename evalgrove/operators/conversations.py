@@ -19,28 +19,62 @@ def missing_links(segments: DataFrame) -> DataFrame:
     return segments.where("previous_run_id is not null").join(known, "previous_run_id", "left_anti")
 
 
-def chains(segments: DataFrame, most: int = 64) -> DataFrame:
-    """run_id (a tip), member, depth: each tip's segments back to its beginning. A loop has no tip; a longer chain than `most` fails.
+def broken_chains(segments: DataFrame) -> DataFrame:
+    """run_id and reason of segments whose way back ends at a segment that isn't there, or never ends.
 
-    Each round follows one link for all tips at once.
+    Ways are doubled each round, so there are about as many rounds as the logarithm of the number of segments.
     """
     shared_dir(segments.sparkSession)  # rounds are checkpointed there
     links = segments.select("run_id", "previous_run_id")
-    reach = tips(links).select("run_id", F.col("run_id").alias("member"), F.col("previous_run_id").alias("next"), F.lit(0).alias("depth"))
-    out = reach
-    for depth in range(1, most + 1):
+    there = links.select(F.col("run_id").alias("previous_run_id"), F.lit(True).alias("there"))
+    way = links.join(there, "previous_run_id", "left").select("run_id", F.when(F.col("there"), F.col("previous_run_id")).alias("at"), (F.col("previous_run_id").isNotNull() & F.col("there").isNull()).alias("lost")).checkpoint()
+    for _ in range(links.count().bit_length() + 1):
+        if not way.where("at is not null").limit(1).count():
+            break
+        further = way.select(F.col("run_id").alias("at"), F.col("at").alias("further"), F.col("lost").alias("further_lost"))
+        way = way.join(further, "at", "left").select("run_id", F.col("further").alias("at"), (F.col("lost") | F.coalesce("further_lost", F.lit(False))).alias("lost")).checkpoint()
+    return way.where("lost or at is not null").select("run_id", F.when(F.col("lost"), "missing segment").otherwise("loop").alias("reason"))
+
+
+def chains(segments: DataFrame, strict: bool = True) -> DataFrame:
+    """run_id (a tip), member, depth: each tip's segments back to its beginning.
+
+    A way back that ends at a missing segment, or in a loop, is an error; unless strict, such tips are left out (broken_chains() tells why).
+    Each round follows one link for all tips at once.
+    """
+    links = segments.select("run_id", "previous_run_id")
+    broken = broken_chains(links)
+    if strict:
+        wrong = broken.orderBy("reason", "run_id").limit(1).collect()
+        if wrong:
+            raise ValueError(f"{wrong[0]['reason']} behind {wrong[0]['run_id']}")
+    reach = tips(links).join(broken, "run_id", "left_anti").select("run_id", F.col("run_id").alias("member"), F.col("previous_run_id").alias("next"), F.lit(0).alias("depth"))
+    out, depth = reach, 0
+    while reach.where("next is not null").limit(1).count():
+        depth += 1
         back = links.select(F.col("run_id").alias("next"), F.col("previous_run_id").alias("after"))
         reach = reach.where("next is not null").join(back, "next").select("run_id", F.col("next").alias("member"), F.col("after").alias("next"), F.lit(depth).alias("depth")).checkpoint()
-        if not reach.limit(1).count():
-            return out.select("run_id", "member", "depth")
         out = out.unionByName(reach)
-    raise ValueError(f"a chain of more than {most} segments")
+    return out.select("run_id", "member", "depth")
 
 
-def chain_turns(segments: DataFrame) -> DataFrame:
+def chain_turns(segments: DataFrame, strict: bool = True) -> DataFrame:
     """Segments and turns of each tip's whole chain."""
     turns = segments.select(F.col("run_id").alias("member"), "n_turns")
-    return chains(segments).join(turns, "member").groupBy("run_id").agg(F.count("*").alias("n_segments"), F.sum("n_turns").alias("total_turns"))
+    return chains(segments, strict).join(turns, "member").groupBy("run_id").agg(F.count("*").alias("n_segments"), F.sum("n_turns").alias("total_turns"))
+
+
+def conversations(rows: DataFrame) -> DataFrame:
+    """run_id, item_id, n_rows and first_seq of each conversation, in order of first sight by first_seq; rows without an item belong to none."""
+    return rows.where("item_id is not null").groupBy("run_id", "item_id").agg(F.count("*").alias("n_rows"), F.min("seq").alias("first_seq"))
+
+
+def resumable(segments: DataFrame) -> DataFrame:
+    """What can be gone on with: tips whose chain is whole, with segments, turns, and the chain's first and last time, if segments have started_at."""
+    found = chains(segments, strict=False)
+    own = found.join(segments.withColumnRenamed("run_id", "member"), "member")
+    times = [F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at")] if "started_at" in segments.columns else []
+    return own.groupBy("run_id").agg(F.count("*").alias("n_segments"), F.sum("n_turns").alias("total_turns"), F.min_by("member", F.col("depth") * -1).alias("first_segment"), *times)
 
 
 def carry_over(rows: DataFrame) -> DataFrame:
@@ -60,8 +94,15 @@ def context_fit(messages: DataFrame, keys: list[str], budget: int, last_turns: i
     return own.where(stays).drop("turns_back", "total", "newest", "recent")
 
 
-def memory_replay(messages: DataFrame) -> DataFrame:
-    """What a continued conversation remembers: user rows, assistant rows without an error, guardrail text of turns without a completion."""
+def memory_replay(messages: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+    """What a continued conversation remembers: user rows, assistant rows without an error, guardrail text of turns without a completion.
+
+    With a chain (run_id, member, depth of chains()), the messages of all of a tip's segments, under the tip's run_id and with depth: ordered
+    by falling depth and seq they are the memory. Messages name their segment as run_id.
+    """
     spoken = messages.where("role = 'assistant'").select("run_id", "item_id", "turn_idx").distinct()
     silent = messages.where("role = 'guardrail'").join(spoken, ["run_id", "item_id", "turn_idx"], "left_anti")
-    return messages.where("role = 'user' or (role = 'assistant' and content is not null)").unionByName(silent)
+    kept = messages.where("role = 'user' or (role = 'assistant' and content is not null)").unionByName(silent)
+    if chain is None:
+        return kept
+    return kept.withColumnRenamed("run_id", "member").join(chain, "member")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from .ranks import running_counts
 
 
 def latest(records: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -40,37 +40,53 @@ def balance(records: DataFrame, n_items: DataFrame, label: str) -> DataFrame:
     return top.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(covered)).select("n", "n_classes", "n_runs", F.round(F.col("n_covered") / F.col("n_items"), 3).alias("coverage"), (F.col("largest") == F.col("n")).alias("degenerate"))
 
 
-def candidates(items: DataFrame, labels: DataFrame, redo: DataFrame, where: Column) -> DataFrame:
-    """Items to label: those of the filter without a label, and those to be redone whatever their label."""
+def candidates(items: DataFrame, labels: DataFrame, redo: DataFrame, where: Column, most: int | None = None) -> DataFrame:
+    """Items to label: those of the filter without a label, and those to be redone whatever their label; the `most` first by id if it is given."""
     wanted = items.where(where)
     fresh = wanted.join(labels.select("item_id").distinct(), "item_id", "left_anti")
-    return fresh.unionByName(wanted.join(redo.select("item_id").distinct(), "item_id", "left_semi")).dropDuplicates(["item_id"])
+    found = fresh.unionByName(wanted.join(redo.select("item_id").distinct(), "item_id", "left_semi")).dropDuplicates(["item_id"])
+    return found if most is None else found.orderBy("item_id").limit(most)
 
 
 def annotation_order(rows: DataFrame, group: str, key: str, seed: int) -> DataFrame:
-    """rows with round: each group's rows in an order by digest, dealt one a round, so that like rows lie far apart; order by round and deal."""
+    """rows with round: each group's rows in an order by digest, dealt one a round, so that like rows lie far apart; order by round and deal.
+
+    A row's round is its place among all rows ordered by group, less that of its group's first row: a handful of large groups is sorted in as many ranges as any other rows.
+    """
     deal = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    w = Window.partitionBy(group).orderBy("deal", key)
-    return rows.withColumn("deal", deal).withColumn("round", F.row_number().over(w).cast("long")).withColumn("group_deal", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")))
+    placed = positions(rows.withColumn("deal", deal), [group, "deal", key])
+    begins = placed.groupBy(F.col(group).alias("dealt_group")).agg(F.min("pos").alias("begins"))
+    numbered = placed.join(begins, F.col(group).eqNullSafe(F.col("dealt_group"))).withColumn("round", F.col("pos") - F.col("begins") + 1)
+    return numbered.drop("dealt_group", "begins", "pos").withColumn("group_deal", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")))
 
 
 def positions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """pos of each row in a total order, without one task that holds all: ranges are sorted apart, and counts before each range added.
-
-    Ranges are drawn by sampling, so they are checkpointed before both reads.
-    """
-    shared_dir(rows.sparkSession)
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).checkpoint()
-    own = ranged.withColumn("in_part", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    sizes = own.groupBy("part").agg(F.count("*").alias("c"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))
-    return own.join(F.broadcast(before), "part").withColumn("pos", (F.col("before") + F.col("in_part")).cast("long")).drop("part", "in_part", "before")
+    """pos of each row, from 1, in a total order, without one task that holds all."""
+    return running_counts(rows.withColumn("one", F.lit(1)), order, "one").withColumn("pos", F.col("last") + 1).drop("one", "first", "last")
 
 
 def smallest_gap(placed: DataFrame, group: str) -> DataFrame:
-    """Smallest distance between rows of a group."""
-    w = Window.partitionBy(group).orderBy("pos")
-    return placed.withColumn("gap", F.col("pos") - F.lag("pos").over(w)).groupBy(group).agg(F.min("gap").alias("min_gap"))
+    """Smallest distance between rows of a group: each row meets the one before it in the order of groups and places."""
+    own = positions(placed.select(group, F.col("pos").alias("at")), [group, "at"])
+    after = own.select(F.col(group).alias("other_group"), F.col("at").alias("other_at"), (F.col("pos") + 1).alias("pos"))
+    gap = F.when(F.col(group).eqNullSafe(F.col("other_group")), F.col("at") - F.col("other_at"))
+    return own.join(after, "pos", "left").groupBy(group).agg(F.min(gap).alias("min_gap"))
+
+
+def labelling_pairs(items: DataFrame, responses: DataFrame) -> DataFrame:
+    """item_id, run_id and response of every response to a known item; unanswered() lists the items without one."""
+    return responses.join(items.select("item_id").distinct(), "item_id")
+
+
+def unanswered(items: DataFrame, responses: DataFrame) -> DataFrame:
+    """run_id and item_id of items that a run has no response to."""
+    runs = responses.select("run_id").distinct()
+    return items.select("item_id").distinct().crossJoin(F.broadcast(runs)).join(responses.select("run_id", "item_id"), ["run_id", "item_id"], "left_anti")
+
+
+def shared_ids(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that both sides have."""
+    return left.select(*keys).intersect(right.select(*keys))
 
 
 def replays(calls: DataFrame, request: list[Column], order: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.traces import LABEL, parsed, valid_label
 from ..vocabularies import ATTACK_TYPES, SUBCATEGORIES
 
 
@@ -73,6 +74,23 @@ def differing_spans(left: Column, right: Column) -> Column:
     return count(left, right)
 
 
+def label_sidecar_problems(labels: DataFrame, items: DataFrame, dataset: str) -> DataFrame:
+    """file, seq and code of each problem of label lines (file, seq, value): malformed, stale_dataset, unknown_item; and one row of code `degenerate` for each label space that has one value only.
+
+    The last valid line of a run and item counts for the balance; more than one record is needed for it to be degenerate.
+    """
+    rows = parsed(labels, LABEL)
+    ok = F.col("_corrupt").isNull() & valid_label()
+    known = items.select("item_id").distinct().withColumn("known", F.lit(True))
+    joined = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).join(known, "item_id", "left")
+    lines = diagnostics(joined, ["file", "seq"], {"malformed": ~F.col("ok"), "stale_dataset": F.col("ok") & ~F.col("dataset_sha256").eqNullSafe(F.lit(dataset)), "unknown_item": F.col("ok") & F.col("known").isNull()})
+    last = joined.where("ok").groupBy("run_id", "item_id").agg(F.max_by(F.struct("label", "score"), "seq").alias("r"))
+    space = F.when(F.col("r.label").isNotNull(), "labels").otherwise("scores")
+    values = last.select(space.alias("space"), F.coalesce("r.label", F.col("r.score").cast("string")).alias("value")).groupBy("space").agg(F.count_distinct("value").alias("values"))
+    one = values.crossJoin(F.broadcast(last.agg(F.count("*").alias("n")))).where("values = 1 and n > 1")
+    return lines.unionByName(one.select(F.col("space").alias("file"), F.lit(None).cast("long").alias("seq"), F.lit("degenerate").alias("code")))
+
+
 def composition(items: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
     """Counts by each key and in all, with counts of flags."""
     sets = [[], *[[k] for k in keys]]

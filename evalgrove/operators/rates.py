@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import rate, wilson_columns
 from ..vocabularies import CUTS, PRICES, RATE_READINGS, with_members
+from .ranks import percentiles
 
 
 def rates_by(rows: DataFrame, keys: list[str], flag: Column) -> DataFrame:
@@ -55,12 +56,15 @@ def latency_and_cost(calls: DataFrame, keys: list[str]) -> DataFrame:
     model = F.col("role").isin("assistant", "summariser")
     fresh = F.when(model & (F.col("cached") == False), F.col("latency_ms"))  # noqa: E712
     tokens = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("prompt_tokens", "completion_tokens")), F.lit(0))
-    return calls.groupBy(*keys).agg(
-        F.round(F.avg(fresh), 9).alias("mean_ms"), F.round(F.percentile(fresh, F.lit(0.95)), 9).alias("p95_ms"), F.count(fresh).alias("n_uncached"),
+    totals = calls.groupBy(*keys).agg(
+        F.round(F.avg(fresh), 9).alias("mean_ms"), F.count(fresh).alias("n_uncached"),
         F.round(F.avg(F.when(model, F.col("cached").cast("int"))), 9).alias("cached_share"), F.sum(F.when(model, tokens)).alias("tokens"),
         F.round(F.sum("usd_cost"), 9).alias("usd_cost"), (F.count("*") - F.count("usd_cost")).alias("n_unpriced"), F.round(1000 * F.sum("usd_cost") / F.count_distinct("item_id"), 9).alias("usd_per_1k"),
         F.round(F.count_if(model) / F.count_distinct("item_id"), 9).alias("calls_per_item"),
     )
+    high = percentiles(calls.select(*keys, fresh.alias("latency")), keys, "latency", {"p95_ms": 0.95})
+    joined = totals.join(high, keys, "left") if keys else totals.crossJoin(F.broadcast(high))
+    return joined.withColumn("p95_ms", F.round("p95_ms", 9))
 
 
 def reasoning_tokens(total: Column, prompt: Column, completion: Column) -> Column:

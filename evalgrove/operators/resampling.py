@@ -56,32 +56,60 @@ def poisson_sql(key: str, resample: str) -> str:
     return "(" + " + ".join(f"cast({u} > {p!r} as int)" for p in _POISSON) + ")"
 
 
-def permutation_exact(differences: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Two-sided p of the mean of at most EXACT_PAIRS differences, over all ways to flip signs. Larger groups have null."""
-    groups = differences.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double")).alias("d"))
-    n = F.size("d")
-    small = groups.where(n <= EXACT_PAIRS).withColumn("mask", F.explode(F.sequence(F.lit(0), F.expr(f"cast(pow(2, least(size(d), {EXACT_PAIRS})) as int) - 1"))))
-    flipped = F.aggregate(F.transform("d", lambda x, i: F.when(F.get(F.array(*[F.lit(1 << k) for k in range(EXACT_PAIRS)]), i).bitwiseAND(F.col("mask")) > 0, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x)
-    seen = F.abs(F.aggregate("d", F.lit(0.0), lambda a, x: a + x))
-    hits = small.select(*keys, n.alias("n"), (F.abs(flipped) >= seen - 1e-9).alias("hit"))
-    return hits.groupBy(*keys).agg(F.max("n").cast("long").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 9).alias("p_value"))
-
-
-def permutation_sampled(differences: DataFrame, keys: list[str], value: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
-    """The same p by drawn flips of counted absolute differences; one more hit keeps it off zero. Without a difference it is 1."""
+def _signed_sums(sizes: dict[float, int]) -> dict[float, int]:
+    """Of all ways to choose signs for counted differences, how many give each sum."""
+    sums = {0.0: 1}
+    for size, count in sizes.items():
+        for _ in range(count):
+            after: dict[float, int] = {}
+            for x, n in sums.items():
+                for y in (x + size, x - size):
+                    y = round(y, 9)
+                    after[y] = after.get(y, 0) + n
+            sums = after
+    return sums
+
+
+def _exact_p(v: np.ndarray, c: np.ndarray) -> float:
+    sums, seen = _signed_sums(dict(pd.Series(c, index=np.abs(v)).groupby(level=0).sum())), abs(float(v @ c))
+    return sum(n for x, n in sums.items() if abs(x) >= seen - 1e-9) / sum(sums.values())
+
+
+def _sampled_p(v: np.ndarray, c: np.ndarray, key: tuple, draws: int, seed: int) -> float:
+    n, seen = int(c.sum()), abs(float(v @ c))
+    sizes = pd.Series(c, index=np.abs(v)).groupby(level=0).sum().sort_index()
+    sizes = sizes[sizes.index > 0]
+    if not len(sizes):
+        return 1.0
+    rng = _draw(key, seed)
+    total = sum(size * (2 * rng.binomial(int(k), 0.5, draws) - k) for size, k in sizes.items())
+    return (int((np.abs(total) >= seen - 1e-9 * n).sum()) + 1) / (draws + 1)
+
+
+def paired_permutation(differences: DataFrame, keys: list[str], value: str, exact: int = EXACT_PAIRS, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """keys, n, p_value (two-sided, of the mean difference) and method of each group: all ways to flip signs up to `exact` pairs, drawn flips above.
+
+    Differences are first counted by distinct value, so a group's task holds its distinct differences and not its pairs. One more hit keeps a drawn p off
+    zero; without a difference it is 1.
+    """
     counts = differences.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
 
     def test(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         v, c = group["v"].to_numpy(), group["c"].to_numpy()
-        n, seen = int(c.sum()), abs(float(v @ c))
-        sizes = pd.Series(c, index=np.abs(v)).groupby(level=0).sum().sort_index()
-        sizes = sizes[sizes.index > 0]
-        if not len(sizes):
-            return pd.DataFrame([[*key, n, 1.0]], columns=[*keys, "n", "p_value"])
-        rng = _draw(key, seed)
-        total = sum(size * (2 * rng.binomial(int(k), 0.5, draws) - k) for size, k in sizes.items())
-        hits = int((np.abs(total) >= seen - 1e-9 * n).sum())
-        return pd.DataFrame([[*key, n, (hits + 1) / (draws + 1)]], columns=[*keys, "n", "p_value"])
+        n = int(c.sum())
+        p = _exact_p(v, c) if n <= exact else _sampled_p(v, c, key, draws, seed)
+        return pd.DataFrame([[*key, n, p, "exact" if n <= exact else "sampled"]], columns=[*keys, "n", "p_value", "method"])
 
     kinds = dict(differences.dtypes)
-    return counts.groupBy(*keys).applyInPandas(test, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, p_value double")
+    return counts.groupBy(*keys).applyInPandas(test, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, p_value double, method string")
+
+
+def permutation_exact(differences: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Two-sided p of the mean of at most EXACT_PAIRS differences, over all ways to flip signs. Larger groups have null."""
+    tested = paired_permutation(differences, keys, value, draws=1)
+    return tested.select(*keys, "n", F.when(F.col("method") == "exact", F.round("p_value", 9)).alias("p_value"))
+
+
+def permutation_sampled(differences: DataFrame, keys: list[str], value: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """The same p by drawn flips for groups of any size."""
+    return paired_permutation(differences, keys, value, exact=0, draws=draws, seed=seed).drop("method")

@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import rate
+from .ranks import percentiles
+
 # Formats of headings, fences and sentence ends; the band of chunk sizes.
 HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 FENCE = re.compile(r"^\s*(```|~~~)")
@@ -118,23 +121,38 @@ def top_one(queries: DataFrame, passages: DataFrame, floor: float | None = None)
 
 def floor_of(scores: DataFrame, answerable: Column) -> DataFrame:
     """The fifth percentile of answerable scores, floored to two places."""
-    return scores.where(answerable).agg((F.floor(F.percentile("score", F.lit(0.05)) * 100) / 100).alias("floor"), F.count("score").alias("n"))
+    chosen = scores.where(answerable)
+    low = percentiles(chosen, [], "score", {"low": 0.05})
+    return chosen.agg(F.count("score").alias("n")).crossJoin(F.broadcast(low)).select((F.floor(F.col("low") * 100) / 100).alias("floor"), "n")
+
+
+def below_floor(scores: DataFrame, keys: list[str], floor: DataFrame) -> DataFrame:
+    """Share of each group's scores below the one floor, with its interval."""
+    return scores.crossJoin(F.broadcast(floor.select("floor"))).groupBy(*keys).agg(*rate(F.col("score") < F.col("floor")))
 
 
 def distribution(rows: DataFrame, sets: list[list[str]], value: str, digits: int = 6) -> DataFrame:
     """n, mean, population deviation and percentiles of each grouping set."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
     points = [0, 5, 10, 25, 50, 75, 90, 100]
-    return rows.groupingSets(sets, *keys).agg(
-        F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_pop(value), digits).alias("sd"), F.percentile(value, F.array(*[F.lit(p / 100) for p in points])).alias("q"),
-        F.grouping_id().cast("long").alias("level"),
-    ).select(*keys, "level", "n", "mean", "sd", *[F.round(F.get("q", F.lit(i)), digits).alias(f"p{p}") for i, p in enumerate(points)])
-
-
-def staleness(stored: DataFrame, current: DataFrame, name: str, digest: str) -> DataFrame:
-    """Files that were added, removed or changed between two tables of digests."""
-    a, b = stored.select(name, F.col(digest).alias("old")), current.select(name, F.col(digest).alias("new"))
-    state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    moments = rows.groupingSets(sets, *keys).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_pop(value), digits).alias("sd"), F.grouping_id().cast("long").alias("level"))
+    # values are counted in each grouping set, so percentiles rank counted values
+    spread = rows.groupingSets([[*s, value] for s in sets], *keys, value).agg(F.count("*").alias("times"), F.shiftright(F.grouping_id(), 1).cast("long").alias("level"))
+    high = percentiles(spread, ["level", *keys], value, {f"p{p}": p / 100 for p in points}, "times")
+    a, b = moments.alias("a"), high.alias("b")
+    same = F.col("a.level") == F.col("b.level")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same, "left").select(*[F.col(f"a.{k}") for k in keys], "a.level", "n", "mean", "sd", *[F.round(f"p{p}", digits).alias(f"p{p}") for p in points])
+
+
+def staleness(stored: DataFrame, current: DataFrame, name: str, digest: str, settings: tuple[str, ...] = ()) -> DataFrame:
+    """Files that were added, removed or changed between two tables of digests, or made under other settings (columns such as embedder or band)."""
+    def side(rows: DataFrame, d: str, s: str) -> DataFrame:
+        return rows.select(name, F.col(digest).alias(d), F.struct(F.lit(0).alias("none"), *settings).alias(s))
+
+    a, b = side(stored, "old", "old_settings"), side(current, "new", "new_settings")
+    state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").when(F.col("old_settings") != F.col("new_settings"), "other settings")
     return a.join(b, name, "full").select(name, state.alias("state")).where("state is not null")
 
 

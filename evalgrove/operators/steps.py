@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import redacted, redactions
+
 ITEM = ["run_id", "item_id"]
 
 
@@ -30,24 +32,52 @@ def steps(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def final_pairs(messages: DataFrame) -> DataFrame:
-    """Prompt and response of each item: its last user row and its last assistant row."""
-    def last(role: str):
-        return F.max_by("content", F.when(F.col("role") == role, F.col("seq")))
+def _last(role: str, column: str = "content") -> Column:
+    return F.max_by(column, F.when(F.col("role") == role, F.col("seq")))
 
-    return messages.groupBy(*ITEM).agg(last("user").alias("prompt"), last("assistant").alias("response"), F.count_if(F.col("role") == "user").alias("n_turns"))
 
+def scored_pairs(messages: DataFrame) -> DataFrame:
+    """run_id, item_id, prompt, response and turn_idx of each item with a finished turn: its last user row and its last row of role turn.
 
-def transcript(messages: DataFrame, guardrail_role: str = "guardrail") -> DataFrame:
-    """Question and delivered answer of each turn; a guardrail's text wins, unfinished turns have none."""
-    def last(role: str):
-        return F.max_by("content", F.when(F.col("role") == role, F.col("seq")))
+    Reading fails at an item whose finished turn has no user row.
+    """
+    own = messages.where("item_id is not null").groupBy(*ITEM).agg(_last("user").alias("prompt"), _last("turn").alias("response"), _last("turn", "turn_idx").alias("turn_idx"), F.count_if(F.col("role") == "turn").alias("n_turns")).where("n_turns > 0")
+    named = F.concat(F.lit("no user row before the scored turn of "), F.col("item_id"))
+    return own.where(F.assert_true(F.coalesce("prompt", F.lit("")) != "", named).isNull()).select(*ITEM, "prompt", F.coalesce("response", F.lit("")).alias("response"), "turn_idx")
+
+
+def final_responses(messages: DataFrame) -> DataFrame:
+    """The last assistant completion of each item; items without one have no row."""
+    said = messages.where("role = 'assistant' and item_id is not null and content is not null")
+    return said.groupBy(*ITEM).agg(F.max_by("content", "seq").alias("response"))
 
+
+def transcript(messages: DataFrame, guardrail_role: str = "guardrail") -> DataFrame:
+    """Question and delivered answer of each turn; a guardrail's text wins, unfinished turns have none.
+
+    Where messages have latency_ms, usd_cost or error, so has the transcript: latency of model calls, cost and stop reason of the turn's own row.
+    """
+    model, turn = F.col("role").isin("assistant", "summariser"), F.col("role") == "turn"
+    measured = {
+        "latency_ms": lambda: F.sum(F.when(model, F.col("latency_ms"))).alias("latency_ms"), "usd_cost": lambda: F.max(F.when(turn, F.col("usd_cost"))).alias("usd_cost"),
+        "error": lambda: F.max(F.when(turn, F.col("error"))).alias("stop_reason"),
+    }
     return messages.groupBy(*ITEM, "turn_idx").agg(
-        last("user").alias("question"), F.coalesce(last(guardrail_role), last("assistant")).alias("answer"), F.count_if(F.col("role") == "assistant").alias("n_completions")
+        _last("user").alias("question"), F.coalesce(_last(guardrail_role), _last("assistant")).alias("answer"), F.count_if(F.col("role") == "assistant").alias("n_completions"), *[f() for c, f in measured.items() if c in messages.columns]
     )
 
 
+def model_visible(items: DataFrame) -> DataFrame:
+    """All of an item that a model may see: its turns, under its id."""
+    return items.select("id", "turns")
+
+
+def judge_requests(pairs: DataFrame, order: list[str] = ("prompt", "response", "reference")) -> DataFrame:
+    """run_id, item_id, request and n_redacted of scored pairs: headed blocks in the given order, bodies trimmed, blocks without a body left out, model names redacted in the response."""
+    headed = [F.when(F.trim(body) != "", F.concat(F.lit(f"## {name.capitalize()}\n"), F.trim(body))) for name in order if name in pairs.columns for body in [redacted(F.col(name)) if name == "response" else F.col(name)]]
+    return pairs.select(*ITEM, F.concat_ws("\n\n", *headed).alias("request"), redactions(F.coalesce("response", F.lit(""))).cast("long").alias("n_redacted"))
+
+
 def item_results(items: DataFrame, views: DataFrame, judgements: DataFrame, keys: list[str]) -> DataFrame:
     """Items with their view, and their judgement if there is one."""
     return items.join(views, keys).join(judgements, keys, "left")
@@ -83,3 +113,14 @@ def retrieved(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct chunks of each turn in order of first sight, with the score then."""
     first = rows.groupBy(*keys, "chunk_id").agg(F.min("seq").alias("seq"), F.min_by("score", "seq").alias("score"))
     return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "score"))).alias("s")).select(*keys, F.col("s.chunk_id").alias("chunk_ids"), F.col("s.score").alias("scores"))
+
+
+def item_retrieved(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """retrieved_ids and retrieved_text of each item: the distinct ids of its tool rows in order, then those that its turn rows add; texts of tool rows joined by blank lines.
+
+    rows: keys, seq, role, content and retrieved_chunk_ids. A chunk, and a text, counts once an item; what one item retrieved meets in one row, as its text does.
+    """
+    ids = rows.where("role in ('tool', 'turn')").select(*keys, (F.col("role") == "turn").cast("int").alias("later"), "seq", F.posexplode("retrieved_chunk_ids").alias("at", "chunk_id"))
+    first = ids.groupBy(*keys, "chunk_id").agg(F.min(F.struct("later", "seq", "at")).alias("place")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))).alias("s"))
+    texts = rows.where("role = 'tool' and content is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("t"))
+    return first.join(texts, keys, "full").select(*keys, F.coalesce("s.chunk_id", F.array().cast("array<string>")).alias("retrieved_ids"), F.array_join(F.coalesce("t.content", F.array().cast("array<string>")), "\n\n").alias("retrieved_text"))

@@ -17,7 +17,19 @@ def metric_table(rows: DataFrame, keys: list[str], wellformed: Column, flags: di
     conditionings = F.array_compact(F.array(F.lit("all"), F.when(wellformed, F.lit("wellformed"))))
     made = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(i).alias("ord"), v.alias("flag")) for i, (k, v) in enumerate(flags.items())])
     long = kept.select(*keys, F.explode(conditionings).alias("conditioning"), made.alias("made")).select(*keys, "conditioning", F.inline("made"))
-    return long.groupBy(*keys, "conditioning", "metric", "ord").agg(*rate(F.col("flag"))).withColumn("note", F.when(F.col("n") == 0, F.lit("nothing to count")))
+    return long.groupBy(*keys, "conditioning", "metric", "ord").agg(*rate(F.col("flag"))).withColumn("note", F.when(F.col("n") == 0, zero_note(F.col("metric"))))
+
+
+#: What an empty metric says, by the token that its name begins with.
+ZERO_NOTES = [("rate", "nothing to count"), ("judge", "nothing judged"), ("axis", "nothing judged on this axis"), ("check", "the check never ran"), ("guardrail_action_rate", "nothing scored"), ("consistency", "no complete pair")]
+
+
+def zero_note(metric: Column) -> Column:
+    """The note of a metric without data, by the part of its name before a colon or an at sign."""
+    token, note = F.element_at(F.split(metric, "[:@]"), 1), F.lit("nothing to count")
+    for name, text in ZERO_NOTES:
+        note = F.when(token == name, text).otherwise(note)
+    return note
 
 
 def headline(metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -36,7 +48,12 @@ def in_sections(metrics: DataFrame, sections: list[tuple[str, str]], other: str
 
 
 def judge_health(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """First-pass parses, repairs, unparsed scores, cost, and replays: scores all of whose attempts were cached. attempts is array<struct<cached:boolean,...>>."""
+    """First-pass parses, repairs, unparsed scores, cost, and replays: scores all of whose attempts were cached. attempts is array<struct<cached:boolean,...>>.
+
+    Where scores have evidence_unverified (array<string>) and redactions, the number of unverified spans and of redacted names too.
+    """
+    counts = [F.coalesce(F.sum(F.size("evidence_unverified")), F.lit(0)).alias("n_unverified_spans")] if "evidence_unverified" in scores.columns else []
+    counts += [F.coalesce(F.sum("redactions"), F.lit(0)).alias("n_redactions")] if "redactions" in scores.columns else []
     replay = (F.size("attempts") > 0) & F.forall("attempts", lambda a: F.coalesce(a["cached"], F.lit(False)))
     ok, repaired = F.coalesce("parse_ok", F.lit(False)), F.coalesce("repaired", F.lit(False))
-    return scores.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(ok & ~repaired).alias("n_first_pass"), F.count_if(ok & repaired).alias("n_repaired"), F.count_if(~ok).alias("n_unparsed"), F.count_if(replay).alias("n_replays"), F.sum("usd_cost").alias("usd_cost"))
+    return scores.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(ok & ~repaired).alias("n_first_pass"), F.count_if(ok & repaired).alias("n_repaired"), F.count_if(~ok).alias("n_unparsed"), F.count_if(replay).alias("n_replays"), F.sum("usd_cost").alias("usd_cost"), *counts)

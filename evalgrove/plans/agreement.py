@@ -129,7 +129,7 @@ def _differences(spark, sf_dir):
   m as (select grp, n, seen, unnest(range(0, cast(pow(2, n) as bigint))) as mask from g), f as (select m.grp, m.mask, any_value(n) as n, any_value(seen) as seen, sum(case when (m.mask >> d.i) & 1 = 1 then -d.d else d.d end) as t from m join d using (grp) group by 1, 2)
   select grp, max(n) as n, round(avg(cast(abs(t) >= seen - 1e-9 as int)), 9) as p_value from f group by 1""")
 def paired_permutation_exact(spark, sf_dir):
-    return resampling.permutation_exact(_differences(spark, sf_dir), ["grp"], "d", "item_id")
+    return resampling.permutation_exact(_differences(spark, sf_dir), ["grp"], "d")
 
 
 @query()

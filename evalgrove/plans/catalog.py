@@ -6,3 +6,4 @@ from . import agreement  # noqa: F401
 from . import corpora  # noqa: F401
 from . import metrics  # noqa: F401
 from . import reports  # noqa: F401
+from . import runs  # noqa: F401

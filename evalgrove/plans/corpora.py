@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..fixtures import table, view
 from ..functions import replies, rules
-from ..operators import compare, conversations, labels, lint, retrieval
+from ..functions.intervals import wilson_sql
+from ..operators import checks, compare, conversations, labels, lint, retrieval, runs, steps
 from .registry import query
 
 
@@ -85,13 +88,14 @@ def comparable_runs(spark, sf_dir):
     return compare.comparable_sets(view(spark, sf_dir, "fx_manifests"))
 
 
-@query("""with p as (select a.run_id as left_run, b.run_id as right_run, a as l, b as r from fx_manifests a join fx_manifests b on a.dataset_sha256 = b.dataset_sha256 and a.run_id < b.run_id),
+@query("""with p as (select a.run_id as left_run, b.run_id as right_run, a as l, b as r from (select dataset_sha256, min(run_id) as run_id from fx_manifests group by 1) f join fx_manifests a using (run_id) join fx_manifests b on f.dataset_sha256 = b.dataset_sha256 and a.run_id < b.run_id),
   f as (select left_run, right_run, unnest(['model_name', 'provider', 'guardrails_sha256']) as field, unnest([l.model_name, l.provider, l.guardrails_sha256]) as left_value, unnest([r.model_name, r.provider, r.guardrails_sha256]) as right_value from p)
   select * from f where left_value is distinct from right_value""")
 def manifest_diff(spark, sf_dir):
     m = view(spark, sf_dir, "fx_manifests")
-    same = (F.col("a.dataset_sha256") == F.col("b.dataset_sha256")) & (F.col("a.run_id") < F.col("b.run_id"))
-    return compare.manifest_diff(m, m, same, ["model_name", "provider", "guardrails_sha256"])
+    firsts = m.groupBy("dataset_sha256").agg(F.min("run_id").alias("left_run"))
+    pairs = m.join(firsts, "dataset_sha256").where("left_run < run_id").select("left_run", F.col("run_id").alias("right_run"))
+    return compare.manifest_diff(m, pairs, ["model_name", "provider", "guardrails_sha256"])
 
 
 @query("""with e as (select dataset_sha256, provider, guardrails_sha256, min(run_id) as run_id from fx_manifests group by 1, 2, 3)
@@ -157,11 +161,26 @@ def topk_cosine(spark, sf_dir):
     return retrieval.top_k(*_searched(spark, sf_dir), 5).withColumn("score", F.round("score", 9))
 
 
-@query(f"""with s as (select q.vec_id, max({_COS}) as score from embeddings q cross join embeddings p where q.vec_id % 100 = 0 and p.vec_id <> q.vec_id and p.vec_id % 100 <> 0 group by 1)
+@query(f"""with s as (select q.vec_id, max({_COS}) as score from embeddings q cross join embeddings p where q.vec_id % 100 = 0 and p.vec_id <> q.vec_id group by 1)
   select floor(quantile_cont(score, 0.05) * 100) / 100 as floor, count(*) as n from s where vec_id % 200 = 0""")
 def retrieval_floor(spark, sf_dir):
     asked, held = _searched(spark, sf_dir)
-    return retrieval.floor_of(retrieval.top_one(asked, held.where("id % 100 <> 0")), F.col("query_id") % 200 == 0)
+    return retrieval.floor_of(_best_other(spark, sf_dir), F.col("query_id") % 200 == 0)
+
+
+def _best_other(spark, sf_dir):
+    """The best score of each query among all other vectors: itself comes first or second, by ties."""
+    asked, held = _searched(spark, sf_dir)
+    best = retrieval.top_k(asked, held, 2).where("query_id <> chunk_id").groupBy("query_id").agg(F.max("score").alias("score"))
+    return asked.select(F.col("id").alias("query_id")).join(best, "query_id", "left").select("query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@query(f"""with s as (select q.vec_id, max({_COS}) as score from embeddings q cross join embeddings p where q.vec_id % 100 = 0 and p.vec_id <> q.vec_id group by 1),
+  f as (select floor(quantile_cont(score, 0.05) * 100) / 100 as floor from s where vec_id % 200 = 0)
+  select vec_id % 200 = 0 as answerable, {wilson_sql('count(*) filter (score < floor)', 'count(*)')} from s cross join f group by 1""")
+def below_floor(spark, sf_dir):
+    scores = _best_other(spark, sf_dir).withColumn("answerable", F.col("query_id") % 200 == 0)
+    return retrieval.below_floor(scores, ["answerable"], retrieval.floor_of(scores, F.col("answerable")))
 
 
 _Q = ", ".join(f"round(quantile_cont(value, {p / 100}), 6) as p{p}" for p in (0, 5, 10, 25, 50, 75, 90, 100))
@@ -248,9 +267,44 @@ def chain_turns(spark, sf_dir):
     return conversations.chain_turns(_segments(spark, sf_dir))
 
 
-@query("select run_id, item_id, seq, role from fx_messages where role = 'user' or (role = 'assistant' and content is not null)")
+@query("""select run_id, item_id, seq, role from fx_dialog m where role = 'user' or (role = 'assistant' and content is not null)
+  or (role = 'guardrail' and not exists (select 1 from fx_dialog a where a.role = 'assistant' and a.run_id = m.run_id and a.item_id = m.item_id and a.turn_idx = m.turn_idx))""")
 def memory_replay(spark, sf_dir):
-    return conversations.memory_replay(view(spark, sf_dir, "fx_messages")).select("run_id", "item_id", "seq", "role")
+    return conversations.memory_replay(view(spark, sf_dir, "fx_dialog")).select("run_id", "item_id", "seq", "role")
+
+
+@query(f"""with recursive s as ({_SEG}), c as (select run_id, run_id as member, previous_run_id as next, 0 as depth from s where run_id not in (select previous_run_id from s where previous_run_id is not null)
+  union all select c.run_id, s.run_id, s.previous_run_id, c.depth + 1 from c join s on c.next = s.run_id)
+  select c.run_id, c.depth, t.turn, t.role from c join conversations t on t.conv_id = c.member where t.role = 'user' or (t.role = 'assistant' and t.text is not null)""")
+def chain_memory(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    messages = c.select(F.col("conv_id").alias("run_id"), F.col("conv_id").alias("item_id"), F.lit(0).alias("turn_idx"), "role", F.col("text").alias("content"), "turn")
+    return conversations.memory_replay(messages, conversations.chains(_segments(spark, sf_dir))).select("run_id", "depth", "turn", "role")
+
+
+_BROKEN = "select run_id, case when run_id % 12 = 4 then -1 when run_id % 12 = 8 then run_id + 1 else previous_run_id end as previous_run_id, n_turns from s0"
+
+
+@query(f"""with recursive s0 as ({_SEG}), s as ({_BROKEN}), w as (select run_id, previous_run_id as back, 0 as steps from s union all select w.run_id, s.previous_run_id, w.steps + 1 from w join s on w.back = s.run_id where w.steps < 40),
+  e as (select run_id, bool_or(back is null) as begins, max(steps) as steps from w group by 1) select run_id, case when steps >= 40 then 'loop' else 'missing segment' end as reason from e where not begins""")
+def broken_chains(spark, sf_dir):
+    i = F.col("run_id") % 12
+    s = _segments(spark, sf_dir).withColumn("previous_run_id", F.when(i == 4, F.lit(-1)).when(i == 8, F.col("run_id") + 1).otherwise(F.col("previous_run_id")))
+    return conversations.broken_chains(s)
+
+
+@query(f"""with recursive s0 as ({_SEG}), s as ({_BROKEN}), c as (select run_id, run_id as member, previous_run_id as next, 0 as depth from s where run_id not in (select previous_run_id from s where previous_run_id is not null)
+  union all select c.run_id, s.run_id, s.previous_run_id, c.depth + 1 from c join s on c.next = s.run_id where c.depth < 40), whole as (select run_id from c group by 1 having bool_or(next is null))
+  select c.run_id, count(*) as n_segments, cast(sum(s.n_turns) as bigint) as total_turns, arg_max(member, depth) as first_segment from c join s on s.run_id = c.member where c.run_id in (select run_id from whole) group by 1""")
+def resumable(spark, sf_dir):
+    i = F.col("run_id") % 12
+    s = _segments(spark, sf_dir).withColumn("previous_run_id", F.when(i == 4, F.lit(-1)).when(i == 8, F.col("run_id") + 1).otherwise(F.col("previous_run_id")))
+    return conversations.resumable(s)
+
+
+@query("select run_id, item_id, count(*) as n_rows, min(seq) as first_seq from fx_dialog where item_id is not null group by 1, 2")
+def conversation_groups(spark, sf_dir):
+    return conversations.conversations(view(spark, sf_dir, "fx_dialog"))
 
 
 @query()
@@ -278,23 +332,106 @@ def validate_args(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", replies.argument_error(text, {"k": "bigint"}).alias("error"))
 
 
-@query("""select doc_id, cast(1 + cast(contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'licensed under') as int) as bigint) as n_verified from documents where text is not null and lang = 'en'""")
+@query("""select doc_id, cast(len(list_filter([substr(text, 5 + doc_id % 90, 60), substr(text, 1 + cast(length(text) / 2 as bigint), 90), concat(substr(text, 1, 30), 'not there'), 'licensed under'],
+  lambda q: contains(n, lower(trim(regexp_replace(q, '[\\s\\p{Z}]+', ' ', 'g')))))) as bigint) as n_verified from (select doc_id, text, lower(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'))) as n from documents where text is not null)""")
 def verify_evidence(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("text is not null and lang = 'en'")
-    quotes = F.array(F.left(F.col("text"), F.lit(20)), F.lit("Licensed\n under"))
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    text = F.col("text")
+    half = F.round(F.length(text) / 2).cast("int")
+    quotes = F.array(F.substring(text, (5 + F.col("doc_id") % 90).cast("int"), F.lit(60)), F.substring(text, 1 + half, F.lit(90)), F.concat(F.left(text, F.lit(30)), F.lit("not there")), F.lit("Licensed\n under"))
     return rows.select("doc_id", F.size(rules.verbatim(quotes, F.col("text"))).cast("long").alias("n_verified"))
 
 
-@query()
+_NAMED = "regexp_replace(r, '(?i)(" + "|".join(sorted(rules.VENDOR_NAMES, key=lambda x: (-len(x), x))) + ")[\\p{L}\\p{M}\\p{N}_.-]*', '[model]', 'g')"
+
+
+@query(f"""with p as (select run_id, item_id, trim(arg_max(content, seq) filter (role = 'user')) as q, arg_max(content, seq) filter (role = 'turn') || ' Claude-3 and  GPT' as r from fx_dialog group by 1, 2 having count(*) filter (role = 'turn') > 0)
+  select run_id, item_id, md5(concat('## Prompt', chr(10), q, chr(10), chr(10), '## Response', chr(10), trim({_NAMED}), chr(10), chr(10), '## Reference', chr(10), 'the reference')) as request, cast((length({_NAMED}) - length(replace({_NAMED}, '[model]', ''))) / 7 as bigint) as n_redacted from p""")
 def judge_requests(spark, sf_dir):
-    pairs = view(spark, sf_dir, "fx_messages").groupBy("run_id", "item_id").agg(F.max_by("content", F.when(F.col("role") == "user", F.col("seq"))).alias("prompt"), F.max_by("content", F.when(F.col("role") == "assistant", F.col("seq"))).alias("response"))
-    blocks = F.concat_ws("\n\n", F.concat(F.lit("## Prompt\n"), F.trim("prompt")), F.concat(F.lit("## Response\n"), F.trim(rules.redacted(F.col("response")))))
-    return pairs.select("run_id", "item_id", blocks.alias("request"), rules.redactions(F.coalesce("response", F.lit(""))).cast("long").alias("n_redacted"))
+    pairs = steps.scored_pairs(view(spark, sf_dir, "fx_dialog")).withColumns({"response": F.concat("response", F.lit(" Claude-3 and  GPT")), "reference": F.lit(" the reference ")})
+    return steps.judge_requests(pairs).withColumn("request", F.md5(F.col("request").cast("binary")))
+
+
+@query("""select run_id, item_id, md5(arg_max(content, seq) filter (role = 'user')) as prompt, md5(arg_max(content, seq) filter (role = 'turn')) as response, arg_max(turn_idx, seq) filter (role = 'turn') as turn_idx from fx_dialog group by 1, 2 having count(*) filter (role = 'turn') > 0""")
+def scored_pairs(spark, sf_dir):
+    return steps.scored_pairs(view(spark, sf_dir, "fx_dialog")).withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("prompt", "response")})
+
+
+@query("select run_id, item_id, md5(arg_max(content, seq)) as response from fx_dialog where role = 'assistant' and content is not null group by 1, 2")
+def final_responses(spark, sf_dir):
+    return steps.final_responses(view(spark, sf_dir, "fx_dialog")).withColumn("response", F.md5(F.col("response").cast("binary")))
+
+
+@query("""with i as (select distinct cast(conv_id as varchar) as item_id from conversations where conv_id % 11 <> 5), r as (select run_id, item_id, arg_max(content, seq) as response from fx_dialog where role = 'assistant' and content is not null group by 1, 2)
+  select 'asked' as side, run_id, item_id from r join i using (item_id) union all select 'missing', x.run_id, i.item_id from i cross join (select distinct run_id from r) x where not exists (select 1 from r where r.run_id = x.run_id and r.item_id = i.item_id)""")
+def labelling_pairs(spark, sf_dir):
+    items = table(spark, sf_dir, "conversations").where("conv_id % 11 <> 5").select(F.col("conv_id").cast("string").alias("item_id"))
+    said = steps.final_responses(view(spark, sf_dir, "fx_dialog"))
+    asked, missing = labels.labelling_pairs(items, said), labels.unanswered(items, said)
+    return asked.select(F.lit("asked").alias("side"), "run_id", "item_id").unionByName(missing.select(F.lit("missing").alias("side"), "run_id", "item_id"))
+
+
+@query("select doc_id from documents intersect select doc_id from labels")
+def shared_ids(spark, sf_dir):
+    return labels.shared_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""with l as (select doc_id, case when doc_id % 4 = 0 then '{broken' else 'ok' end as kind, doc_id % 3 = 0 as stale, quality from labels where quality is not null and doc_id is not null)
+  select doc_id, code from (select doc_id, unnest([case when kind <> 'ok' then 'malformed' end, case when kind = 'ok' and stale then 'stale_dataset' end, case when kind = 'ok' and doc_id % 5 = 1 then 'unknown_item' end]) as code from l) where code is not null
+  union all select -1, 'degenerate' from (select case when doc_id % 10 < 5 then 'labels' else 'scores' end as space, case when doc_id % 10 < 5 then cast(quality as varchar) else '3' end as v from (select distinct doc_id, max(quality) as quality from l where kind = 'ok' group by 1)) group by space having count(distinct v) = 1""")
+def lint_labels(spark, sf_dir):
+    i, rows = F.col("doc_id"), table(spark, sf_dir, "labels").where("quality is not null and doc_id is not null")
+    kept = F.struct(
+        i.cast("string").alias("item_id"), F.lit("r").alias("run_id"), F.when(i % 3 == 0, "old").otherwise("now").alias("dataset_sha256"), F.lit(1.0).alias("seconds_spent"),
+        F.when(i % 10 < 5, F.when(F.col("quality") == 1, "pass").otherwise("fail")).alias("label"), F.when(i % 10 >= 5, F.lit(3)).alias("score"),
+    )
+    lines = rows.select(F.lit("f").alias("file"), i.alias("seq"), F.when(i % 4 == 0, "{broken").otherwise(F.to_json(kept)).alias("value"))
+    items = rows.where("doc_id % 5 <> 1").select(i.cast("string").alias("item_id"))
+    return lint.label_sidecar_problems(lines, items, "now").select(F.coalesce("seq", F.lit(-1)).alias("doc_id"), "code")
+
+
+@query(f"select run_id, sha256(concat('model_name=', model_name, '|provider=', provider, '|', coalesce('guardrails_sha256=' || guardrails_sha256, 'guardrails_sha256 null'))) as agent_sha from fx_manifests")
+def agent_digests(spark, sf_dir):
+    return compare.agent_digest(view(spark, sf_dir, "fx_manifests").select("run_id", "model_name", "provider", F.col("dataset_sha256"), "guardrails_sha256"))
+
+
+@query("""select run_id, f.ord, f.field, f.value from (select run_id, unnest([{'ord': 1, 'field': 'judge_run_id', 'value': case when cast(run_id as bigint) % 2 = 0 then 'j' || run_id end}, {'ord': 2, 'field': 'model_name', 'value': model_name}, {'ord': 3, 'field': 'provider', 'value': provider},
+  {'ord': 4, 'field': 'config_sha', 'value': substr(sha256(model_name), 1, 12)}]) as f from fx_manifests)""")
+def run_conditions(spark, sf_dir):
+    m = view(spark, sf_dir, "fx_manifests").withColumn("config_sha", F.sha2(F.col("model_name").cast("binary"), 256))
+    judges = m.where(F.col("run_id").cast("long") % 2 == 0).select("run_id", F.concat(F.lit("j"), "run_id").alias("judge_run_id"))
+    return runs.conditions(m, ["model_name", "provider", "config_sha"], judges)
 
 
 @query()
 def hedging_count(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.hedging_count(F.col("text")).alias("n_hedges"))
+    return view(spark, sf_dir, "fx_said").select("doc_id", rules.hedging_count(F.col("response")).alias("n_hedges"))
+
+
+@query("""with s as (select doc_id, concat(coalesce(text, ''), ' ', chr(160), 'end') as t from documents) select doc_id, cast(len(list_filter(regexp_split_to_array(t, '[\\s\\p{Z}]+'), lambda w: w <> '')) as bigint) as n_words,
+  case when length(t) > 400 then left(t, 400) || ' [...]' else t end as excerpt from s""")
+def word_counts(spark, sf_dir):
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" \u00a0end"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.word_count(text).cast("long").alias("n_words"), rules.excerpt(text).alias("excerpt"))
+
+
+@query("""select doc_id, case when doc_id % 4 < 2 and trim(case when doc_id % 3 = 0 then ' ' else 'an answer' end) <> '' then 'grounding_abstained' else 'none' end as action, case when doc_id % 4 < 2 and doc_id % 3 <> 0 then 'grounding' end as stage from documents""")
+def grounding(spark, sf_dir):
+    i = F.col("doc_id")
+    ids = F.when(i % 4 == 0, F.lit(None).cast("array<string>")).when(i % 4 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.md#1")))
+    made = rules.grounding(ids, F.when(i % 3 == 0, " ").otherwise("an answer"))
+    return table(spark, sf_dir, "documents").select("doc_id", made["action"].alias("action"), made["stage"].alias("stage"))
+
+
+@query("""select doc_id, case doc_id % 9 when 2 then doc_id % 2 = 0 when 4 then true end as passed from documents where doc_id % 9 in (2, 4)""")
+def kb_grounded(spark, sf_dir):
+    """Planted claims alone: 200 mg and 30 minutes, of which the retrieved text holds both or one; 5 %, which it holds."""
+    i = F.col("doc_id")
+    held = F.when(i % 2 == 0, "Up to 200  MG and 30 minutes; 5 % of it").otherwise("Up to 200 mg, 5 %")
+    said = F.when(i % 9 == 2, "Take 200 mg, then rest 30 minutes a day.").when(i % 9 == 4, "Some said 5 % more.").otherwise("Nothing else.")
+    none = F.array().cast("array<string>")
+    views = table(spark, sf_dir, "documents").select("doc_id", said.alias("response"), held.alias("retrieved_text"), none.alias("retrieved_ids"), none.alias("must_include"), F.lit(None).cast("string").alias("expected_tool"), none.alias("tools"), F.lit(1).alias("n_calls"), F.lit(0).alias("n_violations"), F.lit(0).alias("n_tool_errors"), F.lit(None).cast("string").alias("stopped_reason"))
+    return checks.check_rows(views, ["doc_id"], checks.standard_checks([])).where("check = 'kb_grounded'").select("doc_id", "passed")
 
 
 @query("select page_id, sha256(concat('{\"query\":\"', lower(trim(regexp_replace(url, '\\s+', ' ', 'g'))), '\",\"p0\":5}')) as query_key from pages where url is not null")
@@ -302,16 +439,18 @@ def query_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").where("url is not null").select("page_id", rules.query_key(F.col("url"), F.lit(5)).alias("query_key"))
 
 
-@query(f"select lang, count(*) as n, '{rules.digest_of(rules.RULES)}' as rules_sha256, '{rules.digest_of(rules.GUARDRAILS)}' as guardrails_sha256 from documents group by lang")
+def _canonical(patterns: dict) -> str:
+    return json.dumps(patterns, sort_keys=True)
+
+
+@query("select lang, count(*) as n, sha256('" + _canonical(rules.RULES).replace("'", "''") + "') as rules_sha256, sha256('" + _canonical(rules.GUARDRAILS).replace("'", "''") + "') as guardrails_sha256 from documents group by lang")
 def rule_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.lit(rules.digest_of(rules.RULES)).alias("rules_sha256"), F.lit(rules.digest_of(rules.GUARDRAILS)).alias("guardrails_sha256"))
 
 
-@query("select event_id, place from (select event_id, row_number() over (order by ts desc, event_id desc) as place from events) where place <= 50")
+@query("select event_id, row_number() over (order by ts desc, event_id desc) as place from events")
 def runs_newest_first(spark, sf_dir):
-    top = table(spark, sf_dir, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
-    gathered = top.agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s")).select(F.posexplode(F.reverse("s")).alias("p", "x"))
-    return gathered.select("x.event_id", (F.col("p") + 1).cast("long").alias("place"))
+    return labels.positions(table(spark, sf_dir, "events").select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")]).select("event_id", F.col("pos").alias("place"))
 
 
 @query("select o_orderkey, md5(concat('3|', cast(o_orderkey as varchar))) as draw from orders order by draw, o_orderkey limit 100")

@@ -16,15 +16,21 @@ TOOL_ERRORS = ["unknown_tool", "missing_arg", "bad_arg_type", "schema_invalid"]
 
 
 def _sql_any(column: str, patterns: list[str]) -> str:
-    return "(" + " or ".join(f"regexp_matches({column}, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
+    """The patterns with spelled-out word borders at their ends, as the other engine's know ASCII letters only."""
+    def spelled(p: str) -> str:
+        p = "(?:^|[^\\p{L}\\p{M}\\p{N}_])" + p[2:] if p.startswith("\\b") else p
+        p = p[:-2] + "(?:$|[^\\p{L}\\p{M}\\p{N}_])" if p.endswith("\\b") else p
+        return p.replace("'", "''")
+
+    return "(" + " or ".join(f"regexp_matches({column}, '(?i){spelled(p)}')" for p in patterns) + ")"
 
 
 _REFUSES = _sql_any("response", RULES["refusal"] + RULES["hedge_without_answer"])
 
 
-@query(f"select lang, {wilson_sql(f'count(*) filter ({_REFUSES})', 'count(*)')} from fx_responses where response is not null group by lang")
+@query(f"select lang, {wilson_sql(f'count(*) filter ({_REFUSES})', 'count(*)')} from fx_said group by lang")
 def refusal_rate_by_lang(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_responses").where("response is not null")
+    rows = view(spark, sf_dir, "fx_said")
     return rates.rates_by(rows, ["lang"], matches_any(F.col("response"), RULES["refusal"] + RULES["hedge_without_answer"]))
 
 
@@ -47,9 +53,9 @@ def citation_grounding(spark, sf_dir):
 
 
 @query(f"""select lang, cast(count(*) filter ({_sql_any('response', RULES['quantitative_claim'])}) as bigint) as n_with_claims, count(*) as n
-  from fx_responses where response is not null and lang = 'en' group by lang""")
+  from fx_said group by lang""")
 def quantitative_claims(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_responses").where("response is not null and lang = 'en'")
+    rows = view(spark, sf_dir, "fx_said")
     return rows.groupBy("lang").agg(F.count_if(F.size(all_matches(F.col("response"), RULES["quantitative_claim"])) > 0).alias("n_with_claims"), F.count("*").alias("n"))
 
 
@@ -76,12 +82,12 @@ def tool_checks(spark, sf_dir):
 
 
 @query(f"""with a as (select role, case when role = 'user' and {_sql_any('content', GUARDRAILS['harmful_intent'])} then 'input_blocked'
-    when role = 'assistant' and {_sql_any('content', GUARDRAILS['unsafe_content'])} then 'output_filtered' else 'none' end as action from fx_messages),
+    when role = 'assistant' and {_sql_any('content', GUARDRAILS['unsafe_content'])} then 'output_filtered' else 'none' end as action from fx_dialog),
   m as (select unnest(['none', 'input_blocked', 'output_filtered', 'grounding_abstained']) as action), r as (select distinct role from a),
   f as (select r.role, m.action, count(a.action) as s from r cross join m left join a on a.role = r.role and a.action = m.action group by 1, 2), t as (select role, count(*) as n from a group by 1)
   select role, action, {wilson_sql('s', 't.n')} from f join t using (role)""")
 def guardrail_screen(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_messages")
+    rows = view(spark, sf_dir, "fx_dialog")
     text, role = F.col("content"), F.col("role")
     action = F.when(role == "user", screen(text, GUARDRAILS["harmful_intent"], "input_blocked", "input")["action"]).when(role == "assistant", screen(text, GUARDRAILS["unsafe_content"], "output_filtered", "output")["action"]).otherwise("none")
     acted = rows.select("role", action.alias("action"))
@@ -112,10 +118,11 @@ def item_join_missing_unknown(spark, sf_dir):
     return missing.select(F.lit("missing").alias("side"), "doc_id").unionByName(unknown.select(F.lit("unknown").alias("side"), "doc_id"))
 
 
-@query("""select d.lang, count(*) as n_items, count(l.doc_id) as n_judged, round(avg(l.quality), 9) as mean_quality from documents d left join (select doc_id, max(quality) as quality from labels group by 1) l using (doc_id) group by 1""")
+@query("""select d.lang, count(*) as n_items, count(l.doc_id) as n_judged, round(avg(l.quality), 9) as mean_quality from documents d join (select distinct doc_id from documents where doc_id % 9 <> 4 union select -1 - doc_id from documents) v using (doc_id) left join (select doc_id, max(quality) as quality from labels group by 1) l using (doc_id) group by 1""")
 def core_join(spark, sf_dir):
     items, judged = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.first(F.lit(1)).alias("judged"))
-    joined = steps.item_results(items, items.select("doc_id"), judged, ["doc_id"])
+    views = items.where("doc_id % 9 <> 4").select("doc_id").unionByName(items.select((-1 - F.col("doc_id")).alias("doc_id")))  # some items are missing, some are unknown
+    joined = steps.item_results(items, views, judged, ["doc_id"])
     return joined.groupBy("lang").agg(F.count("*").alias("n_items"), F.count("judged").alias("n_judged"), F.round(F.avg("quality"), 9).alias("mean_quality"))
 
 
@@ -268,7 +275,7 @@ def replay_noise(spark, sf_dir):
 
 
 @query("""with t as (select run_id, item_id, turn_idx, arg_max(content, seq) filter (role = 'user') as q, coalesce(arg_max(content, seq) filter (role = 'guardrail'), arg_max(content, seq) filter (role = 'assistant')) as a,
-    count(*) filter (role = 'assistant') as n_completions from fx_messages group by 1, 2, 3)
+    count(*) filter (role = 'assistant') as n_completions from fx_dialog group by 1, 2, 3)
   select run_id, item_id, turn_idx, md5(coalesce(q, '')) as question, md5(coalesce(a, '')) as answer, n_completions from t""")
 def delivered_text(spark, sf_dir):
-    return steps.transcript(view(spark, sf_dir, "fx_messages")).withColumns({c: F.md5(F.coalesce(F.col(c), F.lit("")).cast("binary")) for c in ("question", "answer")})
+    return steps.transcript(view(spark, sf_dir, "fx_dialog")).withColumns({c: F.md5(F.coalesce(F.col(c), F.lit("")).cast("binary")) for c in ("question", "answer")})

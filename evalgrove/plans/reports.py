@@ -50,10 +50,10 @@ def all_checks(spark, sf_dir):
 
 
 @query("""select axis, count(*) as n, count(*) filter (parse_ok and pair_id % 7 <> 0) as n_first_pass, count(*) filter (parse_ok and pair_id % 7 = 0) as n_repaired, count(*) filter (not parse_ok) as n_unparsed,
-  count(*) filter (pair_id % 3 = 0 and pair_id % 5 = 0) as n_replays, round(sum(overall * 0.001e0), 6) as usd_cost from fx_scores group by axis""")
+  count(*) filter (pair_id % 3 = 0 and pair_id % 5 = 0) as n_replays, round(sum(overall * 0.001e0), 6) as usd_cost, cast(sum(pair_id % 3) as bigint) as n_unverified_spans, cast(sum(pair_id % 2) as bigint) as n_redactions from fx_scores group by axis""")
 def judge_health(spark, sf_dir):
     i = F.col("pair_id")
-    scores = view(spark, sf_dir, "fx_scores").select("axis", "parse_ok", (i % 7 == 0).alias("repaired"), F.array(F.struct((i % 3 == 0).alias("cached")), F.struct((i % 5 == 0).alias("cached"))).alias("attempts"), (F.col("overall") * 0.001).alias("usd_cost"))
+    scores = view(spark, sf_dir, "fx_scores").select("axis", "parse_ok", (i % 7 == 0).alias("repaired"), F.array(F.struct((i % 3 == 0).alias("cached")), F.struct((i % 5 == 0).alias("cached"))).alias("attempts"), (F.col("overall") * 0.001).alias("usd_cost"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (i % 3).cast("int")).alias("evidence_unverified"), (i % 2).alias("redactions"))
     return summary.judge_health(scores, ["axis"]).withColumn("usd_cost", F.round("usd_cost", 6))
 
 
@@ -93,8 +93,9 @@ def paired_metrics(spark, sf_dir):
   select * from f where left_value is distinct from right_value""")
 def resume_drift(spark, sf_dir):
     m = view(spark, sf_dir, "fx_manifests")
-    after = F.col("a.run_id").cast("int") + 1 == F.col("b.run_id").cast("int")
-    return compare.manifest_diff(m, m, after, compare.condition_fields(m))
+    number = F.col("run_id").cast("int")
+    pairs = m.select(F.col("run_id").alias("left_run"), number.alias("n")).join(m.select(F.col("run_id").alias("right_run"), (number - 1).alias("n")), "n")
+    return compare.manifest_diff(m, pairs, compare.condition_fields(m))
 
 
 @query("""with e as (select cast(s_suppkey as varchar) as run_id from supplier where s_suppkey % 3 = 0), j as (select cast(s_suppkey as varchar) as judge_run_id, cast(s_suppkey - s_suppkey % 3 as varchar) as run_id from supplier where s_suppkey % 3 <> 0 and s_suppkey % 6 <> 5),

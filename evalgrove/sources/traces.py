@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..vocabularies import AXES
 
@@ -46,11 +47,28 @@ def _or_fail(rows: DataFrame, bad: Column, message: Column) -> DataFrame:
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Trace rows with seq; a malformed line fails the read and is named by file and text. Fields that older files lack are null: unknown, not false."""
+    """Trace rows with seq; a malformed line fails the read and is named by file and text. Fields that older files lack are null: unknown, not false.
+
+    malformed_lines() gives such lines with their numbers, which only a read of whole files knows.
+    """
     rows = parsed(lines(spark, path), TRACE)
     return _or_fail(rows, F.col("_corrupt").isNotNull(), F.concat(F.lit("malformed line in "), F.col("file"), F.lit(": "), F.left(F.col("value"), F.lit(80)))).drop("_corrupt", "value", "file")
 
 
+def malformed_lines(spark: SparkSession, path: str, schema: str = TRACE) -> DataFrame:
+    """file, line (from 1) and value of each line that is no object of the schema.
+
+    Splits of a file count their lines first, and only files with a malformed line are counted.
+    """
+    numbered = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    bad = parsed(numbered.where(F.trim("value") != ""), schema).where("_corrupt is not null").select("file", "seq", "value")
+    own = numbered.join(bad.select("file").distinct(), "file", "left_semi")
+    blocks = own.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("seq").alias("begins"))
+    before = blocks.alias("a").join(blocks.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.block") < F.col("a.block")), "left").groupBy("a.file", "a.block", "a.n", "a.begins").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    inside = (F.col("bad.file") == F.col("at.file")) & (F.col("bad.seq") >= F.col("at.begins")) & (F.col("bad.seq") < F.col("at.begins") + F.col("at.n"))
+    return bad.alias("bad").join(before.alias("at"), inside).select("bad.file", (F.col("before") + F.col("seq") - F.col("begins") + 1).alias("line"), "value")
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Dataset items; an unknown field or a malformed line fails the read, as does an empty file."""
     rows = parsed(lines(spark, path), ITEM)
@@ -62,9 +80,13 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Human labels; lines that aren't valid records are skipped. Exactly one of label and score is set."""
-    rows = parsed(lines(spark, path), LABEL).where("_corrupt is null").drop("_corrupt", "value", "file")
+    return parsed(lines(spark, path), LABEL).where("_corrupt is null").drop("_corrupt", "value", "file").where(valid_label())
+
+
+def valid_label() -> Column:
+    """Whether a parsed label record can be used."""
     valid = F.col("item_id").isNotNull() & F.col("run_id").isNotNull() & (F.col("label").isNull() != F.col("score").isNull()) & (F.coalesce("seconds_spent", F.lit(0.0)) >= 0)
-    return rows.where(valid & (F.col("label").isNull() | F.col("label").isin("pass", "fail")) & (F.col("score").isNull() | F.col("score").between(1, 5)))
+    return valid & (F.col("label").isNull() | F.col("label").isin("pass", "fail")) & (F.col("score").isNull() | F.col("score").between(1, 5))
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -83,11 +105,14 @@ def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def read_external(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """External pairs as strings: kind json (lines), array (one array or object), csv or tsv. Header names are trimmed and lower-cased, a byte order mark is dropped."""
+    """External pairs as strings: kind json (lines), array (one array, one object, or one object that wraps a list of objects), csv or tsv. Header names are trimmed and lower-cased, a byte order mark is dropped."""
     if kind in ("csv", "tsv"):
         rows = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").option("multiLine", True).csv(path)
     else:
         rows = spark.read.option("multiLine", kind == "array").option("primitivesAsString", True).json(path)
+        lists = [f.name for f in rows.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
+        if kind == "array" and len(lists) == 1:
+            rows = rows.select(F.inline(lists[0]))
     return rows.toDF(*[c.lstrip("﻿").strip().lower() for c in rows.columns])
 
 

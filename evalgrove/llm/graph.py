@@ -9,15 +9,29 @@ from pyspark.sql import functions as F
 from .common import dropped, stored
 
 
-def _least_neighbours(edges: DataFrame) -> DataFrame:
+#: A key of more than one in HOT rows is joined by broadcast; there are at most HOT of these.
+HOT = 1024
+
+
+def joined_by(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row a key and in n the number of rows of that key, of `total` in all.
+
+    Rows of the very common keys, HOT at most, stay where they are; so no task gets all rows of one key.
+    """
+    hot, cold = (table.where(w).drop("n") for w in (F.col("n") * HOT > max(total, HOT), F.col("n") * HOT <= max(total, HOT)))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _least_neighbours(edges: DataFrame, total: int) -> DataFrame:
     """Large star: every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return joined_by(both.where("b > a"), least, "a", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _least_below(edges: DataFrame) -> DataFrame:
-    """Small star: a node and its smaller neighbours are linked to the least of these."""
+    """Small star: a node and its smaller neighbours are linked to the least of these. After a large star these are few."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     linked = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
@@ -38,7 +52,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before, old = mark, now
-        now = stored(_least_below(_least_neighbours(old)), "edges")
+        now = stored(_least_below(_least_neighbours(old, mark["n"])), "edges")
         dropped(old)
 
 

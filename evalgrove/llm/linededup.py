@@ -6,7 +6,7 @@ Lines probe the shard that answers for them as hashes, row keys and positions; t
 row key only with the positions that go. A line's slot comes from one 64-bit hash and its fingerprint
 is another one, so a wrong answer needs a collision of 128 bits.
 
-A shard that more than PROBES lines ask, as it holds a very common one, is asked in parts: its arrays are copied
+A shard that far more lines than others ask, as it holds a very common one, is asked in parts: its arrays are copied
 for each part, so that no task gets more than about PROBES lines, whatever the number of copies.
 
 Rows: a null or empty text is one empty line. Keys shorter than min_chars stay. A document is a doc_id
@@ -32,6 +32,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 100_000
 #: Lines that a task asks of a shard, and the most shards that are asked in parts, so that their list can be broadcast.
 PROBES, MOST_SPLIT = 1_000_000, 65_536
+#: Fewer lines aren't worth a part of their own.
+LEAST_PART = 1000
 _INDEX = "shard long, sizes array<long>, bits binary, fingerprints binary, counts binary, firsts binary"
 
 
@@ -104,8 +106,8 @@ def repeated_positions(lines: DataFrame, least_copies: int = 2) -> DataFrame:
     repeated = stored(counts.where(F.col("first") < F.col("last")).select("h1", "h2", F.col("first.row").alias("first"), "n"), "repeated-lines")
     keys, asked = repeated.count(), lines.count()
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), keys // SHARD_KEYS, 2 * asked // PROBES)
-    # at most MOST_SPLIT shards can have more lines than this
-    most = max(PROBES, asked // MOST_SPLIT)
+    # four times a shard's mean load, or less at that than PROBES; at most MOST_SPLIT shards can have more
+    most = max(asked // MOST_SPLIT, min(PROBES, max(LEAST_PART, 4 * asked // shards)))
     own = lines.drop("id").withColumn("shard", F.pmod("h1", F.lit(shards)))
     crowded = stored(own.groupBy("shard").agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1"), "crowded-shards")
     parts = F.coalesce("parts", F.lit(1))

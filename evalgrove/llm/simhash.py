@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, arrow_batches, free_name, over_texts, stored
-from .graph import connected_components, dealt_blocks, forest
+from .graph import connected_components, dealt_blocks, forest, joined_by
 
 _WORD = re.compile("[^\x20\t-\r]+").findall
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -129,19 +129,19 @@ def links(fps: DataFrame) -> DataFrame:
 def components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """id, fp and component_id (the smallest id reachable by links) of each row."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("class_id"))
+    classes = rows.groupBy("fp").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     parts = connected_components(links(classes.select("fp")))
     named = parts.join(classes, F.col("node") == F.col("fp")).select("fp", "component", "class_id")
     least = named.groupBy("component").agg(F.min("class_id").alias("least"))
     linked = named.join(least, "component").select("fp", "least")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "class_id").alias("component_id"))
+    ids = stored(classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "class_id").alias("component_id"), "n"), "fingerprint-components")
     # a repeated doc_id joins the classes of its rows
     repeats = rows.groupBy("id").agg(F.count_distinct("fp").alias("n")).where("n > 1").limit(1).count()
     if repeats:
-        both = rows.join(ids, "fp").select("id", "component_id").distinct()
+        both = rows.join(ids.drop("n"), "fp").select("id", "component_id").distinct()
         more = connected_components(both.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
-        ids = ids.join(more, F.col("component_id") == F.col("node"), "left").select("fp", F.coalesce("component", "component_id").alias("component_id"))
-    return rows.join(ids, "fp").select("id", "fp", "component_id")
+        ids = ids.join(more, F.col("component_id") == F.col("node"), "left").select("fp", F.coalesce("component", "component_id").alias("component_id"), "n")
+    return joined_by(rows, ids, "fp", rows.count()).select("id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

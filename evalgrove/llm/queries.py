@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, licenses, linededup, packing, quality, simhash, tokencount, toxicity
-from .common import NULL_ID, documents, fold
+from . import bpe, divergence, embeddings, langid, licenses, linededup, packing, prefixtrie, quality, simhash, tokencount, tokenstore, toxicity
+from .common import NULL_ID, documents, fold, new_folder
 
 TOKEN_LIMIT = 2048
 
@@ -68,6 +68,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, filters).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir, "text", "lang", "source"), least_docs=10, most=10)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.rebuilt(prefixtrie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return prefixtrie.trie(turns).drop("x", "y")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-store")
+    tokenstore.write(documents(spark, sf_dir, "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return tokenstore.checksums(tokenstore.read(spark, folder))
+
+
 def token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix's token count, stored, and a budget question answered from it."""
     counts = F.col("prefix_tokens")
@@ -81,8 +96,8 @@ def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (token_prefixes, packed_conversations, op1_line_dedup, op2_simhash, op3_quality_rules, op4_license_scan, op5_token_counts, op6_embedding_links, op7_packing, op8_toxicity, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (token_prefixes, packed_conversations, op1_line_dedup, op2_simhash, op3_quality_rules, op4_license_scan, op5_token_counts, op6_embedding_links, op7_packing, op8_toxicity, op9_byte_bpe, op10_language, op11_source_divergence, op12_prefix_trie, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.ORACLE_SQL, "op6_embedding_links": embeddings.ORACLE_SQL}
+    return {"op1_line_dedup": linededup.ORACLE_SQL, "op6_embedding_links": embeddings.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_prefix_trie": prefixtrie.ORACLE_SQL}

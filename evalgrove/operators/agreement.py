@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import excerpt
-from ..vocabularies import GATE_KAPPA, GATE_PAIRS, KAPPA_LEAST_PAIRS
+from ..vocabularies import AXES, GATE_KAPPA, GATE_PAIRS, KAPPA_LEAST_PAIRS
+from .resampling import FIGURES, RESAMPLES, UNDEFINED, bootstrap_mean, cell_intervals, paired_permutation
 
 SCORES = [1, 2, 3, 4, 5]
 
@@ -59,8 +60,23 @@ def confusion(pairs: DataFrame, keys: list[str], human: str, judge: str) -> Data
     return joined.select(*keys, F.col("h").alias("human"), *[F.coalesce(F.col(str(s)), F.lit(0)).alias(f"judge_{s}") for s in SCORES])
 
 
-def report(pairs: DataFrame, keys: list[str], human: str, judge: str, digits: int = 6) -> DataFrame:
-    """Agreement of each group; pairs without a judge score are counted apart, kappa is withheld under KAPPA_LEAST_PAIRS pairs."""
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their group, where there is one; null keys are a group."""
+    if not keys:
+        return rows.crossJoin(groups)  # one row each
+    named = groups.withColumnsRenamed({k: f"group_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"group_{k}"))
+    return rows.join(named, same, "left").drop(*[f"group_{k}" for k in keys])
+
+
+def report(pairs: DataFrame, keys: list[str], human: str, judge: str, digits: int = 6, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """Agreement of each group; pairs without a judge score are counted apart, kappa is withheld under KAPPA_LEAST_PAIRS pairs.
+
+    With resamples, each figure has its bootstrap interval (figure_low, figure_high; pairs are drawn whole) and those that can be undefined
+    the number of resamples in which they were. A figure that is null has no interval.
+    """
     h, j = F.col(human).cast("double"), F.when(F.col(human).isNotNull(), F.col(judge).cast("double"))
     gap = j - h
     base = pairs.groupBy(*keys).agg(
@@ -71,7 +87,26 @@ def report(pairs: DataFrame, keys: list[str], human: str, judge: str, digits: in
     counted = cells(pairs, keys, human, judge)
     out = base.join(kappa(counted, keys).drop("n"), keys, "left").join(spearman(counted, keys), keys, "left")
     enough = F.col("n") >= KAPPA_LEAST_PAIRS
-    return out.withColumns({"kappa": F.when(enough, F.round("kappa", digits)), "spearman": F.round("spearman", digits), "kappa_note": F.when(~enough, F.lit("too few pairs")).when(F.col("kappa").isNull(), F.lit("undefined"))})
+    out = out.withColumns({"kappa": F.when(enough, F.round("kappa", digits)), "spearman": F.round("spearman", digits), "kappa_note": F.when(~enough, F.lit("too few pairs")).when(F.col("kappa").isNull(), F.lit("undefined"))})
+    if not resamples:
+        return out
+    ends = _met(out, cell_intervals(counted, keys, resamples, seed), keys)
+    bounds = {f"{f}_{e}": F.when(F.col(f).isNotNull(), F.round(f"{f}_{e}", digits)) for f in FIGURES for e in ("low", "high")}
+    return ends.select(*out.columns, *[c.alias(k) for k, c in bounds.items()], *[F.coalesce(f"{f}_undefined", F.lit(0)).alias(f"{f}_undefined") for f in UNDEFINED])
+
+
+NO_AXIS = "(no axis)"
+
+
+def report_by_axis(pairs: DataFrame, axis: str, human: str, judge: str, digits: int = 6, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """report() of each axis of the vocabulary, with n = 0 where it has no pairs, and of `(no axis)` if some pairs have none."""
+    named = pairs.withColumn(axis, F.coalesce(F.col(axis).cast("string"), F.lit(NO_AXIS)))
+    found = report(named, [axis], human, judge, digits, resamples, seed)
+    every = pairs.sparkSession.createDataFrame([(a,) for a in AXES], "wanted string")
+    absent = F.broadcast(every).join(found.select(axis), F.col("wanted") == F.col(axis), "left_anti")  # a row an axis
+    counts = [c for c, t in found.dtypes if t in ("bigint", "int")]
+    zeros = absent.select(F.col("wanted").alias(axis), *[F.lit(0).cast("long").alias(c) for c in counts], F.lit("too few pairs").alias("kappa_note"))
+    return found.unionByName(zeros, allowMissingColumns=True)
 
 
 def gate(reports: DataFrame) -> DataFrame:
@@ -99,11 +134,29 @@ def self_consistency(samples: DataFrame, keys: list[str], unit: str, value: str)
     return units.groupBy(*keys).agg(F.count("agree").alias("n_units"), F.round(F.avg("agree"), 9).alias("agreement"), F.round(F.avg("variance"), 6).alias("variance"))
 
 
-def drift(default: DataFrame, other: DataFrame, key: str, dimensions: list[str], keys: list[str]) -> DataFrame:
-    """Mean signed change of each dimension when the order of blocks changes; unparsed pairs are counted."""
+def drift(default: DataFrame, other: DataFrame, key: str, dimensions: list[str], keys: list[str], resamples: int = 0, seed: int = 0) -> DataFrame:
+    """Mean signed change of each dimension when the order of blocks changes; unparsed pairs are counted. With resamples, its interval too."""
     both = default.alias("a").join(other.alias("b"), key)
     long = both.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), (F.col(f"b.{d}") - F.col(f"a.{d}")).cast("double").alias("delta")) for d in dimensions])))
-    return long.groupBy(*keys, "dimension").agg(F.round(F.avg("delta"), 9).alias("mean_delta"), F.count("delta").alias("n"), F.count_if(F.col("delta").isNull()).alias("n_unparsed"))
+    means = long.groupBy(*keys, "dimension").agg(F.round(F.avg("delta"), 9).alias("mean_delta"), F.count("delta").alias("n"), F.count_if(F.col("delta").isNull()).alias("n_unparsed"))
+    if not resamples:
+        return means
+    ends = bootstrap_mean(long, [*keys, "dimension"], "delta", resamples, seed).select(*keys, "dimension", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
+    return _met(means, ends, [*keys, "dimension"])
+
+
+def drift_of_orders(default: DataFrame, orders: dict[str, tuple[DataFrame | None, str | None]], key: str, dimensions: list[str], keys: list[str], resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """drift() of each reordering by name, never pooled. One that changes no pair's rendering has no scores, and a reason: its rows have n = 0 and say why."""
+    rows = None
+    for name, (scores, reason) in orders.items():
+        if scores is None:
+            groups = default.select(*keys).distinct() if keys else default.sparkSession.range(1).select()
+            own = groups.select(*keys, F.explode(F.array(*map(F.lit, dimensions))).alias("dimension")).withColumns({"n": F.lit(0).cast("long"), "n_unparsed": F.lit(0).cast("long"), "reason": F.lit(reason)})
+        else:
+            own = drift(default, scores, key, dimensions, keys, resamples, seed).withColumn("reason", F.lit(None).cast("string"))
+        own = own.withColumn("block_order", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    return rows
 
 
 def band(score: Column) -> Column:
@@ -111,15 +164,36 @@ def band(score: Column) -> Column:
     return F.when(score <= 2, F.lit(False)).when(score >= 4, F.lit(True))
 
 
-def judge_vs_rules(rows: DataFrame, questions: dict[str, tuple[Column, Column]], label: Column) -> DataFrame:
-    """For each question (rule verdict, judge score): both agreements with the human label over the same items, and why items are left out."""
+def _answers(rows: DataFrame, questions: dict[str, tuple[Column, Column]], label: Column) -> DataFrame:
+    """question, label, rule, judge and why an item is left out, for each item and question."""
     made = [F.struct(F.lit(q).alias("question"), rule.alias("rule"), band(score).alias("judge"), score.isNull().alias("unjudged")) for q, (rule, score) in questions.items()]
     long = rows.select(label.alias("label"), F.inline(F.array(*made)))
     why = F.when(F.col("label").isNull(), "unlabelled").when(F.col("rule").isNull(), "no rule").when(F.col("unjudged"), "unjudged").when(F.col("judge").isNull(), "middle band")
-    used = long.withColumn("why", why)
+    return long.withColumn("why", why)
+
+
+def judge_vs_rules(rows: DataFrame, questions: dict[str, tuple[Column, Column]], label: Column) -> DataFrame:
+    """For each question (rule verdict, judge score): both agreements with the human label over the same items, and why items are left out."""
+    used = _answers(rows, questions, label)
     rule, judge = (F.when(F.col("why").isNull(), (F.col(c) == F.col("label")).cast("int")) for c in ("rule", "judge"))
     return used.groupBy("question").agg(
         F.count(rule).alias("n"), *[F.count_if(F.col("why") == w).alias("n_" + w.replace(" ", "_")) for w in ("unlabelled", "no rule", "unjudged", "middle band")],
         F.round(F.avg(rule), 9).alias("rule_agreement"), F.round(F.avg(judge), 9).alias("judge_agreement"), F.round(F.avg(judge) - F.avg(rule), 9).alias("difference"),
-        F.when(F.avg(judge) > F.avg(rule), "judge").otherwise("rules").alias("winner"),
+        F.when(F.avg(judge) > F.avg(rule), "judge").when(F.count(rule) > 0, "rules").alias("winner"),
     )
+
+
+def judge_vs_rules_tested(rows: DataFrame, questions: dict[str, tuple[Column, Column]], label: Column, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """judge_vs_rules() with the paired p of the two agreements over the same items, their bootstrap intervals, the share of the middle band, and a
+    row for every question: one that no item survives has n = 0 and null figures."""
+    used = _answers(rows, questions, label)
+    left = used.where("why is null").select("question", (F.col("rule") == F.col("label")).cast("int").alias("rule"), (F.col("judge") == F.col("label")).cast("int").alias("judge"))
+    tested = paired_permutation(left.select("question", (F.col("judge") - F.col("rule")).alias("d")), ["question"], "d", seed=seed).select("question", F.round("p_value", 9).alias("p_value"))
+    sides = left.select("question", F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("agrees")) for s in ("rule", "judge")])))
+    ends = bootstrap_mean(sides, ["question", "side"], "agrees", resamples, seed)
+    ends = ends.groupBy("question").agg(*[F.max(F.when(F.col("side") == s, F.round(f"ci_{e}", 9))).alias(f"{s}_{e}") for s in ("rule", "judge") for e in ("low", "high")])
+    every = rows.sparkSession.createDataFrame([(q,) for q in questions], "question string")
+    counts = ["n", "n_unlabelled", "n_no_rule", "n_unjudged", "n_middle_band"]
+    found = F.broadcast(every).join(judge_vs_rules(rows, questions, label), "question", "left").na.fill(0, counts)  # a row a question
+    middle = F.col("n_middle_band") / F.nullif(F.col("n_middle_band") + F.col("n_unjudged") + F.col("n_no_rule") + F.col("n"), F.lit(0))
+    return found.withColumn("middle_rate", F.round(middle, 9)).join(ends, "question", "left").join(tested, "question", "left")

@@ -1,38 +1,131 @@
-"""Bootstrap intervals and paired permutation tests over compressed values, and in plain SQL."""
+"""Bootstrap intervals and paired permutation tests for groups of any size, and in plain SQL.
+
+Rows are counted by distinct value first. What is drawn for a group are sums, one a resample; tasks draw the parts that
+their values add to these, and only the sums are shuffled, CHUNK of them a row.
+"""
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESAMPLES, DRAWS, EXACT_PAIRS = 2000, 10_000, 16
+#: Distinct values that are drawn together, sums in a shuffled row, and numbers that a task draws at once.
+BLOCK, CHUNK, AT_ONCE = 1024, 50, 2_000_000
 #: P(Poisson(1) <= k) for k from 0.
 _POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
 
 
-def _draw(key: tuple, seed: int) -> np.random.Generator:
-    return np.random.default_rng(int.from_bytes(hashlib.sha256(repr((seed, *map(str, key))).encode()).digest()[:8], "big"))
+def _generator(*seeds: int) -> np.random.Generator:
+    """A counter-based stream for these seeds, the same in whatever task asks."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([s & ((1 << 64) - 1) for s in seeds])))
+
+
+def _seed(seed: int, keys: list[str]) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in keys])
+
+
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their group; null keys are a group."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(groups))  # one row
+    named = groups.withColumnsRenamed({k: f"group_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"group_{k}"))
+    return rows.join(named, same).drop(*[f"group_{k}" for k in keys])
+
+
+def _counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+
+
+def _chunks(kept: list[pa.Array], names: list[str], places: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each CHUNK of sums: the kept columns of row places[i], the chunk's number, and the sums, zeros at the end."""
+    n = -(-len(sums[0]) // CHUNK)
+    whole = np.zeros((len(sums), n * CHUNK))
+    for row, s in zip(whole, sums, strict=True):
+        row[: len(s)] = s
+    whole = whole.reshape(-1, CHUNK)
+    at = pa.array(np.repeat(places, n))
+    columns = [c.take(at) for c in kept] + [pa.array(np.tile(np.arange(n, dtype=np.int32), len(places)))] + [pa.array(whole[:, i]) for i in range(CHUNK)]
+    return pa.record_batch(columns, names=[*names, "chunk", *(f"s{i}" for i in range(CHUNK))])
+
+
+_SUMS = ", chunk int, " + ", ".join(f"s{i} double" for i in range(CHUNK))
+
+
+def _kinds(df: DataFrame, names: list[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{k}` {kinds[k]}" for k in names)
+
+
+def _drawn_sums(rng: np.random.Generator, times: np.ndarray, v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each resample, the sum of `times` draws with replacement from values v that are there c times."""
+    total = int(c.sum())
+    if total > 8 * len(v):  # few values, many of each: how often each is drawn costs less than the draws
+        per = max(1, AT_ONCE // len(v))
+        return np.concatenate([rng.multinomial(times[i : i + per], c / total) @ v for i in range(0, len(times), per)])
+    held, out = np.repeat(v, c), np.zeros(len(times))
+    ends = np.cumsum(times)
+    begin = 0
+    while begin < len(times):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+        own = np.repeat(np.arange(end - begin), times[begin:end])
+        out[begin:end] = np.bincount(own, weights=held[rng.integers(0, total, len(own))], minlength=end - begin)
+        begin = end
+    return out
 
 
 def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """Mean of each group with a percentile interval. Rows are first counted by distinct value, and a
-    resample draws those counts, so its cost depends on distinct values and not on rows."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    """keys, mean, n, stdev (of the resampled means), ci_low and ci_high (percentile interval) of each group; null values don't count.
 
-    def draws(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("v")
-        v, c = group["v"].to_numpy(), group["c"].to_numpy()
-        n = int(c.sum())
-        means = _draw(key, seed).multinomial(n, c / n, size=resamples) @ v / n if n > 1 else np.full(resamples, v[0])
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([[*key, float(v @ c / n), n, float(means.std()), float(low), float(high)]], columns=[*keys, "mean", "n", "stdev", "ci_low", "ci_high"])
+    A resample draws n rows of a group with replacement. A group's distinct values are dealt to blocks of about BLOCK by hash. How many
+    draws fall to each block comes from a tree over its blocks: from the root on, a node's draws are split between its halves by a binomial,
+    seeded by group and node, so each block finds its own number on its way down without the others. Then a block draws its own
+    values. Memory is bounded by a block, whatever the group, and results don't depend on how rows are dealt to tasks.
+    """
+    counts = _counted(rows, keys, value)
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    sizes = sizes.withColumn("levels", F.greatest(F.lit(0), F.ceil(F.log2(F.col("distinct") / BLOCK))).cast("int")).drop("distinct")
+    block = F.pmod(F.xxhash64("v"), F.expr("shiftleft(1L, levels)"))
+    group = [*keys, "n", "mean", "levels"]
+    blocks = _joined(counts, sizes, keys).groupBy(*group, block.alias("block")).agg(F.sum("c").alias("size"), F.array_sort(F.collect_list(F.struct("v", "c"))).alias("held"))
+    # each block's way from the root: at a node, the rows below it and those below its left half
+    ways = blocks.where("levels > 0").select(*keys, "block", "size", F.explode(F.sequence(F.lit(1), F.col("levels"))).alias("level"))
+    ways = ways.withColumns({"node": F.expr("shiftright(block, level)"), "right": F.expr("shiftright(block, level - 1) & 1")})
+    nodes = ways.groupBy(*keys, "level", "node").agg(F.sum("size").alias("whole"), F.sum(F.when(F.col("right") == 0, F.col("size")).otherwise(0)).alias("left"))
+    met = _joined(ways.drop("size"), nodes, [*keys, "level", "node"])
+    ways = met.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("level", "node", "whole", "left", "right")), asc=False).alias("way"))
+    named = ways.withColumnsRenamed({k: f"way_{k}" for k in [*keys, "block"]})
+    same = F.col("block") == F.col("way_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"way_{k}"))
+    drawn = blocks.join(named, same, "left").select(*keys, "n", "mean", _seed(seed, keys).alias("seed"), "block", "held", "way")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, names = batch.columns[: len(keys) + 2], batch.schema.names[: len(keys) + 2]
+            own = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("n", "seed", "block")]
+            for i, (n, seed, block) in enumerate(zip(*own, strict=True)):
+                held, way = batch.column(batch.num_columns - 2)[i].values, batch.column(batch.num_columns - 1)[i].as_py()
+                times = np.full(resamples, n, np.int64)
+                for step in way or []:
+                    left = _generator(seed, step["level"], step["node"]).binomial(times, step["left"] / step["whole"])
+                    times = times - left if step["right"] else left
+                sums = _drawn_sums(_generator(seed, 0, block), times, held.field(0).to_numpy(), held.field(1).to_numpy())
+                yield _chunks(kept, names, [i], [sums])
 
-    kinds = dict(rows.dtypes)
-    return counts.groupBy(*keys).applyInPandas(draws, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", mean double, n long, stdev double, ci_low double, ci_high double")
+    named = [*keys, "n", "mean"]
+    sums = drawn.mapInArrow(draw, _kinds(drawn, named) + _SUMS).groupBy(*named, "chunk").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(CHUNK)])
+    one = sums.select(*named, "chunk", F.posexplode(F.array(*[f"s{i}" for i in range(CHUNK)])).alias("place", "sum")).where(F.col("chunk") * CHUNK + F.col("place") < resamples)
+    ends = one.groupBy(*named).agg(F.stddev_pop(F.col("sum") / F.col("n")).alias("stdev"), F.percentile(F.col("sum") / F.col("n"), F.array(F.lit(0.025), F.lit(0.975))).alias("ends"))
+    return ends.select(*keys, "mean", "n", "stdev", F.get("ends", F.lit(0)).alias("ci_low"), F.get("ends", F.lit(1)).alias("ci_high"))
 
 
 def poisson_weight(key: Column, resample: Column) -> Column:
@@ -56,52 +149,136 @@ def poisson_sql(key: str, resample: str) -> str:
     return "(" + " + ".join(f"cast({u} > {p!r} as int)" for p in _POISSON) + ")"
 
 
-def _signed_sums(sizes: dict[float, int]) -> dict[float, int]:
-    """Of all ways to choose signs for counted differences, how many give each sum."""
-    sums = {0.0: 1}
-    for size, count in sizes.items():
-        for _ in range(count):
-            after: dict[float, int] = {}
-            for x, n in sums.items():
-                for y in (x + size, x - size):
-                    y = round(y, 9)
-                    after[y] = after.get(y, 0) + n
-            sums = after
-    return sums
+#: Figures of agreement that cells_intervals() draws; the last three can be undefined in a resample.
+FIGURES = ["exact", "within_one", "mae", "mean_human", "mean_judge", "pearson", "spearman", "kappa"]
+UNDEFINED = FIGURES[-3:]
 
 
-def _exact_p(v: np.ndarray, c: np.ndarray) -> float:
-    sums, seen = _signed_sums(dict(pd.Series(c, index=np.abs(v)).groupby(level=0).sum())), abs(float(v @ c))
-    return sum(n for x, n in sums.items() if abs(x) >= seen - 1e-9) / sum(sums.values())
+def _correlation(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    sx, sy = (w * x).sum(axis=1), (w * y).sum(axis=1)
+    vx, vy = (w * x * x).sum(axis=1) - sx * sx / n, (w * y * y).sum(axis=1) - sy * sy / n
+    cov = (w * x * y).sum(axis=1) - sx * sy / n
+    known = (vx > 1e-9 * n) & (vy > 1e-9 * n) if n > 1 else np.zeros(len(w), bool)
+    return np.where(known, cov / np.sqrt(np.where(known, vx * vy, 1.0)), np.nan)
 
 
-def _sampled_p(v: np.ndarray, c: np.ndarray, key: tuple, draws: int, seed: int) -> float:
-    n, seen = int(c.sum()), abs(float(v @ c))
-    sizes = pd.Series(c, index=np.abs(v)).groupby(level=0).sum().sort_index()
-    sizes = sizes[sizes.index > 0]
-    if not len(sizes):
-        return 1.0
-    rng = _draw(key, seed)
-    total = sum(size * (2 * rng.binomial(int(k), 0.5, draws) - k) for size, k in sizes.items())
-    return (int((np.abs(total) >= seen - 1e-9 * n).sum()) + 1) / (draws + 1)
+def cell_figures(h: np.ndarray, j: np.ndarray, drawn: np.ndarray) -> dict[str, np.ndarray]:
+    """Each of FIGURES for rows of counts of the cells (h, j); NaN where it is undefined."""
+    n = int(drawn[0].sum())
+    w = drawn.astype(np.float64)
+    gap = np.abs(h - j)
+    hs, hi = np.unique(h, return_inverse=True)
+    js, ji = np.unique(j, return_inverse=True)
+    by_h, by_j = w @ np.eye(len(hs))[hi], w @ np.eye(len(js))[ji]
+    ranks = [(np.cumsum(by, axis=1) - by + (by + 1) / 2)[:, i] for by, i in ((by_h, hi), (by_j, ji))]
+    apart = (hs[:, None] - js[None, :]) ** 2
+    chance = ((by_h @ apart) * by_j).sum(axis=1)
+    kappa = np.where(chance > 0, 1 - w @ (gap**2) * n / np.where(chance > 0, chance, 1.0), np.nan)
+    return {
+        "exact": w @ (gap == 0) / n, "within_one": w @ (gap <= 1) / n, "mae": w @ gap / n, "mean_human": w @ h / n, "mean_judge": w @ j / n,
+        "pearson": _correlation(h, j, w, n), "spearman": _correlation(*ranks, w, n), "kappa": kappa,
+    }
+
+
+def cell_intervals(counted: DataFrame, keys: list[str], resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """keys and, of each figure of agreement, its 95 % bootstrap interval (figure_low, figure_high); of those that can be undefined, how many resamples were (figure_undefined).
+
+    counted has h, j and c: counts of (human, judge) values. A resample of pairs is one multinomial draw of these counts and feeds all
+    figures at once; undefined ones are left out of that figure's interval. A figure that is undefined itself has no interval. A group is one
+    row of its cells: 25 for scores of 1 to 5.
+    """
+    groups = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("h").cast("double").alias("h"), F.col("j").cast("double").alias("j"), "c"))).alias("cells"))
+    groups = groups.select(*keys, _seed(seed, keys).alias("seed"), "cells")
+    names = [*(f"{f}_{e}" for f in FIGURES for e in ("low", "high")), *(f"{f}_undefined" for f in UNDEFINED)]
+
+    def one(seed: int, h: np.ndarray, j: np.ndarray, c: np.ndarray) -> list:
+        n = int(c.sum())
+        drawn = _generator(seed).multinomial(n, c / n, size=resamples)
+        point, found = cell_figures(h, j, c[None, :]), cell_figures(h, j, drawn)
+        ends: list = []
+        for f in FIGURES:
+            known = found[f][~np.isnan(found[f])]
+            ends += map(float, np.percentile(known, [2.5, 97.5])) if len(known) and not np.isnan(point[f][0]) else [None, None]
+        return [*ends, *(int(np.isnan(found[f]).sum()) for f in UNDEFINED)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [x.values for x in batch.column(len(keys) + 1)]
+            rows = [one(seed, *(x.field(i).to_numpy() for i in range(3))) for seed, x in zip(batch.column(len(keys)).to_pylist(), cells, strict=True)]
+            kinds = [pa.float64()] * (2 * len(FIGURES)) + [pa.int64()] * len(UNDEFINED)
+            yield pa.record_batch([*batch.columns[: len(keys)], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*keys, *names])
+
+    kinds = [_kinds(groups, keys)] if keys else []
+    return groups.mapInArrow(draw, ", ".join([*kinds, *(f"{n} {'long' if n.endswith('undefined') else 'double'}" for n in names)]))
+
+
+def _exact_ps(held: list[np.ndarray], seen: np.ndarray) -> np.ndarray:
+    """p of each of many small groups of differences: all ways to choose signs, by doubling, for all groups with as many differences at once.
+
+    Differences of zero change nothing. Turning all signs gives the same size, so the first sign stays.
+    """
+    out = np.ones(len(held))
+    held = [d[d != 0] for d in held]
+    sizes = np.array([len(d) for d in held])
+    for n in np.unique(sizes[sizes > 0]):
+        of = np.flatnonzero(sizes == n)
+        per = max(1, AT_ONCE >> int(n - 1))
+        for i in range(0, len(of), per):
+            own = of[i : i + per]
+            d = np.array([held[k] for k in own])
+            sums = d[:, :1]
+            for k in range(1, n):
+                sums = np.concatenate([sums + d[:, k : k + 1], sums - d[:, k : k + 1]], axis=1)
+            out[own] = (np.abs(sums) >= seen[own, None] - 1e-9).mean(axis=1)
+    return out
+
+
+def _flipped_sums(seed: int, v: np.ndarray, c: np.ndarray, draws: int) -> np.ndarray:
+    """What counted differences add to each draw's sum of differences with random signs. A value's signs depend on group and value alone."""
+    total, bits = np.zeros(draws), v.view(np.int64)
+    for size, count, own in zip(v.tolist(), c.tolist(), bits.tolist(), strict=True):
+        rng = _generator(seed, own)
+        if count == 1:
+            total += size * (2.0 * np.unpackbits(np.frombuffer(rng.bytes(-(-draws // 8)), np.uint8))[:draws] - 1.0)
+        else:
+            total += size * (2 * rng.binomial(count, 0.5, draws) - count)
+    return total
 
 
 def paired_permutation(differences: DataFrame, keys: list[str], value: str, exact: int = EXACT_PAIRS, draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """keys, n, p_value (two-sided, of the mean difference) and method of each group: all ways to flip signs up to `exact` pairs, drawn flips above.
 
-    Differences are first counted by distinct value, so a group's task holds its distinct differences and not its pairs. One more hit keeps a drawn p off
-    zero; without a difference it is 1.
+    Small groups are rows of their differences, tested many at a time. The distinct differences of large ones are dealt to tasks, each adds
+    its part to the sums of all draws, and these are added up on their way. One more hit keeps a drawn p off zero; without a difference it is 1.
     """
-    counts = differences.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    counts = _counted(differences, keys, value)
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.abs(F.sum(F.col("v") * F.col("c"))).alias("seen"))
+    own, group = _joined(counts, sizes, keys), [*keys, "n", "seen"]
+    small = own.where(F.col("n") <= exact).groupBy(*group).agg(F.collect_list(F.struct("v", "c")).alias("held"))
 
-    def test(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        v, c = group["v"].to_numpy(), group["c"].to_numpy()
-        n = int(c.sum())
-        p = _exact_p(v, c) if n <= exact else _sampled_p(v, c, key, draws, seed)
-        return pd.DataFrame([[*key, n, p, "exact" if n <= exact else "sampled"]], columns=[*keys, "n", "p_value", "method"])
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.repeat(x.values.field(0).to_numpy(), x.values.field(1).to_numpy()) for x in batch.column(len(group))]
+            p = _exact_ps(held, batch.column(len(keys) + 1).to_numpy())
+            yield pa.record_batch([*batch.columns[: len(keys) + 1], pa.array(p), pa.array(["exact"] * len(p), pa.string())], names=[*keys, "n", "p_value", "method"])
+
+    tested = small.mapInArrow(test, _kinds(small, [*keys, "n"]) + ", p_value double, method string")
+    large = own.where((F.col("n") > exact) & (F.col("v") != 0)).select(*group, _seed(seed, keys).alias("seed"), "v", "c").sortWithinPartitions(*keys)
+
+    def flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seeds, v, c = (batch.column(i).to_numpy() for i in range(len(group), len(group) + 3))
+            cuts = [0, *(np.flatnonzero(seeds[1:] != seeds[:-1]) + 1).tolist(), len(seeds)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                yield _chunks(batch.columns[: len(group)], group, [i], [_flipped_sums(int(seeds[i]), v[i:j], c[i:j], draws)])
 
-    kinds = dict(differences.dtypes)
-    return counts.groupBy(*keys).applyInPandas(test, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, p_value double, method string")
+    sums = large.mapInArrow(flip, _kinds(large, group) + _SUMS).groupBy(*group, "chunk").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(CHUNK)])
+    hits = sum(((F.abs(f"s{i}") >= F.col("seen") - 1e-9 * F.col("n")) & (F.col("chunk") * CHUNK + i < draws)).cast("long") for i in range(CHUNK))
+    found = sums.groupBy(*keys, "n").agg(((F.sum(hits) + 1) / (draws + 1)).alias("p_value"))
+    without = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.max(F.abs("v")).alias("most")).where((F.col("n") > exact) & (F.col("most") == 0)).select(*keys, "n", F.lit(1.0).alias("p_value"))
+    return tested.unionByName(found.unionByName(without).withColumn("method", F.lit("sampled")))
 
 
 def permutation_exact(differences: DataFrame, keys: list[str], value: str) -> DataFrame:

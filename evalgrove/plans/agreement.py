@@ -61,12 +61,12 @@ _REPORT = f"""with p as (select axis, human_score as h, judge as j from {_P}),
 
 @query(_REPORT + " select b.*, kappa, spearman, cast(null as varchar) as kappa_note from b join k using (axis) join s using (axis)")
 def agreement_by_axis(spark, sf_dir):
-    return agreement.report(_pairs(spark, sf_dir), ["axis"], "human_score", "judge")
+    return agreement.report(_pairs(spark, sf_dir), ["axis"], "human_score", "judge", resamples=0)
 
 
 @query(_REPORT + """ select axis, n, kappa, kappa >= 0.6 and n >= 20 as accepted, case when kappa < 0.6 then 'kappa below the gate' else '' end || case when n < 20 then 'too few pairs' else '' end as reasons from b join k using (axis)""")
 def gate(spark, sf_dir):
-    r = agreement.gate(agreement.report(_pairs(spark, sf_dir), ["axis"], "human_score", "judge"))
+    r = agreement.gate(agreement.report(_pairs(spark, sf_dir), ["axis"], "human_score", "judge", resamples=0))
     return r.select("axis", "n", "kappa", "accepted", F.array_join("failures", "").alias("reasons"))
 
 
@@ -164,3 +164,74 @@ def run_compare(spark, sf_dir):
   select count(*) as n_cuts, count(*) filter (win) as n_wins, count(*) filter (loss and not win) as n_losses, case when count(*) filter (loss and not win) > 0 then 'regression' when count(*) filter (win) = count(*) then 'improvement' else 'inconclusive' end as verdict from p""")
 def guardrail_verdict(spark, sf_dir):
     return compare.guardrail_verdict(_compared(spark, sf_dir))
+
+
+# one axis without pairs, and pairs without an axis
+_AXES = "(select *, case when axis <> 'bias' then axis end as own_axis, case when parse_ok then overall end as judge from fx_scores)"
+
+
+def _axis_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).withColumn("own_axis", F.when(F.col("axis") != "bias", F.col("axis")))
+
+
+@query(f"""with p as (select coalesce(own_axis, '(no axis)') as axis, human_score as h, judge as j from {_AXES}), a as (select unnest(['hallucination', 'bias', 'safety']) as axis union select axis from p),
+  b as (select axis, count(j) as n, count(*) filter (h is not null and j is null) as n_unparsed, round(avg(cast(h = j as int)), 6) as exact, round(avg(cast(abs(j - h) <= 1 as int)), 6) as within_one, round(avg(abs(j - h)), 6) as mae, round(avg(j), 6) as mean_judge, round(corr(h, j), 6) as pearson from p group by axis)
+  select axis, coalesce(n, 0) as n, coalesce(n_unparsed, 0) as n_unparsed, exact, within_one, mae, mean_judge, pearson, case when n is null then 'too few pairs' end as kappa_note from a left join b using (axis)""")
+def agreement_axes(spark, sf_dir):
+    found = agreement.report_by_axis(_axis_pairs(spark, sf_dir), "own_axis", "human_score", "judge", resamples=0)
+    return found.select(F.col("own_axis").alias("axis"), "n", "n_unparsed", "exact", "within_one", "mae", "mean_judge", "pearson", "kappa_note")
+
+
+@query()
+def agreement_intervals(spark, sf_dir):
+    """Every figure of agreement with its joint bootstrap interval."""
+    return agreement.report_by_axis(_axis_pairs(spark, sf_dir), "own_axis", "human_score", "judge")
+
+
+@query()
+def bootstrap_many_values(spark, sf_dir):
+    """Prices hardly repeat: nearly as many distinct values as rows."""
+    found = resampling.bootstrap_mean(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return found.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("mean", "stdev", "ci_low", "ci_high")])
+
+
+@query()
+def paired_permutation_many_values(spark, sf_dir):
+    """Differences between the first two lines of each order."""
+    price = [F.max(F.when(F.col("l_linenumber") == i, F.col("l_extendedprice"))) for i in (1, 2)]
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"), (price[0] - price[1]).alias("d"))
+    return resampling.paired_permutation(rows, ["flag"], "d")
+
+
+_SIZED = f"select *, cast(floor(item_id / 210.0) as bigint) as lot, cast(floor((sqrt(8 * (item_id % 210) + 1) - 1) / 2) as bigint) as size from ({_DIFF})"
+
+
+@query(f"""with s as ({_SIZED}), d as (select lot, size, row_number() over (partition by lot, size order by item_id) - 1 as i, d from s), g as (select lot, size, count(*) as n, abs(sum(d)) as seen from d group by 1, 2),
+  m as (select lot, size, seen, unnest(range(0, cast(pow(2, n) as bigint))) as mask from g where n <= 16), f as (select m.lot, m.size, m.mask, any_value(seen) as seen, sum(case when (m.mask >> d.i) & 1 = 1 then -d.d else d.d end) as t from m join d using (lot, size) group by 1, 2, 3),
+  p as (select lot, size, round(avg(cast(abs(t) >= seen - 1e-9 as int)), 9) as p_value from f group by 1, 2) select lot, size, n, p_value from g left join p using (lot, size)""")
+def paired_permutation_sizes(spark, sf_dir):
+    """Groups of one to twenty pairs: exact up to sixteen."""
+    place = F.floor((F.sqrt(8 * (F.col("item_id") % 210) + 1) - 1) / 2)
+    rows = _differences(spark, sf_dir).select(F.floor(F.col("item_id") / 210.0).alias("lot"), place.alias("size"), "d")
+    return resampling.permutation_exact(rows, ["lot", "size"], "d")
+
+
+@query()
+def order_drift_intervals(spark, sf_dir):
+    """Two reorderings with intervals, and one that changes no rendering."""
+    rows = view(spark, sf_dir, "fx_scores").select("item_id", "axis", "arm", *[F.when(F.col("parse_ok"), F.col(c)).alias(c) for c in ("overall", "safety", "accuracy")])
+    left, right = rows.where("arm = 'left'").drop("arm"), rows.where("arm = 'right'").drop("arm", "axis")
+    turned = right.withColumn("overall", F.col("accuracy"))
+    return agreement.drift_of_orders(left, {"response first": (right, None), "reference first": (turned, None), "prompt last": (None, "no pair has a reference")}, "item_id", ["overall", "safety"], ["axis"])
+
+
+@query()
+def judge_vs_rules_tested(spark, sf_dir):
+    """Four questions with all reasons to leave an item out, intervals and paired p."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    text, i = F.lower("text"), F.col("doc_id")
+    score = F.when(i % 11 != 0, 1 + i % 5)
+    return agreement.judge_vs_rules_tested(rows, {
+        "all_rules_pass": (~F.contains(text, F.lit("###")), score), "reached_an_answer": (~F.contains(text, F.lit("!!")), 1 + i % 4),
+        "citations_resolve": (F.when(i % 7 != 0, ~F.contains(text, F.lit("http"))), score), "quantitative_claims_supported": (F.lit(None).cast("boolean"), score),
+    }, F.col("quality") == 1)

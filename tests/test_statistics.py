@@ -1,5 +1,6 @@
 """Hand-worked values of intervals, tests and agreement."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,106 @@ def test_checks(spark):
     assert [c for c in CHECKS if got.get(("b", c))] == ["citation_grounding", "tool_call_errors"]
     assert {r["item_id"]: r["all_passed"] for r in all_passed(made, ["item_id"]).collect()} == {"a": True, "b": False}
     assert pass_rates(made.withColumn("run", F.lit(1)), ["run"]).count() == len(CHECKS)
+
+
+def loop_figures(pairs):
+    """Each figure of agreement in plain Python."""
+    h, j = np.array(pairs, float).T
+    n = len(h)
+
+    def ranks(x):
+        return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+    def corr(x, y):
+        return None if n < 2 or x.std() < 1e-9 or y.std() < 1e-9 else ((x - x.mean()) * (y - y.mean())).mean() / (x.std() * y.std())
+
+    chance = ((h[:, None] - j[None, :]) ** 2).sum()
+    kappa = 1 - ((h - j) ** 2).sum() * n / chance if chance else None
+    return {"exact": (h == j).mean(), "within_one": (abs(h - j) <= 1).mean(), "mae": abs(h - j).mean(), "mean_human": h.mean(), "mean_judge": j.mean(), "pearson": corr(h, j), "spearman": corr(ranks(h), ranks(j)), "kappa": kappa}
+
+
+def test_figures_of_drawn_cells_match_a_plain_loop():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 40):
+        for _ in range(30):
+            pairs = list(zip(rng.integers(1, 6, n).tolist(), rng.integers(2, 5, n).tolist(), strict=True))
+            cells = sorted(set(pairs))
+            got = resampling.cell_figures(*np.array(cells, float).T, np.array([[pairs.count(c) for c in cells]]))
+            for f, v in loop_figures(pairs).items():
+                assert np.isnan(got[f][0]) if v is None else got[f][0] == pytest.approx(v, abs=1e-9)
+
+
+def test_agreement_intervals_match_a_plain_bootstrap(spark):
+    rng = np.random.default_rng(9)
+    human = rng.integers(1, 6, 60)
+    pairs = [(int(h), int(np.clip(h + rng.integers(-1, 3), 1, 5))) for h in human]
+    rows = [("hallucination", h, j) for h, j in pairs] + [("safety", 3, 3)] * 12 + [("safety", 3, 4), (None, 2, 2), (None, 2, None)]
+    found = {r["axis"]: r for r in agreement.report_by_axis(spark.createDataFrame(rows, "axis string, h int, j int"), "axis", "h", "j").collect()}
+    assert {a: (r["n"], r["n_unparsed"]) for a, r in found.items()} == {"hallucination": (60, 0), "safety": (13, 0), "bias": (0, 0), "(no axis)": (1, 1)}
+    drawn = [loop_figures([pairs[i] for i in rng.integers(0, 60, 60)]) for _ in range(2000)]
+    for f, v in loop_figures(pairs).items():
+        r = found["hallucination"]
+        assert r[f] == pytest.approx(v, abs=1e-6)
+        for end, share in (("low", 2.5), ("high", 97.5)):
+            assert r[f"{f}_{end}"] == pytest.approx(np.percentile([d[f] for d in drawn], share), abs=0.12 * np.std([d[f] for d in drawn]) + 0.02)
+    # a constant rater: no correlation, and resamples without the one other score have no kappa either
+    safety = found["safety"]
+    assert (safety["pearson"], safety["pearson_low"], safety["spearman_high"]) == (None, None, None) and safety["kappa_undefined"] > 400
+    assert found["bias"]["exact"] is None and found["bias"]["mae_low"] is None and found["bias"]["pearson_undefined"] == 0
+    assert found["(no axis)"]["exact_low"] == found["(no axis)"]["exact_high"] == 1.0
+
+
+def test_bootstrap_tree_of_many_values(spark, monkeypatch):
+    """More distinct values than a block: as wide as a plain bootstrap, whatever the partitions; few values that come often, too."""
+    rng = np.random.default_rng(2)
+    v = rng.gamma(2.0, 3.0, 20_000)
+    rows = spark.createDataFrame([("many", float(x)) for x in v] + [("few", float(x)) for x in rng.integers(1, 6, 30_000)] + [(None, 2.0)], "g string, x double")
+    found = {r["g"]: r for r in resampling.bootstrap_mean(rows, ["g"], "x").collect()}
+    many = found["many"]
+    assert (many["n"], many["mean"]) == (20_000, pytest.approx(v.mean()))
+    error = v.std() / np.sqrt(len(v))
+    assert many["stdev"] == pytest.approx(error, rel=0.08) and many["ci_low"] == pytest.approx(v.mean() - 1.96 * error, abs=0.3 * error) and many["ci_high"] == pytest.approx(v.mean() + 1.96 * error, abs=0.3 * error)
+    assert found["few"]["stdev"] == pytest.approx(np.sqrt(2) / np.sqrt(30_000), rel=0.08) and found[None]["ci_high"] == 2.0
+    other = {r["g"]: r for r in resampling.bootstrap_mean(rows.repartition(7), ["g"], "x").collect()}
+    assert all(other[g][c] == pytest.approx(found[g][c], rel=1e-9) for g in found for c in ("mean", "stdev", "ci_low", "ci_high"))
+
+
+def test_drawn_sums_in_both_ways():
+    rng = np.random.default_rng(3)
+    v = np.array([1.0, 5.0, -2.0])
+    for c in (np.array([1, 2, 1]), np.array([100, 20, 3])):
+        sums = resampling._drawn_sums(rng, np.full(20_000, 10), v, c)
+        mean = (v * c).sum() / c.sum()
+        assert sums.mean() == pytest.approx(10 * mean, abs=0.2) and sums.var() == pytest.approx(10 * ((v**2 * c).sum() / c.sum() - mean**2), rel=0.05)
+    assert (resampling._drawn_sums(rng, np.zeros(3, int), v, np.array([1, 1, 1])) == 0).all()
+
+
+def test_permutation_of_small_and_large_groups(spark):
+    rng = np.random.default_rng(5)
+    groups = {g: [float(x) for x in (rng.integers(-4, 5, n) if g % 2 else rng.normal(size=n))] for g, n in enumerate(rng.integers(1, 13, 60))}
+    groups |= {100: [0.0] * 20, 101: [float(x) for x in rng.normal(size=900) + 0.06], 102: [float(x) for x in rng.integers(-4, 5, 700)], 103: [0.0] * 3, 104: [1.0] * 17}
+    rows = spark.createDataFrame([(g, d) for g, ds in groups.items() for d in ds] + [(1, None)], "g long, d double")
+    found = {r["g"]: r for r in resampling.paired_permutation(rows.repartition(5), ["g"], "d").collect()}
+    assert set(found) == set(groups)
+    for g, ds in groups.items():
+        d, n = np.array(ds), len(ds)
+        assert found[g]["n"] == n and found[g]["method"] == ("exact" if n <= 16 else "sampled")
+        if n <= 12:
+            signs = 1 - 2 * ((np.arange(2**n)[:, None] >> np.arange(n)) & 1)
+            assert found[g]["p_value"] == pytest.approx((np.abs(signs @ d) >= abs(d.sum()) - 1e-9).mean(), abs=1e-12)
+        elif g < 103:
+            signs = rng.choice([-1, 1], (20_000, n))
+            assert found[g]["p_value"] == pytest.approx((np.abs(signs @ d) >= abs(d.sum()) - 1e-9).mean(), abs=0.03)
+    assert found[100]["p_value"] == 1.0 and found[104]["p_value"] < 0.001
+
+
+def test_judges_against_rules_with_tests(spark):
+    rows = spark.createDataFrame([(i, i % 3 != 0, i % 2 == 0, (i % 5) + 1 if i % 10 else None) for i in range(60)] + [(99, None, True, 5)], "i int, label boolean, rule boolean, score int")
+    found = {r["question"]: r for r in agreement.judge_vs_rules_tested(rows, {"a": (F.col("rule"), F.col("score")), "none": (F.lit(None).cast("boolean"), F.col("score"))}, F.col("label")).collect()}
+    own = [(r, s >= 4, y) for _, y, r, s in [tuple(r) for r in rows.collect()] if y is not None and s is not None and s != 3]
+    differences = [int(j == y) - int(r == y) for r, j, y in own]
+    a = found["a"]
+    assert (a["n"], a["n_unlabelled"], a["n_unjudged"], a["difference"]) == (len(own), 1, 6, pytest.approx(np.mean(differences), abs=1e-8))
+    assert a["judge_low"] <= a["judge_agreement"] <= a["judge_high"] and 0 < a["p_value"] <= 1
+    none = found["none"]
+    assert (none["n"], none["n_no_rule"], none["winner"], none["p_value"], none["rule_low"]) == (0, 60, None, None, None)

@@ -3,60 +3,47 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..vocabularies import DIMENSIONS
+from .jsonscan import first_value
 
-_FENCED = re.compile(r"```(?:json)?\s*\n(.*?)```", re.DOTALL)
 REPLY = "kind string, name string, args string, text string, citations array<string>, violation string"
 
 
-def _candidates(reply: str):
-    """The whole text, the only fenced block, and the first balanced object."""
-    yield reply.strip()
-    fenced = _FENCED.findall(reply)
-    if len(fenced) == 1:
-        yield fenced[0].strip()
-    start = reply.find("{")
-    if start >= 0:
-        try:
-            yield json.dumps(json.JSONDecoder().raw_decode(reply, start)[0])
-        except ValueError:
-            pass
+def _text(value: str) -> str:
+    """Escapes of half a character can't be stored."""
+    return value.encode("utf-8", "replace").decode()
 
 
 def _read(reply: str | None) -> dict:
-    out: dict = {"kind": "violation", "name": None, "args": None, "text": None, "citations": None, "violation": "unparseable_json"}
-    for part in _candidates(reply or ""):
-        try:
-            found = json.loads(part)
-        except ValueError:
-            continue
-        if isinstance(found, dict):
-            break
-    else:
-        return out
-    tool, final = found.get("tool"), found.get("final")
-    if "tool" not in found and "final" not in found:
+    out: dict = {"kind": "violation", "name": None, "args": None, "text": None, "citations": None, "violation": None}
+    found, value = first_value(reply or "")
+    if not found or not isinstance(value, dict):
+        return out | {"violation": "unparseable_json"}
+    asked, final = "tool" in value, "final" in value
+    if not asked and not final:
         return out | {"violation": "unknown_top_level_key"}
-    if "tool" in found and "final" in found or ("tool" in found and not (isinstance(tool, str) and isinstance(found.get("args", {}), dict))) or ("final" in found and not isinstance(final, str)):
+    name, args = value.get("tool"), value.get("args", {})
+    if asked and (final or not isinstance(name, str) or not name.strip() or not isinstance(args, dict)):
         return out | {"violation": "wrong_value_type"}
-    if "tool" in found:
-        return out | {"kind": "tool", "name": tool, "args": json.dumps(found.get("args", {}), sort_keys=True), "violation": None}
-    if "citations" not in found:
-        return out | {"text": final, "violation": "missing_citations_key"}
-    cited = found["citations"]
+    if asked:
+        return out | {"kind": "tool", "name": _text(name.strip()), "args": json.dumps(args, sort_keys=True)}
+    if not isinstance(value["final"], str):
+        return out | {"violation": "wrong_value_type"}
+    text, cited = _text(value["final"]), value.get("citations")
+    if "citations" not in value:
+        return out | {"text": text, "violation": "missing_citations_key"}
     if not isinstance(cited, list) or not all(isinstance(c, str) for c in cited):
-        return out | {"text": final, "violation": "citations_wrong_type"}
-    return out | {"kind": "final", "text": final, "citations": cited, "violation": None}
+        return out | {"text": text, "violation": "citations_wrong_type"}
+    return out | {"kind": "final", "text": text, "citations": [*map(_text, cited)]}
 
 
 def parse_reply(reply: Column) -> Column:
-    """Tool call, final answer or typed violation of each reply."""
+    """Tool call, final answer or typed violation of each reply: of the whole text, fence removed, or of the first balanced object that is JSON."""
 
     @F.pandas_udf(REPLY)
     def parse(replies: pd.Series) -> pd.DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsonscan import line_problem
 from ..sources.traces import LABEL, parsed, valid_label
 from ..vocabularies import ATTACK_TYPES, SUBCATEGORIES
 
@@ -28,6 +29,12 @@ def line_problems(line: Column) -> dict[str, Column]:
     }
 
 
+def json_problems(rows: DataFrame, keys: list[str], line: Column) -> DataFrame:
+    """keys, code and key: a row for each line that isn't one JSON object, and one for each repetition of a key in an object at any depth."""
+    found = rows.select(*keys, line_problem(line).alias("p")).where("p.code is not null")
+    return found.select(*keys, "p.code", F.explode_outer("p.repeated").alias("key"))
+
+
 def file_problems(content: Column) -> dict[str, Column]:
     """Of a whole file's bytes (binaryFile)."""
     size = F.octet_length(content)

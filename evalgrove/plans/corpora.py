@@ -119,6 +119,18 @@ def lint_json(spark, sf_dir):
     return lint.diagnostics(rows, ["event_id"], lint.line_problems(F.col("line")))
 
 
+@query("""with l as (select event_id, event_id % 7 as t from events) select event_id, unnest(case t when 1 then ['not_json'] when 2 then ['duplicate_key'] when 3 then ['duplicate_key', 'duplicate_key', 'duplicate_key'] when 4 then ['not_object'] when 5 then ['not_object'] when 6 then ['blank_line'] else cast([] as varchar[]) end) as code,
+  unnest(case t when 2 then ['a'] when 3 then ['x', 'y', 'y'] when 0 then cast([] as varchar[]) else [null] end) as key from l""")
+def lint_json_keys(spark, sf_dir):
+    """Keys that are repeated at the top and further down, and lines that are no object."""
+    props, t = F.col("props"), F.col("event_id") % 7
+    line = (
+        F.when(t == 1, F.concat(props, F.lit("}"))).when(t == 2, F.concat(F.lit('{"a": '), props, F.lit(', "b": {"a": 1}, "a": 2}'))).when(t == 3, F.concat(F.lit('{"o": {"x": 1, "z": "\\"x\\"", "x": '), props, F.lit('}, "l": [{"y": 0, "y": 1, "y": 2}]}')))
+        .when(t == 4, F.concat(F.lit("["), props, F.lit("]"))).when(t == 5, F.lit('"{}"')).when(t == 6, F.lit(" \t")).otherwise(props)
+    )
+    return lint.json_problems(table(spark, sf_dir, "events").select("event_id", line.alias("line")), ["event_id"], F.col("line"))
+
+
 @query("""with i as (select pair_id, axis, case when pair_id % 3 = 0 then 'gender' else 'false_premise' end as subcategory, case when pair_id % 4 = 0 then 'direct' end as attack_type, axis = 'bias' as b from fx_scores)
   select pair_id, 'subcategory_not_of_axis' as code from i where not ((axis = 'bias' and subcategory = 'gender') or (axis = 'hallucination' and subcategory = 'false_premise'))
   union all select pair_id, 'attack_outside_safety' from i where attack_type is not null and axis <> 'safety' union all select pair_id, 'safety_without_attack' from i where axis = 'safety' and attack_type is null
@@ -315,6 +327,31 @@ def parse_replies(spark, sf_dir):
     return rows.select("item_id", "seq", replies.parse_reply(text).alias("r")).select("item_id", "seq", "r.kind", "r.violation", F.length("r.text").alias("chars"))
 
 
+#: Replies with what they are: kind, tool's name, violation. $ stands for a digest of the message.
+_REPLIES = [
+    ('{"final": "$", "citations": ["a.md#1"]}', "final", None, None), ('```json\n{"final": "$", "citations": []}\n```', "final", None, None), ('prose {oops} {"tool": "kb", "args": {"q": "$"}}', "tool", "kb", None),
+    ('{"tool": "  ", "args": {}}', "violation", None, "wrong_value_type"), (' {"tool": " kb ", "args": {"q": "$"}} ', "tool", "kb", None), ("no object in $", "violation", None, "unparseable_json"),
+    ('{"broken": {"tool": "kb"},, } then {"final": "$", "citations": []}', "final", None, None), ('say "{" first: {"final": "$", "citations": []}', "violation", None, "unparseable_json"), ('so: {"final": "a } and a \\" in $", "citations": []} {', "final", None, None),
+    ('{"final": "$", "tool": "kb", "citations": []}', "violation", None, "wrong_value_type"), ('{"answer": "$"}', "violation", None, "unknown_top_level_key"), ('{"final": "$"}', "violation", None, "missing_citations_key"),
+    ('{"final": "$", "citations": [1]}', "violation", None, "citations_wrong_type"), ('[{"final": "$", "citations": []}]', "violation", None, "unparseable_json"), ('{"tool": "kb", "args": []}', "violation", None, "wrong_value_type"),
+    ('text {"final": "$", "citations": []} more {"tool": "kb"}', "final", None, None), ('{"final": {"a": "$"}, "citations": []}', "violation", None, "wrong_value_type"), ('{"tool": "kb"}', "tool", "kb", None), ('{"open": "$', "violation", None, "unparseable_json"),
+]
+
+
+def _reply_sql(i: int) -> str:
+    return "[" + ", ".join("null" if r[i] is None else f"'{r[i]}'" for r in _REPLIES) + f"][1 + t]"
+
+
+@query(f"""with r as (select run_id, item_id, seq, (cast(item_id as bigint) * 7 + seq) % {len(_REPLIES)} as t from fx_messages where role = 'assistant')
+  select run_id, item_id, seq, {_reply_sql(1)} as kind, {_reply_sql(2)} as name, {_reply_sql(3)} as violation from r""")
+def replies_planted(spark, sf_dir):
+    """Every way in which a reply can be read or refused."""
+    rows = view(spark, sf_dir, "fx_messages").where("role = 'assistant'")
+    template = F.get(F.array(*[F.lit(r[0]) for r in _REPLIES]), ((F.col("item_id").cast("bigint") * 7 + F.col("seq")) % len(_REPLIES)).cast("int"))
+    text = F.replace(template, F.lit("$"), F.md5(F.col("content").cast("binary")))
+    return rows.select("run_id", "item_id", "seq", replies.parse_reply(text).alias("r")).select("run_id", "item_id", "seq", "r.kind", "r.name", "r.violation")
+
+
 @query("""select pair_id, case when pair_id % 4 = 1 then 'not JSON' when pair_id % 4 = 2 then 'wrong keys' when pair_id % 4 = 3 then 'score out of range' end as defect from fx_scores""")
 def parse_verdicts(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_scores")

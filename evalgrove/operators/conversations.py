@@ -19,6 +19,12 @@ def missing_links(segments: DataFrame) -> DataFrame:
     return segments.where("previous_run_id is not null").join(known, "previous_run_id", "left_anti")
 
 
+def _twice(jump: DataFrame) -> DataFrame:
+    """run_id and the segment twice as far back, where there is one."""
+    further = jump.select(F.col("run_id").alias("at"), F.col("at").alias("further"))
+    return jump.join(further, "at").select("run_id", F.col("further").alias("at")).checkpoint()
+
+
 def broken_chains(segments: DataFrame) -> DataFrame:
     """run_id and reason of segments whose way back ends at a segment that isn't there, or never ends.
 
@@ -40,7 +46,8 @@ def chains(segments: DataFrame, strict: bool = True) -> DataFrame:
     """run_id (a tip), member, depth: each tip's segments back to its beginning.
 
     A way back that ends at a missing segment, or in a loop, is an error; unless strict, such tips are left out (broken_chains() tells why).
-    Each round follows one link for all tips at once.
+    Each round doubles what a tip has reached: from its members so far, as far back again as the round's jumps go. A chain of L
+    segments takes as many rounds as L has binary digits; what is written is the result once, and each segment's jump once a round.
     """
     links = segments.select("run_id", "previous_run_id")
     broken = broken_chains(links)
@@ -48,14 +55,15 @@ def chains(segments: DataFrame, strict: bool = True) -> DataFrame:
         wrong = broken.orderBy("reason", "run_id").limit(1).collect()
         if wrong:
             raise ValueError(f"{wrong[0]['reason']} behind {wrong[0]['run_id']}")
-    reach = tips(links).join(broken, "run_id", "left_anti").select("run_id", F.col("run_id").alias("member"), F.col("previous_run_id").alias("next"), F.lit(0).alias("depth"))
-    out, depth = reach, 0
-    while reach.where("next is not null").limit(1).count():
-        depth += 1
-        back = links.select(F.col("run_id").alias("next"), F.col("previous_run_id").alias("after"))
-        reach = reach.where("next is not null").join(back, "next").select("run_id", F.col("next").alias("member"), F.col("after").alias("next"), F.lit(depth).alias("depth")).checkpoint()
-        out = out.unionByName(reach)
-    return out.select("run_id", "member", "depth")
+    out = tips(links).join(broken, "run_id", "left_anti").select("run_id", F.col("run_id").alias("member"), F.lit(0).alias("depth")).checkpoint()
+    jump = links.where("previous_run_id is not null").join(broken, "run_id", "left_anti").select("run_id", F.col("previous_run_id").alias("at")).checkpoint()
+    span = 1
+    while True:
+        further = jump.select(F.col("run_id").alias("member"), "at")
+        reached = out.join(further, "member").select("run_id", F.col("at").alias("member"), (F.col("depth") + span).alias("depth")).checkpoint()
+        if not reached.limit(1).count():
+            return out
+        out, span, jump = out.unionByName(reached), 2 * span, _twice(jump)
 
 
 def chain_turns(segments: DataFrame, strict: bool = True) -> DataFrame:

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import rate
+from ..storage import stored
 from .ranks import percentiles
 
 # Formats of headings, fences and sentence ends; the band of chunk sizes.
@@ -20,7 +21,6 @@ FENCE = re.compile(r"^\s*(```|~~~)")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z(\"'\[`])")
 LEAST_TOKENS, MOST_TOKENS = 200, 256
 # End of fixed values.
-QUERY_BLOCK = 256
 
 
 def estimate(text: str) -> int:
@@ -86,29 +86,116 @@ def normalised(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
 
-def top_k(queries: DataFrame, passages: DataFrame, k: int, floor: float | None = None) -> DataFrame:
+#: Queries that are searched for at once, and passages that may be looked at to choose centres.
+QUERIES_AT_ONCE, SAMPLED = 8192, 16_384
+
+
+def centres_of(sample: np.ndarray, n: int) -> np.ndarray:
+    """About n unit vectors that lie apart in a sample: each next one is the farthest from those so far."""
+    sample = sample[np.linalg.norm(sample, axis=1) > 0]
+    if not len(sample):
+        return np.zeros((1, 0))
+    chosen = [0]
+    near = sample @ sample[0]
+    while len(chosen) < min(n, len(sample)):
+        far = int(np.argmin(near))
+        if near[far] > 1 - 1e-9:
+            break
+        chosen.append(far)
+        near = np.maximum(near, sample @ sample[far])
+    return sample[chosen]
+
+
+class Best:
+    """The k best passages so far of each query of a block; blocks of passages that can't reach them are passed over."""
+
+    def __init__(self, queries: np.ndarray, k: int, floor: float | None):
+        self.queries, self.k, self.floor = queries, k, -np.inf if floor is None else floor
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.asked = self.skipped = 0
+
+    def bound(self, vectors: np.ndarray) -> np.ndarray:
+        """No passage of a block can score more than this for a query: by the angle to the block's centre, less the block's radius."""
+        centre = vectors.sum(axis=0)
+        size = np.linalg.norm(centre)
+        if size < 1e-12 or not np.linalg.norm(vectors, axis=1).all():
+            return np.ones(len(self.queries))
+        radius = np.clip((vectors @ centre).min() / size, -1.0, 1.0)  # its cosine
+        at = np.clip(self.queries @ centre / size, -1.0, 1.0)
+        reach = at * radius + np.sqrt((1 - at * at) * (1 - radius * radius))
+        return np.where(at >= radius, 1.0, reach) + 1e-9
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Take in a block. Equal scores go to the smaller id, so only what scores less than the k-th can be passed over."""
+        least = np.maximum(self.scores[:, -1], self.floor)
+        own = np.flatnonzero(self.bound(vectors) >= least)
+        self.asked, self.skipped = self.asked + len(self.queries), self.skipped + len(self.queries) - len(own)
+        if not len(own):
+            return
+        scores = self.queries[own] @ vectors.T
+        reached = scores.max(axis=1) >= least[own]
+        own, scores = own[reached], scores[reached]
+        scores = np.where(scores >= self.floor, scores, -np.inf)
+        every = np.concatenate([self.scores[own], scores], axis=1)
+        names = np.concatenate([self.ids[own], np.where(scores > -np.inf, np.broadcast_to(ids, scores.shape), np.iinfo(np.int64).max)], axis=1)
+        order = np.lexsort((names, -every))[:, : self.k]
+        self.scores[own], self.ids[own] = np.take_along_axis(every, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64) if len(column) else np.zeros((0, 0))
+
+
+def top_k(queries: DataFrame, passages: DataFrame, k: int, floor: float | None = None, n_centres: int = 256, counts=None) -> DataFrame:
     """query_id, chunk_id, score and place of the k best passages of each query by cosine, from (id, embedding).
 
-    Queries go in blocks of QUERY_BLOCK, one row a block; each block meets each batch of passages in one matrix
-    product, and only its k best of the batch go on. Ties go to the smaller chunk id; k of 0 or less gives nothing.
+    Passages are dealt to tasks by their nearest centre (centres lie apart in a sample of SAMPLED passages, which decides nothing but the order of the
+    work), so the passages of a batch are blocks with a centre and a radius. Queries are broadcast QUERIES_AT_ONCE at a time; a task keeps each one's k best
+    so far, looks at near blocks first, and passes over blocks whose bound can't reach the k-th. Exact: ties go to the smaller chunk id; k of 0 or less gives
+    nothing. counts: two accumulators of (query, block) pairs looked at and passed over.
     """
-    numbered = queries.select("id", normalised(F.col("embedding")).alias("embedding")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    blocks = numbered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "embedding"))).alias("queries"))
-    lots = passages.select("id", normalised(F.col("embedding")).alias("embedding")).withColumn("lot", F.floor(F.monotonically_increasing_id() / 4096))
-    lots = lots.groupBy("lot").agg(F.collect_list(F.struct("id", "embedding")).alias("passages"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark, kind = passages.sparkSession, "query_id long, chunk_id long, score double"
+    if k <= 0:
+        return spark.createDataFrame([], kind + ", place long")
+    own = passages.select("id", normalised(F.col("embedding")).alias("embedding"))
+    centres = centres_of(_matrix(own.select("embedding").limit(SAMPLED).toArrow().column(0)), n_centres)
+    turns = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    asked = queries.select("id", normalised(F.col("embedding")).alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(turns)).alias("turn"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                scores = np.array([q["embedding"] for q in asked]) @ np.array([p["embedding"] for p in held]).T
-                ids = np.array([p["id"] for p in held])
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, : max(0, k)]
-                best = np.take_along_axis(scores, order, axis=1)
-                keep = np.ones(best.shape, bool) if floor is None else best >= floor
-                at = np.nonzero(keep)
-                yield pa.record_batch([pa.array(np.array([q["id"] for q in asked])[at[0]]), pa.array(ids[order[at]]), pa.array(best[at])], names=["query_id", "chunk_id", "score"])
-
-    found = blocks.select("queries").crossJoin(lots.select("passages")).mapInArrow(rows, "query_id long, chunk_id long, score double")
+            vectors = _matrix(batch.column(1))
+            near = np.argmax(vectors @ centres.T, axis=1) if len(vectors) and centres.shape[1] else np.zeros(len(vectors), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["id", "embedding", "centre"])
+
+    # a common centre's passages go to many tasks
+    dealt = own.mapInArrow(deal, "id long, embedding array<double>, centre int").repartition("centre", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("centre")
+    found = None
+    for turn in range(turns):
+        table = asked.where(F.col("turn") == turn).select("id", "embedding").toArrow()
+        shared = spark.sparkContext.broadcast((np.array(table.column(0).to_pylist(), np.int64), _matrix(table.column(1))))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, vectors = shared.value
+            best = Best(vectors, k, floor)
+            for batch in batches:
+                ids, held, centre = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
+                if not len(ids) or not len(names):
+                    continue
+                cuts = [0, *(np.flatnonzero(centre[1:] != centre[:-1]) + 1).tolist(), len(ids)]
+                blocks = [slice(x, y) for i, j in zip(cuts[:-1], cuts[1:]) for x, y in ((b, min(j, b + 512)) for b in range(i, j, 512))]
+                blocks.sort(key=lambda b: -best.bound(held[b]).mean())
+                for b in blocks:
+                    best.see(ids[b], held[b])
+            if counts:
+                counts[0].add(best.asked)
+                counts[1].add(best.skipped)
+            at = np.nonzero(best.scores > -np.inf)
+            yield pa.record_batch([pa.array(names[at[0]]), pa.array(best.ids[at]), pa.array(best.scores[at])], names=["query_id", "chunk_id", "score"])
+
+        rows = dealt.mapInArrow(search, kind)
+        found = rows if found is None else found.unionByName(rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
 
@@ -156,6 +243,61 @@ def staleness(stored: DataFrame, current: DataFrame, name: str, digest: str, set
     return a.join(b, name, "full").select(name, state.alias("state")).where("state is not null")
 
 
+#: Parts of an index, by names of files: what an upkeep writes anew.
+INDEX_PARTS = 64
+_STAMPS = "name string, stamp string, digest string, embedder string, band string"
+_CHUNKS = "chunk_id string, source_file string, heading_path array<string>, ordinal int, text string, token_count int"
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(stamps, chunks) of an index, with the part that each row lies in; empty where there is none yet."""
+    def rows(what: str, kind: str, name: str) -> DataFrame:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{what}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], kind + ", part int")
+        return spark.read.schema(kind + ", part int").parquet(f"{folder}/{what}").where(F.col(name).isNotNull())
+
+    return rows("stamps", _STAMPS, "name"), rows("chunks", _CHUNKS, "chunk_id")
+
+
+def index_upkeep(files: DataFrame, folder: str, embedder: str, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, chunk=chunk_documents) -> DataFrame:
+    """Bring a chunk index up to date with files (name, stamp, text) and return name and state (added, removed, changed, other settings, restamped) of all files that weren't.
+
+    A file whose stamp (such as its time and size) is as recorded isn't read. Others are digested; only those whose text changed, or that were made with another
+    embedder or band of chunk sizes, are chunked again. An index has INDEX_PARTS parts by name; parts without such files keep their files on disk, the others are
+    written beside the index first and then replace theirs, so an upkeep that is lost can be run again.
+    """
+    spark, band = files.sparkSession, f"{least}-{most}"
+    part = F.pmod(F.xxhash64("name"), F.lit(INDEX_PARTS)).cast("int")
+    stamps, chunks = read_index(spark, folder)
+    old = stamps.select("name", F.col("stamp").alias("old_stamp"), F.col("digest").alias("old_digest"), F.struct("embedder", "band").alias("old_settings"))
+    settings = F.struct(F.lit(embedder).alias("embedder"), F.lit(band).alias("band"))
+    there = files.select(F.col("name").cast("string").alias("name"), F.col("stamp").cast("string").alias("stamp"))
+    met = there.join(old, "name", "full")
+    known = F.col("old_stamp").isNotNull() | F.col("old_digest").isNotNull()
+    first = F.when(F.col("stamp").isNull() & known, "removed").when(~known, "added").when(F.col("old_settings") != settings, "other settings").when(~F.col("stamp").eqNullSafe(F.col("old_stamp")), "moved")
+    moved = stored(met.withColumn("state", first).where("state is not null").select("name", "stamp", "state", "old_digest"), "index-moved")
+    looked = files.select(F.col("name").cast("string").alias("name"), "text").join(moved.where("state <> 'removed'").select("name"), "name", "left_semi")
+    digests = looked.select("name", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    state = F.when(F.col("state") != "moved", F.col("state")).when(F.col("digest") == F.col("old_digest"), "restamped").otherwise("changed")
+    stale = stored(moved.join(digests, "name", "left").select("name", "stamp", "digest", state.alias("state")).withColumn("part", part), "index-stale")
+    parts = stale.select("part").distinct()  # INDEX_PARTS at most
+    again = files.select(F.col("name").cast("string").alias("name"), "text").join(stale.where("state in ('added', 'changed', 'other settings')").select("name"), "name", "left_semi")
+    made = chunk(again, "name", "text").select(*[f.split()[0] for f in _CHUNKS.split(", ")])
+    gone = stale.where("state <> 'restamped'").select(F.col("name").alias("source_file"))
+    kept = chunks.join(F.broadcast(parts), "part", "left_semi").join(gone, "source_file", "left_anti")
+    fresh = stale.where("state <> 'removed'").select("name", "stamp", "digest", F.lit(embedder).alias("embedder"), F.lit(band).alias("band"), "part")
+    other = stamps.join(F.broadcast(parts), "part", "left_semi").join(stale.select("name"), "name", "left_anti")
+    # a row without a name in each part, so that a part that is left empty is replaced too
+    of_chunk = F.pmod(F.xxhash64(F.col("source_file").alias("name")), F.lit(INDEX_PARTS)).cast("int")
+    new_chunks = made.withColumn("part", of_chunk).unionByName(kept).unionByName(parts, allowMissingColumns=True)
+    new_stamps = fresh.unionByName(other.select(*fresh.columns)).unionByName(parts, allowMissingColumns=True)
+    for what, rows, order in (("chunks", new_chunks, ["source_file", "ordinal"]), ("stamps", new_stamps, ["name"])):
+        ready = stored(rows, f"index-{what}")
+        ready.repartition("part").sortWithinPartitions("part", *order).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("part").parquet(f"{folder}/{what}")
+    return stale.select("name", "state")
+
+
 def corpus_digest(files: DataFrame, name: str, content: str) -> DataFrame:
     """One digest of a corpus. Names and contents are digested each by itself and added up as numbers, so order and partitions don't matter and nothing is gathered."""
     h = F.sha2(F.concat_ws("|", F.col(name).cast("string"), F.sha2(F.col(content).cast("binary"), 256)).cast("binary"), 256)

@@ -10,6 +10,7 @@ from ..fixtures import table, view
 from ..functions import replies, rules
 from ..functions.intervals import wilson_sql
 from ..operators import checks, compare, conversations, labels, lint, retrieval, runs, steps
+from ..storage import new_folder
 from .registry import query
 
 
@@ -228,6 +229,19 @@ def corpus_stats(spark, sf_dir):
     return retrieval.corpus_stats(retrieval.chunk_documents(_headed(spark, sf_dir), "name", "text"))
 
 
+@query("""select url as name, 'second' as upkeep, case when page_id % 5 = 0 then 'added' when page_id % 6 = 0 then 'removed' when page_id % 7 = 0 then 'changed' when page_id % 11 = 0 then 'restamped' end as state from pages
+    where not (page_id % 5 = 0 and page_id % 6 = 0) and (page_id % 5 = 0 or page_id % 6 = 0 or page_id % 7 = 0 or page_id % 11 = 0)
+  union all select url, 'third', 'other settings' from pages where page_id % 6 <> 0 union all select url, 'first', 'added' from pages where page_id % 5 <> 0""")
+def index_states(spark, sf_dir):
+    """What three upkeeps of an index find: a new one, one after files were added, removed, changed and touched, and one with another embedder."""
+    p, folder = table(spark, sf_dir, "pages"), new_folder(spark, "page-index")
+    before = p.where("page_id % 5 <> 0").select(F.col("url").alias("name"), F.lit("1").alias("stamp"), F.col("html").alias("text"))
+    moved, changed = F.col("page_id") % 11 == 0, F.col("page_id") % 7 == 0
+    after = p.where("page_id % 6 <> 0").select(F.col("url").alias("name"), F.when(moved | changed, "2").otherwise("1").alias("stamp"), F.when(changed, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("text"))
+    found = [retrieval.index_upkeep(files, folder, embedder).withColumn("upkeep", F.lit(name)) for name, files, embedder in (("first", before, "a"), ("second", after, "a"), ("third", after, "b"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("""with a as (select url, sha256(html) as old from pages where page_id % 5 <> 0), b as (select url, sha256(case when page_id % 7 = 0 then html || '!' else html end) as new from pages where page_id % 6 <> 0)
   select url, case when old is null then 'added' when new is null then 'removed' else 'changed' end as state from a full join b using (url) where old is distinct from new""")
 def index_staleness(spark, sf_dir):

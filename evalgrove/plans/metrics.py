@@ -8,6 +8,7 @@ from ..fixtures import table, view
 from ..functions.intervals import wilson_sql
 from ..operators import agreement
 from ..operators.labels import latest
+from ..operators.summary import in_sections
 from ..operators.summary import metric_table as build_metric_table
 from ..sources import traces
 from ..storage import new_folder
@@ -111,3 +112,43 @@ def stream_latest_label(spark, sf_dir):
 def stream_completed(spark, sf_dir):
     stream = jobs.as_stream(spark, table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 3)
     return jobs.complete_result(spark, jobs.completion(stream, ["conv_id"], "turn", "assistant"))
+
+
+@query("select conv_id, max(turn) + 1 as n_turns from conversations group by conv_id having arg_max(role, turn) = 'assistant'")
+def stream_completions(spark, sf_dir):
+    """Each conversation once, in append mode, when its last turn is an assistant's."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.timestamp_seconds(1_700_000_000 + F.col("turn")).alias("ts"))
+    items = rows.groupBy("conv_id").agg((F.max("turn") + 1).alias("n_turns"))
+    found = jobs.appended_result(spark, jobs.completions(jobs.as_stream(spark, rows, 3), items, ["conv_id"], "ts", "turn", "assistant"))
+    return found.join(items, "conv_id").select("conv_id", "n_turns")
+
+
+@query("select date_trunc('day', ts) as window_start, event_type, count(value) as n, true as rank_fits from events group by 1, 2 having count(value) > 0 union all select null, event_type, count(value), true from events group by 2 having count(value) > 0")
+def stream_quantiles(spark, sf_dir):
+    """Live p95 of each day and, pooled, of all days: whether its rank is within 2 % (and one row) of 95 %."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    sketches = jobs.complete_result(spark, jobs.live_sketches(jobs.as_stream(spark, rows, 4), "ts", ["event_type"], "value"))
+    days = jobs.pooled_quantiles(sketches, ["window_start", "event_type"], {"p95": 0.95})
+    pooled = jobs.pooled_quantiles(sketches, ["event_type"], {"p95": 0.95}).withColumn("window_start", F.lit(None).cast("timestamp_ntz"))
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    own = rows.where("value is not null").select(F.explode(F.array(day, F.lit(None).cast("timestamp_ntz"))).alias("window_start"), "event_type", "value")
+    a, b = own.alias("a"), days.unionByName(pooled).alias("b")
+    same = F.col("a.window_start").eqNullSafe(F.col("b.window_start")) & (F.col("a.event_type") == F.col("b.event_type"))
+    ranked = b.join(a, same).groupBy("b.window_start", "b.event_type", "b.n").agg(F.avg((F.col("a.value") <= F.col("p95")).cast("int")).alias("at"), F.avg((F.col("a.value") < F.col("p95")).cast("int")).alias("below"))
+    slack = 0.02 + 1 / F.col("n")
+    return ranked.select("window_start", "event_type", "n", ((F.col("at") >= 0.95 - slack) & (F.col("below") <= 0.95 + slack)).alias("rank_fits"))
+
+
+_SECTIONS = [("rate:tool", "Tools"), ("rate:", "Rates")]
+
+
+@query(f"""with b as ({_BASE}), c as (select *, 'all' as conditioning from b union all select *, 'wellformed' from b where wellformed), m as (select run_id, conditioning, 'rate:tool' as metric, {wilson_sql("count(*) filter (role = 'tool')", 'count(*)')}, 0 as section_ord, 0 as row_ord, 'Tools' as section from c group by run_id, conditioning
+    union all select run_id, conditioning, 'rate:priced', {wilson_sql('count(usd_cost)', 'count(*)')}, 1, 1, 'Rates' from c group by run_id, conditioning)
+  select * from m where run_id <> 'run-3' union all select run_id, conditioning, metric, mean, n, stdev, ci_low, ci_high, section_ord, row_ord, section from m where run_id = 'run-3' and conditioning = 'all'""")
+def metrics_roundtrip(spark, sf_dir):
+    """All runs written, then one of them again with fewer rows: its partition is replaced, the others stay."""
+    path = new_folder(spark, "metrics")
+    rows = build_metric_table(view(spark, sf_dir, "fx_calls"), ["run_id"], F.col("format_violation").isNull(), {"rate:tool": F.col("role") == "tool", "rate:priced": F.col("usd_cost").isNotNull()})
+    traces.write_metrics(in_sections(rows, _SECTIONS).withColumnRenamed("ord", "row_ord"), path)
+    traces.write_metrics(in_sections(rows, _SECTIONS).withColumnRenamed("ord", "row_ord").where("run_id = 'run-3' and conditioning = 'all'"), path)
+    return traces.read_metrics(spark, path).select("run_id", "conditioning", "metric", "mean", "n", "stdev", "ci_low", "ci_high", "section_ord", "row_ord", "section")

@@ -166,9 +166,26 @@ def judge_runs(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("n = 1").drop("n"), found.where("n > 1").select("run_id", "n")
 
 
+#: Order of a metric table on its way out: sections, then metrics within them.
+METRIC_ORDER = ["section_ord", "row_ord", "conditioning", "metric"]
+
+
 def write_metrics(metrics: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Long metric rows, partitioned by run."""
-    metrics.write.partitionBy("run_id").format(kind).save(path)
+    """Long metric rows, a partition a run, ordered within it by what METRIC_ORDER names. Runs that are written again replace their own partition; other runs stay."""
+    order = [c for c in METRIC_ORDER if c in metrics.columns]
+    rows = metrics.withColumn("run_id", F.col("run_id").cast("string")).repartition("run_id").sortWithinPartitions("run_id", *order)
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("run_id").format(kind).save(path)
+
+
+def read_metrics(spark: SparkSession, path: str, runs: list[str] | None = None, kind: str = "parquet") -> DataFrame:
+    """Written metric rows, of some runs only if they are named; run_id is a string whatever it looks like."""
+    reader = spark.read.format(kind)
+    if kind == "csv":
+        reader = reader.option("header", True)
+    folders = [path] if runs is None else [f"{path}/run_id={r}" for r in runs]
+    first = reader.option("basePath", path).load(folders)
+    fields = [f if f.name != "run_id" else T.StructField("run_id", T.StringType()) for f in first.schema.fields]
+    return reader.schema(T.StructType(fields)).option("basePath", path).load(folders)
 
 
 def write_agreement(reports: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,44 @@ def test_watermark_matches_closed_windows(spark):
     q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start(f"{path}/rows")
     q.awaitTermination()
     assert spark.read.parquet(f"{path}/rows").count() == 4  # the last window is still open
+
+
+def test_items_are_told_once_and_forgotten(spark):
+    """Repeated and unordered rows, items that never end, and state that goes with the watermark."""
+    start = 1_700_000_000
+    batches = [[("a", 1, "turn", 0), ("b", 0, "turn", 1), ("c", 0, "user", 2)], [("a", 1, "turn", 3), ("a", 0, "turn", 4), ("b", 1, "turn", 5), ("z", 0, "turn", 6)], [("c", 0, "user", 90_000)], [("c", 0, "turn", 90_001)], [("a", 1, "turn", 90_002)]]
+    path = new_folder(spark, "turns")
+    kind = "item_id string, turn_idx int, role string, ts timestamp"
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(a, t, r, s) for a, t, r, s in rows], "item_id string, turn_idx int, role string, s long")
+        df.select("item_id", "turn_idx", "role", F.timestamp_seconds(start + F.col("s")).alias("ts")).coalesce(1).write.parquet(f"{path}/{i}")
+    items = spark.createDataFrame([("a", 2), ("b", 2), ("c", 1), ("never", 3)], "item_id string, n_turns int")
+
+    def run(idle_ms):
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+        found = jobs.completions(stream, items, ["item_id"], "ts", "turn_idx", "turn", late="1 hour", idle_ms=idle_ms)
+        return sorted(r["item_id"] for r in jobs.appended_result(spark, found).collect())
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert run(10**9) == ["a", "b", "c"]
+    assert run(1000) == ["a", "a", "b", "c"]  # forgotten after a second, so its last row, repeated a day later, counts anew
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_live_quantiles_are_near_exact_ones(spark):
+    rows = spark.range(20_000).select(F.timestamp_seconds(1_700_000_000 + F.col("id") % 200_000 * 10).alias("ts"), F.when(F.col("id") % 9 > 0, F.pmod(F.xxhash64("id"), F.lit(100_003)).cast("double")).alias("v"), F.lit("r").alias("run"))
+    sketches = jobs.complete_result(spark, jobs.live_sketches(jobs.as_stream(spark, rows, 3), "ts", ["run"], "v"))
+    pooled = jobs.pooled_quantiles(sketches, ["run"], {"p50": 0.5, "p95": 0.95}).first()
+    held = np.array([r["v"] for r in rows.where("v is not null").collect()])
+    assert pooled["n"] == len(held)
+    for name, share in (("p50", 0.5), ("p95", 0.95)):
+        assert abs((held <= pooled[name]).mean() - share) < 0.016
+
+
+def test_metrics_of_a_run_are_replaced(spark):
+    path = new_folder(spark, "metrics")
+    rows = spark.createDataFrame([("01", "b", 2, 0.5), ("01", "a", 1, 0.25), ("r2", "a", 1, 1.0)], "run_id string, metric string, section_ord int, mean double")
+    traces.write_metrics(rows, path)
+    traces.write_metrics(rows.where("run_id = '01' and metric = 'a'").withColumn("mean", F.lit(0.75)), path)
+    assert sorted(map(tuple, traces.read_metrics(spark, path).select("run_id", "metric", "mean").collect())) == [("01", "a", 0.75), ("r2", "a", 1.0)]
+    assert traces.read_metrics(spark, path, ["r2"]).count() == 1

@@ -62,7 +62,7 @@ union all select run_id, item_id, turn_idx, 'turn' as role, content, seq * 3 + 2
 VIEWS["fx_results"] = f"""
 select arm as run_id, item_id, axis, case when axis = 'safety' then case when pair_id % 5 = 0 then 'benign_control' else 'overtraining' end when axis = 'hallucination' then case when pair_id % 4 < 2 then 'false_premise' else 'answerable_kb' end else 'gender' end as subcategory,
   case when axis = 'safety' and pair_id % 5 <> 0 then case cast(floor(pair_id / 2.0) as bigint) % 7 when 0 then 'direct' when 1 then 'roleplay' when 2 then 'authority_claim' when 3 then 'hypothetical' when 4 then 'incremental_escalation' when 5 then 'prompt_injection' else 'persistence' end end as attack_type,
-  pair_id % 3 <> 0 as answerable, pair_id % 7 <> 0 as wellformed, pair_id % 50 = 7 as infrastructure_failed, case pair_id % 20 when 0 then 'output_filtered' when 1 then 'input_blocked' when 2 then cast(null as varchar(20)) else 'none' end as guardrail_action,
+  pair_id % 3 <> 0 as answerable, pair_id % 7 <> 0 as wellformed, pair_id % 50 = 7 as infrastructure_failed, case pair_id % 19 when 0 then 'output_filtered' when 1 then 'input_blocked' when 2 then cast(null as varchar(20)) else 'none' end as guardrail_action,
   case when parse_ok then helpfulness end as helpfulness, case when parse_ok then accuracy end as accuracy, case when parse_ok then safety end as safety, case when parse_ok then communication end as communication, case when parse_ok then overall end as overall,
   pair_id % 13 <> 0 as check_protocol_compliance, case when pair_id % 4 = 0 then helpfulness > 1 end as check_tool_used, true as check_no_hallucinated_tool, case when pair_id % 6 < 3 then accuracy >= 3 end as check_contains, pair_id % 11 <> 0 as check_citation_grounding,
   pair_id % 17 <> 0 as check_model_call_budget, cast(null as boolean) as check_tool_call_errors, safety > 1 as check_no_refusal, case when pair_id % 8 = 1 then accuracy > 2 end as check_kb_grounded,

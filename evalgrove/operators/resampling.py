@@ -40,8 +40,8 @@ def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, same).drop(*[f"group_{k}" for k in keys])
 
 
-def _counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+def _counted(rows: DataFrame, keys: list[str], value: str, times: str | None = None) -> DataFrame:
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg((F.sum(F.col(times).cast("long")) if times else F.count("*")).alias("c"))
 
 
 def _chunks(kept: list[pa.Array], names: list[str], places: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
@@ -82,15 +82,15 @@ def _drawn_sums(rng: np.random.Generator, times: np.ndarray, v: np.ndarray, c: n
     return out
 
 
-def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """keys, mean, n, stdev (of the resampled means), ci_low and ci_high (percentile interval) of each group; null values don't count.
+def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, seed: int = 0, times: str | None = None) -> DataFrame:
+    """keys, mean, n, stdev (of the resampled means), ci_low and ci_high (percentile interval) of each group; null values don't count. A row stands for `times` values.
 
     A resample draws n rows of a group with replacement. A group's distinct values are dealt to blocks of about BLOCK by hash. How many
     draws fall to each block comes from a tree over its blocks: from the root on, a node's draws are split between its halves by a binomial,
     seeded by group and node, so each block finds its own number on its way down without the others. Then a block draws its own
     values. Memory is bounded by a block, whatever the group, and results don't depend on how rows are dealt to tasks.
     """
-    counts = _counted(rows, keys, value)
+    counts = _counted(rows, keys, value, times)
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
     sizes = sizes.withColumn("levels", F.greatest(F.lit(0), F.ceil(F.log2(F.col("distinct") / BLOCK))).cast("int")).drop("distinct")
     block = F.pmod(F.xxhash64("v"), F.expr("shiftleft(1L, levels)"))

@@ -7,3 +7,4 @@ from . import corpora  # noqa: F401
 from . import metrics  # noqa: F401
 from . import reports  # noqa: F401
 from . import runs  # noqa: F401
+from . import planted  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import view
 from ..functions.intervals import wilson_sql
 from ..functions.replies import violation
-from ..operators import checks, rates, resampling, runs, steps
+from ..operators import checks, compare, rates, resampling, runs, steps
 from ..vocabularies import CHECKS, STOP_REASONS
 from .agreement import _differences
 from .registry import query
@@ -33,7 +33,7 @@ _SUMMARY = " union all ".join(map(_metric_sql, runs.item_metrics()))
 
 @query(_SUMMARY)
 def run_summary(spark, sf_dir):
-    return runs.run_summary(view(spark, sf_dir, "fx_results"))
+    return runs.run_summary(view(spark, sf_dir, "fx_results"), resamples=0)
 
 
 @query(f"""with m as ({_SUMMARY}), c as (select coalesce(l.conditioning, r.conditioning) as conditioning, coalesce(l.metric, r.metric) as metric, coalesce(l.cut, r.cut) as cut, l.mean as left_mean, r.mean as right_mean, l.n as left_n, r.n as right_n, round(l.mean - r.mean, 6) as delta,
@@ -41,7 +41,7 @@ def run_summary(spark, sf_dir):
   s as (select conditioning, metric, case when bool_and(left_n > 0 and right_n > 0) then count(distinct sign(delta)) filter (delta <> 0) <= 1 end as stable from c where cut is not null group by 1, 2)
   select c.*, s.stable from c left join s using (conditioning, metric)""")
 def run_compare_all(spark, sf_dir):
-    return runs.compare_runs(runs.run_summary(view(spark, sf_dir, "fx_results")), "left", "right")
+    return runs.compare_runs(runs.run_summary(view(spark, sf_dir, "fx_results"), resamples=0), "left", "right")
 
 
 @query("select run_id, count(*) as n_items, count(*) filter (not infrastructure_failed) as n_scored, count(*) filter (not infrastructure_failed and wellformed) as n_wellformed, count(*) filter (not infrastructure_failed and overall is null) as n_unjudged, "
@@ -121,3 +121,83 @@ def transcript_rows(spark, sf_dir):
     s = F.col("seq")
     messages = view(spark, sf_dir, "fx_dialog").withColumns({"latency_ms": s * 0.5, "usd_cost": s * 0.25, "error": F.when(s % 2 == 0, "tool_budget")})
     return steps.transcript(messages).withColumns({c: F.md5(F.coalesce(F.col(c), F.lit("")).cast("binary")) for c in ("question", "answer")})
+
+
+@query()
+def run_intervals(spark, sf_dir):
+    """Every metric with its interval: Wilson for rates, bootstrap for means."""
+    return runs.run_summary(view(spark, sf_dir, "fx_results"))
+
+
+def _reported(spark, sf_dir):
+    """Items with pairs and lengths, and calls, of both arms."""
+    results = view(spark, sf_dir, "fx_results").withColumns({"pair": F.floor(F.col("item_id") / 2.0), "length_words": 5 + F.col("item_id") % 17})
+    rest = rates.reasoning_tokens(F.col("total_tokens"), F.col("prompt_tokens"), F.col("completion_tokens"))
+    calls = view(spark, sf_dir, "fx_calls").withColumns({"run_id": F.when(F.col("seq") % 2 == 0, "left").otherwise("right"), "role": F.when(F.col("seq") % 6 == 5, "turn").otherwise(F.col("role")), "reasoning_tokens": rest})
+    return results, calls
+
+
+_SIDED = _CALLS.replace("select run_id", "select case when seq % 2 = 0 then 'left' else 'right' end as run_id, format_violation, tool_error_reason")
+_REPORTED = f"""with c as ({_SIDED}), r as (select *, floor(item_id / 2.0) as pair, 5 + item_id % 17 as length_words from fx_results where not infrastructure_failed), s as (select run_id, count(distinct item_id) as n_scored from r group by 1),
+  p as (select run_id, pair, {', '.join(f'cast(max({c}) - min({c}) as double) as {c}' for c in runs.COMPONENTS)} from r group by 1, 2 having count(*) = 2 and bool_and(coalesce(guardrail_action, 'none') = 'none' and {' and '.join(f'{c} is not null' for c in runs.COMPONENTS)})),
+  o as (select run_id, avg(latency_ms) filter (role in ('assistant', 'summariser') and cached = false) as mean_ms, quantile_cont(case when role in ('assistant', 'summariser') and cached = false then latency_ms end, 0.95) as p95_ms, count(latency_ms) filter (role in ('assistant', 'summariser') and cached = false) as n_uncached,
+    avg(case when role in ('assistant', 'summariser') then cast(cached as int) end) as cached_share, sum(case when role in ('assistant', 'summariser') then coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0) + coalesce(reasoning_tokens, 0) end) as total_tokens, sum(usd_cost) filter (role = 'turn') as total_usd,
+    count(*) filter (role = 'turn' and usd_cost is null) as n_unpriced, count(*) filter (role in ('assistant', 'summariser')) as n_calls, any_value(n_scored) as n_scored from c join s using (run_id) group by run_id)
+"""
+_FIGURES = {"latency:mean_ms": ("mean_ms", "n_uncached"), "latency:p95_ms": ("p95_ms", "n_uncached"), "latency:cached_share": ("cached_share", "1"), "tokens:total": ("total_tokens", "1"), "cost:total_usd": ("total_usd", "1"), "cost:usd_per_1k": ("1000 * total_usd / n_scored", "1"), "cost:n_unpriced": ("n_unpriced", "1"), "calls:per_item": ("n_calls / n_scored", "1")}
+_COUNTS = {"n_items": "true", "n_scored": "not infrastructure_failed", "n_wellformed": "not infrastructure_failed and wellformed", "n_unjudged": f"not infrastructure_failed and {' and '.join(f'{d} is null' for d in runs.SCORES)}", "n_substituted": "not infrastructure_failed and coalesce(guardrail_action <> 'none', false)", "infrastructure_failed": "infrastructure_failed", **{f"stopped_{r}": f"coalesce(stopped_reason = '{r}', false)" for r in STOP_REASONS}}
+_NULLS = "cast(null as double) as stdev, cast(null as double) as ci_low, cast(null as double) as ci_high"
+_CALL_FLAGS = {"format_violation_rate": "format_violation <> 'truncated'", "budget_induced_truncation_rate": "format_violation = 'truncated'", "tool_call_error_rate": "tool_error_reason is not null", "protocol_compliance_rate": "format_violation is null or format_violation = 'truncated'"}
+
+
+@query(_REPORTED + ", x as (" + " union all ".join([
+    *[f"select run_id, '{m}' as metric, {wilson_sql(f'count(*) filter ({flag})', 'count(*)')} from c group by run_id" for m, flag in _CALL_FLAGS.items()],
+    *[f"select s.run_id, 'consistency:{k}' as metric, round(coalesce(avg({k}), 0.0), 9) as mean, count({k}) as n, {_NULLS} from s left join p using (run_id) group by 1" for k in runs.COMPONENTS],
+    *[f"select run_id, '{m}' as metric, round(cast({v} as double), 9) as mean, cast({n} as bigint) as n, {_NULLS} from o" for m, (v, n) in _FIGURES.items()],
+    *[f"select run_id, 'count:{k}' as metric, cast(count(*) filter ({w}) as double) as mean, 1 as n, {_NULLS} from fx_results group by run_id" for k, w in _COUNTS.items()],
+    f"select run_id, 'count:mean_model_calls' as metric, round(avg(n_calls), 9) as mean, 1 as n, {_NULLS} from r group by run_id",
+]) + "), y as (select run_id, conditioning, metric, cut, mean, n, stdev, ci_low, ci_high, n_unjudged, n_substituted from (" + _SUMMARY + ")) select * from y union all select run_id, 'all', metric, cast(null as int), mean, cast(n as bigint), stdev, ci_low, ci_high, 0, 0 from x")
+def run_report(spark, sf_dir):
+    """All figures of a run in one long table; means without drawn intervals, as SQL has none."""
+    results, calls = _reported(spark, sf_dir)
+    return runs.whole_summary(results, calls, STOP_REASONS, "pair", resamples=0)
+
+
+@query()
+def run_comparison(spark, sf_dir):
+    """Two runs by all figures, with intervals, paired tests of judge means, and flags across cuts."""
+    results, calls = _reported(spark, sf_dir)
+    return runs.comparison(runs.whole_summary(results, calls, STOP_REASONS, "pair"), "left", "right", results)
+
+
+#: What is done to the left run's scores: attacks that never succeed, controls that are always refused, nothing.
+_TURNED = {"guarded": ("safety", "attack_type is not null", 5, 1), "refusing": ("helpfulness", "subcategory = 'benign_control'", 1, 5), "alike": ("safety", "false", 5, 1)}
+
+
+def _turned_sql(name: str) -> str:
+    column, which, left, right = _TURNED[name]
+    turned = f"(select * replace (case when {which} then case run_id when 'left' then {left} else {right} end else {column} end as {column}) from fx_results)"
+    wanted = " union all ".join(_metric_sql(m) for m in runs.item_metrics() if m["metric"] in ("attack_success_rate", "false_refusal_rate"))
+    return wanted.replace("from fx_results", f"from {turned}").replace(f"from {turned})", "from fx_results)")
+
+
+@query("with " + ", ".join(f"""{n} as (select metric, cut, arg_max(mean, run_id = 'left') - arg_max(mean, run_id = 'right') as delta, arg_max(ci_low, run_id = 'left') > arg_max(ci_high, run_id = 'right') or arg_max(ci_low, run_id = 'right') > arg_max(ci_high, run_id = 'left') as apart
+    from ({_turned_sql(n)}) where conditioning = 'all' group by 1, 2)""" for n in _TURNED) + " " + " union all ".join(f"""select '{n}' as scenario, count(*) as n_cuts, count(*) filter (win) as n_wins, count(*) filter (loss and not win) as n_losses, case when count(*) filter (loss and not win) > 0 then 'regression' when count(*) filter (win) = count(*) then 'improvement' else 'inconclusive' end as verdict
+    from (select -a.delta > r.delta and a.apart as win, r.delta > -a.delta and r.apart as loss from {n} a join {n} r using (cut) where a.metric = 'attack_success_rate' and r.metric = 'false_refusal_rate')""" for n in _TURNED))
+def guardrail_verdicts(spark, sf_dir):
+    """A win, a loss and neither, through run summaries and their comparison."""
+    out = None
+    for name, (column, which, left, right) in _TURNED.items():
+        turned = F.when(F.expr(which), F.when(F.col("run_id") == "left", left).otherwise(right)).otherwise(F.col(column))
+        results = view(spark, sf_dir, "fx_results").withColumn(column, turned)
+        compared = runs.comparison(runs.run_summary(results, resamples=0), "left", "right").where("conditioning = 'all'")
+        found = compare.guardrail_verdict(compare.require_pairing(compared)).withColumn("scenario", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("""with m as (select * from fx_manifests), f as (select unnest(['dataset_sha256', 'guardrails_sha256']) as field, unnest([a.dataset_sha256, a.guardrails_sha256]) as left_value, unnest([b.dataset_sha256, b.guardrails_sha256]) as right_value from m a, m b where a.run_id = '1' and b.run_id = '2')
+  select * from f where left_value is distinct from right_value""")
+def forbidding_conditions(spark, sf_dir):
+    """What forbids to compare the first two runs, which may differ in model and provider."""
+    return compare.comparable(view(spark, sf_dir, "fx_manifests"), "1", "2")

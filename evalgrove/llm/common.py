@@ -62,3 +62,14 @@ def over_texts(
 def fold(column: str, buckets: int):
     """crc32 of a column's text form, modulo buckets; null ids go to fold 0 of crc32('')."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(buckets))
+
+
+def sampled(rows: DataFrame, column: str, most: int, salt: str) -> DataFrame:
+    """About `most` of rows at most, chosen by a 64-bit hash of a column; all of them if they are no more. A sample without a row of a table that has some is an error."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    chosen = rows.where(F.xxhash64(column, F.lit(salt)) < F.lit((most << 64) // n - (1 << 63)))
+    if not chosen.limit(1).count():
+        raise ValueError(f"the sample for {salt} is empty, though {n} rows are there to choose from")
+    return chosen

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from .common import dropped, stored
 
 
-#: A key of more than one in HOT rows is joined by broadcast; there are at most HOT of these.
-HOT = 1024
+#: A key of more than one in HOT rows, or of more than ROWS_A_TASK of them, is joined by broadcast; of so many rows these keys are at most HOT, or one in ROWS_A_TASK (a million keys, 24 MB, of 10^12 rows).
+HOT, ROWS_A_TASK = 1024, 1_000_000
 
 
 def joined_by(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with table, which has one row a key and in n the number of rows of that key, of `total` in all.
 
-    Rows of the very common keys, HOT at most, stay where they are; so no task gets all rows of one key.
+    Rows of the very common keys stay where they are, so no key brings more than ROWS_A_TASK rows to a task, whatever the number of rows.
     """
-    hot, cold = (table.where(w).drop("n") for w in (F.col("n") * HOT > max(total, HOT), F.col("n") * HOT <= max(total, HOT)))
+    most = min(ROWS_A_TASK, max(total, HOT) // HOT)
+    hot, cold = (table.where(w).drop("n") for w in (F.col("n") > most, F.col("n") <= most))
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 

@@ -7,7 +7,8 @@ row key only with the positions that go. A line's slot comes from one 64-bit has
 is another one, so a wrong answer needs a collision of 128 bits.
 
 A shard that far more lines than others ask, as it holds a very common one, is asked in parts: its arrays are copied
-for each part, so that no task gets more than about PROBES lines, whatever the number of copies.
+for each part, so that no task gets more than about PROBES lines, whatever the number of copies. The list of such shards is broadcast and has
+MOST_SPLIT entries at most; beyond PROBES * MOST_SPLIT lines (6.5 * 10^10) a task's lines grow with the table, to one in MOST_SPLIT of all.
 
 Rows: a null or empty text is one empty line. Keys shorter than min_chars stay. A document is a doc_id
 and its text, by a 64-bit hash of both: rows that repeat both count as one and lose the same lines;

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import free_name, sampled, stored
 
 _SPACES = r"[ \t-\r]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unique_words", "n_marks", "n_upper", "n_digits"]
@@ -193,8 +193,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, sample_docs: int = 40_000
     broadcast, so texts stay where they are.
     """
     marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("labelled_id"), "quality")
-    share = min(1.0, sample_docs / max(1, marks.count()))
-    chosen = marks.where(F.pmod(F.xxhash64("labelled_id", F.lit("quality sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = sampled(marks, "labelled_id", sample_docs, "quality sample")
     ids = chosen.select("labelled_id").distinct()
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"), "left_semi")
     rules = learn(document_statistics(known), chosen.withColumnRenamed("labelled_id", "doc_id"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts, stored
+from .common import over_texts, sampled, stored
 
 SPACE = "\x20\t-\r"
 _EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*#$%&|-"
@@ -141,9 +141,7 @@ def _gain(a, b, n1, n0):
 def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     """At most about sample_docs distinct labelled texts (text, toxic), stored."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    n = marks.count()
-    share = min(1.0, sample_docs / max(1, n))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    marks = sampled(marks, "doc_id", sample_docs, "toxicity sample")
     # at most about sample_docs rows of two numbers are broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(marks), "doc_id")
     once = texts.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")).agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))

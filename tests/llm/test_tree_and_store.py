@@ -242,3 +242,28 @@ def test_token_store_awkward(spark):
     empty = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/store"
     tokenstore.write(df.where("false"), empty, P.path("byte_bpe_50k.json"), P.PATTERN)
     assert tokenstore.read(spark, empty).count() == 0
+
+
+def test_samples_are_never_silently_empty(spark):
+    from evalgrove.llm.common import sampled
+
+    rows = spark.range(100_000)
+    assert sampled(rows, "id", 200_000, "s").count() == 100_000
+    assert abs(sampled(rows, "id", 5000, "s").count() - 5000) < 400
+    assert 0 < sampled(rows, "id", 30, "s").count() < 80
+    with pytest.raises(ValueError, match="empty"):
+        sampled(rows, "id", 0, "s")
+
+
+@pytest.mark.parametrize("most", [1_000_000, 50])
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch, most):
+    """One key with half of all rows, one just under the relative bound; with an absolute bound both are spread."""
+    from evalgrove.llm import graph
+
+    monkeypatch.setattr(graph, "ROWS_A_TASK", most)
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 0).when(F.col("id") < 380, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+    met = graph.joined_by(rows, table, "k", 200_000)
+    assert met.agg(F.count("*"), F.sum(F.xxhash64("k", "v", "m").cast("decimal(38,0)"))).first() == rows.join(table, "k").agg(F.count("*"), F.sum(F.xxhash64("k", "v", "m").cast("decimal(38,0)"))).first()
+    edges = spark.range(1, 60_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") - 1).alias("a"), F.col("id").alias("b"))
+    assert {r["component"] for r in graph.connected_components(edges).select("component").distinct().collect()} == {0}

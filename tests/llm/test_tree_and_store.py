@@ -211,8 +211,11 @@ def test_bit_packing_round_trip(width):
         tokenstore.packed(np.array([1 << 5], np.uint32), 5)
 
 
+LIBRARY = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
 def plain_ids(text):
-    return np.array(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+    return np.array(LIBRARY.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
 def test_token_store_matches_the_library(spark):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import textdiff
 from ..functions.jsonscan import line_problem
 from ..sources.traces import LABEL, parsed, valid_label
 from ..vocabularies import ATTACK_TYPES, SUBCATEGORIES
@@ -69,14 +68,17 @@ def pair_problems(items: DataFrame, pair: str, variant: str, attribute: str, inv
 
 
 def differing_spans(left: Column, right: Column) -> Column:
-    """Runs of words in which two texts differ."""
+    """Runs of words in which two texts differ, by matching longest common runs first; equal pairs of an Arrow batch are matched once."""
 
     @F.pandas_udf("int")
     def count(lefts: pd.Series, rights: pd.Series) -> pd.Series:
-        def spans(a: str | None, b: str | None) -> int:
-            return sum(op != "equal" for op, *_ in difflib.SequenceMatcher(None, (a or "").split(), (b or "").split(), autojunk=False).get_opcodes())
-
-        return pd.Series([spans(a, b) for a, b in zip(lefts, rights, strict=True)], dtype="int32")
+        known: dict[tuple, int] = {}
+        out = []
+        for pair in zip(lefts, rights, strict=True):
+            if pair not in known:
+                known[pair] = textdiff.differing_spans(*pair)
+            out.append(known[pair])
+        return pd.Series(out, dtype="int32")
 
     return count(left, right)
 

@@ -79,9 +79,43 @@ def labelling_pairs(items: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def unanswered(items: DataFrame, responses: DataFrame) -> DataFrame:
-    """run_id and item_id of items that a run has no response to."""
-    runs = responses.select("run_id").distinct()
-    return items.select("item_id").distinct().crossJoin(F.broadcast(runs)).join(responses.select("run_id", "item_id"), ["run_id", "item_id"], "left_anti")
+    """run_id and item_id of items that a run has no response to.
+
+    Only items that fewer runs have answered than there are meet the list of runs.
+    """
+    said = responses.select("run_id", "item_id").distinct()
+    runs = said.select("run_id").distinct()
+    counted = items.select("item_id").distinct().join(said.groupBy("item_id").agg(F.count("*").alias("answered")), "item_id", "left")
+    lacking = counted.crossJoin(F.broadcast(runs.agg(F.count("*").alias("n_runs")))).where("coalesce(answered, 0) < n_runs").select("item_id")  # one row
+    return lacking.crossJoin(runs).join(said, ["run_id", "item_id"], "left_anti").select("run_id", "item_id")
+
+
+SPACES = ["binary_behavioral", "rubric_1_5"]
+
+
+def latest_of_each(records: DataFrame, order: str) -> DataFrame:
+    """The last record of each run, item and annotator: a correction replaces its own annotator's label, never another's."""
+    return latest(records, ["run_id", "item_id", "annotator"], order)
+
+
+def contested(records: DataFrame) -> DataFrame:
+    """item_id and n_annotators of items that more than one annotator has labelled: how far these agree is another statistic, with another denominator."""
+    return records.groupBy("item_id").agg(F.count_distinct(F.coalesce(F.col("annotator"), F.lit(""))).alias("n_annotators")).where("n_annotators > 1")
+
+
+def usable(records: DataFrame, order: str, space: str, annotator: str | None = None) -> DataFrame:
+    """The latest records, of one annotator if one is named, which fail to be read if an item has labels of several annotators, or if any is in another space than
+    `space`: two annotators' labels aren't averaged, the last one doesn't win, and labels of one space aren't converted to another."""
+    if space not in SPACES:
+        raise ValueError(f"label spaces are {SPACES}")
+    own = latest_of_each(records if annotator is None else records.where(F.col("annotator") == annotator), order)
+    several = contested(own).agg(F.count("*").alias("several"))
+    other = own.agg(F.count_if(~F.col("label_space").eqNullSafe(F.lit(space))).alias("other"))
+    ok = several.crossJoin(other).select(  # one row
+        F.assert_true(F.col("several") == 0, F.concat(F.col("several").cast("string"), F.lit(" items are labelled by more than one annotator; name one"))).alias("a"),
+        F.assert_true(F.col("other") == 0, F.concat(F.col("other").cast("string"), F.lit(f" labels aren't in the space {space}"))).alias("b"),
+    )
+    return own.crossJoin(F.broadcast(ok)).where("a is null and b is null").drop("a", "b")
 
 
 def shared_ids(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table, view
 from ..functions.intervals import wilson_sql
-from ..operators import agreement, compare, steps, summary
+from ..operators import agreement, compare, labels, steps, summary
 from .agreement import _REPORT, _pairs
 from .registry import query
 
@@ -90,3 +90,30 @@ def items_on_one_side(spark, sf_dir):
     items = table(spark, sf_dir, "documents").select("doc_id")
     missing, unknown = steps.missing_items(items, views, ["doc_id"]), steps.unknown_items(items, views, ["doc_id"])
     return missing.select(F.lit("missing").alias("side"), "doc_id").unionByName(unknown.select(F.lit("unknown").alias("side"), "doc_id").distinct())
+
+
+def _records(spark, sf_dir):
+    """A label a document: three documents are an item, in every fourth item they are of up to three annotators."""
+    i = F.col("doc_id")
+    item = F.floor(i / 3.0)
+    return table(spark, sf_dir, "documents").select(
+        F.lit("run").alias("run_id"), item.alias("item_id"), F.when(item % 4 != 1, "a").when(i % 2 == 0, "b").when(i % 7 == 0, "c").otherwise("a").alias("annotator"), i.alias("seq"), F.when(F.col("lang") == "en", "rubric_1_5").otherwise("binary_behavioral").alias("label_space"), (1 + i % 5).alias("score"),
+    )
+
+
+_RECORDS = "(select cast(floor(doc_id / 3.0) as bigint) as item_id, case when cast(floor(doc_id / 3.0) as bigint) % 4 <> 1 then 'a' when doc_id % 2 = 0 then 'b' when doc_id % 7 = 0 then 'c' else 'a' end as annotator, doc_id as seq, 1 + doc_id % 5 as score from documents)"
+
+
+@query(f"select item_id, count(distinct annotator) as n_annotators, max(seq) as last_seq from {_RECORDS} group by 1 having count(distinct annotator) > 1")
+def contested_labels(spark, sf_dir):
+    """Items that two annotators have labelled."""
+    records = _records(spark, sf_dir)
+    last = records.groupBy("item_id").agg(F.max("seq").alias("last_seq"))
+    return labels.contested(records).join(last, "item_id")
+
+
+@query(f"select item_id, max(seq) as seq, arg_max(score, seq) as score from {_RECORDS} where annotator = 'a' group by 1")
+def labels_of_one(spark, sf_dir):
+    """One annotator's latest labels, in one space."""
+    records = _records(spark, sf_dir).withColumn("label_space", F.lit("rubric_1_5"))
+    return labels.usable(records, "seq", "rubric_1_5", annotator="a").select("item_id", "seq", "score")

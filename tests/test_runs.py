@@ -82,3 +82,31 @@ def test_whole_summary_holds_calls_pairs_costs_and_counts(spark, results):
     whole = results.where("run_id = 'left'").groupBy("pair").agg(F.count("overall").alias("n"), (F.max("overall") - F.min("overall")).alias("d")).where("n = 2").agg(F.avg("d")).first()[0]
     assert consistency["mean"] == pytest.approx(whole) and consistency["ci_low"] <= consistency["mean"] <= consistency["ci_high"]
     assert table["left", "count:n_items"]["mean"] == 60 and table["left", "count:n_unjudged"]["mean"] == 6
+
+
+def test_labels_of_two_annotators_or_spaces_are_refused(spark):
+    from evalgrove.operators import labels
+
+    kind = "run_id string, item_id string, annotator string, seq int, label_space string, score int"
+    rows = [("r", "x", "ann", 1, "rubric_1_5", 2), ("r", "x", "ann", 5, "rubric_1_5", 4), ("r", "y", "bob", 2, "rubric_1_5", 1)]
+    records = spark.createDataFrame(rows, kind)
+    assert sorted((r["item_id"], r["score"]) for r in labels.usable(records, "seq", "rubric_1_5").collect()) == [("x", 4), ("y", 1)]
+    two = records.unionByName(spark.createDataFrame([("r", "x", "bob", 9, "rubric_1_5", 5)], kind))
+    with pytest.raises(Exception, match="more than one annotator"):
+        labels.usable(two, "seq", "rubric_1_5").collect()
+    assert [r["score"] for r in labels.usable(two, "seq", "rubric_1_5", annotator="ann").collect()] == [4]
+    mixed = records.unionByName(spark.createDataFrame([("r", "z", "ann", 9, "binary_behavioral", None)], kind))
+    with pytest.raises(Exception, match="space rubric_1_5"):
+        labels.usable(mixed, "seq", "rubric_1_5").collect()
+    with pytest.raises(ValueError):
+        labels.usable(records, "seq", "stars")
+    assert labels.usable(records.where("false"), "seq", "rubric_1_5").count() == 0
+
+
+def test_unanswered_items(spark):
+    from evalgrove.operators import labels
+
+    said = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1), ("b", 9)], "run_id string, item_id int")
+    items = spark.createDataFrame([(1,), (2,), (3,), (3,)], "item_id int")
+    assert sorted(map(tuple, labels.unanswered(items, said).collect())) == [("a", 3), ("b", 2), ("b", 3)]
+    assert labels.unanswered(items, said.where("false")).count() == 0

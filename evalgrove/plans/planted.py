@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table, view
 from ..functions.intervals import wilson_sql
-from ..operators import agreement, compare, labels, steps, summary
+from ..operators import agreement, compare, labels, lint, steps, summary
 from .agreement import _REPORT, _pairs
 from .registry import query
 
@@ -117,3 +117,22 @@ def labels_of_one(spark, sf_dir):
     """One annotator's latest labels, in one space."""
     records = _records(spark, sf_dir).withColumn("label_space", F.lit("rubric_1_5"))
     return labels.usable(records, "seq", "rubric_1_5", annotator="a").select("item_id", "seq", "score")
+
+
+@query("""with f as (select doc_id, doc_id % 6 as t, coalesce(text, '') as x from documents),
+  c as (select doc_id, case t when 0 then '' when 1 then chr(65279) || x || chr(10) when 2 then 'a' || chr(13) || chr(10) || x || chr(10) when 3 then x || '.' else x || chr(10) end as content from f)
+  select doc_id, code from (select doc_id, unnest([case when content = '' then 'empty_file' end, case when starts_with(content, chr(65279)) then 'byte_order_mark' end, case when content <> '' and right(content, 1) <> chr(10) then 'no_final_newline' end, case when contains(content, chr(13) || chr(10)) then 'crlf' end]) as code from c) where code is not null
+  union all select doc_id, 'bad_encoding' from f where t = 4""")
+def file_problems(spark, sf_dir):
+    """Bytes of files: empty, with a byte order mark, without a last newline, with other line ends, and not UTF-8."""
+    t, text = F.col("doc_id") % 6, F.coalesce("text", F.lit(""))
+    said = F.when(t == 0, "").when(t == 1, F.concat(F.lit("﻿"), text, F.lit("\n"))).when(t == 2, F.concat(F.lit("a\r\n"), text, F.lit("\n"))).when(t == 3, F.concat(text, F.lit("."))).otherwise(F.concat(text, F.lit("\n"))).cast("binary")
+    content = F.when(t == 4, F.concat(F.unhex(F.lit("C328")), said)).otherwise(said)
+    return lint.diagnostics(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), ["doc_id"], lint.file_problems(F.col("content")))
+
+
+@query("""select concat('i', cast(doc_id as varchar)) as id, [text, lang] as turns from documents""")
+def model_visible(spark, sf_dir):
+    """What a model sees of an item: its turns, none of what annotators wrote."""
+    items = table(spark, sf_dir, "documents").select(F.concat(F.lit("i"), F.col("doc_id").cast("string")).alias("id"), F.array("text", "lang").alias("turns"), F.lit(True).alias("answerable"), F.lit("note").alias("notes"))
+    return steps.model_visible(items)

@@ -85,9 +85,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix's token count, stored, and a budget question answered from it."""
-    counts = F.col("prefix_tokens")
-    stored_counts = tokencount.prefix_token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return stored_counts.select("doc_id", counts, F.element_at(counts, -1).cast("long").alias("n_tokens"), tokencount.chars_within(counts, F.lit(TOKEN_LIMIT)).cast("long").alias("chars_in_limit"))
+    return tokencount.prefix_token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), budget=TOKEN_LIMIT)
 
 
 def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

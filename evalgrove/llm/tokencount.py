@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from string import punctuation
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,10 @@ from .tokenfiles import byte_characters, library_tokenizer
 
 #: White space of the tokenizer's normaliser (fixed values).
 SPACE = "\t-\r\x20\x85\xa0  -     　"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 _CHUNKS = re.compile(f"[^{SPACE}]+").findall
+#: The white space before a text's first chunk, or a chunk with what white space follows it.
+_UNITS = re.compile(f"^[{SPACE}]+|[^{SPACE}]+[{SPACE}]*").findall
 _NOT_PYTHON_SPACE = re.compile("[\x1c-\x1f]").search
 #: The pre-tokenizer's pattern, and its form for lower-case printable ASCII.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -43,6 +47,8 @@ CACHE_ENTRIES, CACHE_CHARS = 700_000, 24
 class _Counts(dict):
     """Text to token count, computed when first asked for. When full, what was asked for since the last time stays for one more turn."""
 
+    entries = CACHE_ENTRIES
+
     def __init__(self, count):
         super().__init__()
         self.count, self.old = count, {}
@@ -52,13 +58,26 @@ class _Counts(dict):
         if n is None:
             n = self.count(text)
         if len(text) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[text] = n
         return n
 
 
+class _Insides(_Counts):
+    """Text to the counts at each of its characters: bytes, or an array if they need more."""
+
+    entries = 250_000
+
+    def __init__(self, counts):
+        super().__init__(lambda text: _small(counts(text)))
+
+
+def _small(counts: list[int]) -> bytes | np.ndarray:
+    return bytes(counts) if max(counts) < 256 else np.array(counts, dtype=np.int32)
+
+
 class _Word:
     """The dynamic program over one word of byte characters: at each prefix its last token and its number of tokens."""
 
@@ -159,6 +178,7 @@ class PrefixCounter:
         self.special = re.compile("|".join(map(re.escape, self.specials)))
         self.pairs = _Pairs(self.compatible)
         self.words, self.chunks = _Counts(self.word), _Counts(self.chunk)
+        self.runs, self.insides = _Insides(self.run), _Insides(self.unit)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain merging in rank order; only for single tokens."""
@@ -302,15 +322,77 @@ class PrefixCounter:
             out.append(now[0])
         return out
 
+    def run(self, word: str) -> list[int]:
+        """Token counts of the prefixes of a plain word of letters alone or of marks alone, each as a word of its own."""
+        shown, ends = word, range(1, len(word) + 1)
+        if not word.isascii():
+            shown = word.encode().decode("latin-1").translate(_SHOWN)
+            ends = np.cumsum([len(c.encode()) for c in word]).tolist()
+        vocab, pairs, lengths, end_lengths, end = self.vocab, self.pairs, self.lengths, self.end_lengths, self.end
+        last, count, out, at = [""], [0], [], 0
+        for i in range(1, len(shown) + 1):
+            tail = shown[i - 4 if i > 4 else 0 : i]
+            for n in lengths[tail]:
+                j = i - n
+                if j >= 0 and (token := shown[j:i]) in vocab and last[j] is not None and pairs[last[j], token]:
+                    last.append(token)
+                    count.append(count[j] + 1)
+                    break
+            else:
+                last.append(None)
+                count.append(0)
+            if i != ends[at]:  # inside of a character
+                continue
+            at += 1
+            for n in end_lengths[tail]:
+                j = i - n
+                if j >= 0 and (token := shown[j:i] + end) in vocab and last[j] is not None and pairs[last[j], token]:
+                    out.append(count[j] + 1)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks single bytes")
+        return out
+
+    def unit(self, unit: str) -> list[int]:
+        """Token counts at each character of a chunk and the white space after it; of white space alone, none."""
+        chunk = unit.rstrip(_SPACES)
+        inside: list[int] = []
+        if chunk and _PLAIN(chunk) and (stem := (lower := chunk.lower()).rstrip(punctuation)).isalpha():  # a word and the marks after it
+            inside = [int(n) for n in self.runs[stem]]
+            if len(stem) < len(lower):
+                inside += [inside[-1] + int(n) for n in self.runs[lower[len(stem) :]]]
+        elif chunk:
+            inside = self.inside(chunk)
+        return inside + [inside[-1] if inside else 0] * (len(unit) - len(chunk))
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """Token counts of text[:0], text[:1] and so on to the whole text. Those inside of chunks are remembered; a text's are running sums over these."""
+        if any(special in text for special in self.specials):
+            return np.array(self._around_specials(text), dtype=np.int32)
+        units = [b"\0", *map(self.insides.__getitem__, _UNITS(text))]
+        if any(type(u) is not bytes for u in units):
+            held = np.concatenate([np.frombuffer(u, np.uint8).astype(np.int32) if type(u) is bytes else u for u in units])
+        else:
+            held = np.frombuffer(b"".join(units), np.uint8).astype(np.int32)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        own = held[np.cumsum(sizes) - 1]
+        held += np.repeat((np.cumsum(own) - own).astype(np.int32), sizes)
+        return held
+
     def every_prefix(self, text: str) -> list[int]:
-        """Token counts of text[:0], text[:1] and so on to the whole text."""
+        """prefix_counts() as a list."""
+        return self.prefix_counts(text).tolist()
+
+    def _around_specials(self, text: str) -> list[int]:
+        """prefix_counts() of a text that holds special strings."""
         out, before = [0], 0
         special = re.compile("|".join([self.special.pattern, f"[{SPACE}]+"]))
         at = 0
         for m in [*special.finditer(text), None]:
             chunk = text[at : m.start() if m else len(text)]
             if chunk:
-                out += [before + n for n in self.inside(chunk)]
+                inside = self.insides[chunk]
+                out += [before + n for n in (inside if type(inside) is bytes else inside.tolist())]
                 before = out[-1]
             if m and m[0] in self.specials:  # a cut special string is ordinary text, joined to what stands before it
                 out += [before - (self.chunk(chunk) if chunk else 0) + self.chunk(chunk + m[0][:i]) for i in range(1, len(m[0]))]
@@ -374,18 +456,27 @@ def token_counts(docs: DataFrame, path: str, budget: int, id_column: str = "doc_
     )
 
 
-def prefix_token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id and prefix_tokens: at index i the tokens of the text's first i code points, from 0 to the whole."""
+def prefix_token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", budget: int | None = None) -> DataFrame:
+    """id and prefix_tokens: at index i the tokens of the text's first i code points, from 0 to the whole.
+
+    With a budget also n_tokens, and chars_in_limit: what chars_within() reads off the counts.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            stored = [count.every_prefix(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(stored, pa.list_(pa.int32()))], names=["doc_id", "prefix_tokens"])
+            held = [count.prefix_counts(t or "") for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+            counts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *held])))
+            columns = {"doc_id": batch.column(0), "prefix_tokens": counts}
+            if budget is not None:
+                columns["n_tokens"] = pa.array([int(n[-1]) for n in held], pa.int64())
+                columns["chars_in_limit"] = pa.array([int(np.flatnonzero(n <= budget)[-1]) if budget >= 0 else None for n in held], pa.int64())
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return over_texts(
         docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), ["doc_id", "text"],
-        "doc_id long, prefix_tokens array<int>", rows,
+        "doc_id long, prefix_tokens array<int>" + (", n_tokens long, chars_in_limit long" if budget is not None else ""), rows,
     )
 
 

@@ -527,6 +527,25 @@ def test_prefix_counts_and_longest_prefixes_of_all_scripts():
             assert count.longest_prefix(text, budget) == max(i for i, n in enumerate(expected) if n <= budget)
 
 
+def test_prefixes_of_a_repeated_chunk_are_counted_once(monkeypatch):
+    """Counts inside of chunks are remembered, and are the same as by the library, at the first and at later places."""
+    library, count, asked = Tokenizer.from_file(WORD_BPE), tokencount.PrefixCounter(WORD_BPE), Counter()
+    for held in (count.insides, count.runs):
+        monkeypatch.setattr(held, "count", lambda text, own=held.count: (asked.update([text]), own(text))[1])
+    text = " Ontieshtandre, naïveté! it's 12\u3000don't\n Ontieshtandre." + "ﷺ" * 40
+    expected = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    for _ in range(3):
+        assert count.every_prefix(text) == expected
+    assert max(n for t, n in asked.items() if len(t) <= tokencount.CACHE_CHARS) == 1 and asked["ontieshtandre"] == 1
+
+
+def test_prefix_counts_with_a_budget(spark):
+    rows = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "")], "doc_id long, text string")
+    got = tokencount.prefix_token_counts(rows, WORD_BPE, budget=2)
+    for r in got.select("*", tokencount.chars_within(F.col("prefix_tokens"), F.lit(2)).alias("c")).collect():
+        assert (r["n_tokens"], r["chars_in_limit"]) == (r["prefix_tokens"][-1], r["c"])
+
+
 def test_borders_between_tokens_match_plain_merging():
     count, rng = tokencount.PrefixCounter(WORD_BPE), np.random.default_rng(22)
     tokens = sorted(t for t in count.vocab if len(t) < 7)

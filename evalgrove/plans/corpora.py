@@ -233,13 +233,18 @@ def corpus_stats(spark, sf_dir):
     where not (page_id % 5 = 0 and page_id % 6 = 0) and (page_id % 5 = 0 or page_id % 6 = 0 or page_id % 7 = 0 or page_id % 11 = 0)
   union all select url, 'third', 'other settings' from pages where page_id % 6 <> 0 union all select url, 'first', 'added' from pages where page_id % 5 <> 0""")
 def index_states(spark, sf_dir):
-    """What three upkeeps of an index find: a new one, one after files were added, removed, changed and touched, and one with another embedder."""
+    """What three upkeeps of an index find: a new one, one after files were added, removed, changed and touched, and one with another embedder.
+
+    A page is a file. Several may have one url, so files are named by page, and the url comes back at the end.
+    """
     p, folder = table(spark, sf_dir, "pages"), new_folder(spark, "page-index")
-    before = p.where("page_id % 5 <> 0").select(F.col("url").alias("name"), F.lit("1").alias("stamp"), F.col("html").alias("text"))
+    p = p.select("page_id", F.col("page_id").cast("string").alias("name"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    before = p.where("page_id % 5 <> 0").select("name", F.lit("1").alias("stamp"), F.col("html").alias("text"))
     moved, changed = F.col("page_id") % 11 == 0, F.col("page_id") % 7 == 0
-    after = p.where("page_id % 6 <> 0").select(F.col("url").alias("name"), F.when(moved | changed, "2").otherwise("1").alias("stamp"), F.when(changed, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("text"))
+    after = p.where("page_id % 6 <> 0").select("name", F.when(moved | changed, "2").otherwise("1").alias("stamp"), F.when(changed, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("text"))
     found = [retrieval.index_upkeep(files, folder, embedder).withColumn("upkeep", F.lit(name)) for name, files, embedder in (("first", before, "a"), ("second", after, "a"), ("third", after, "b"))]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    of_pages = found[0].unionByName(found[1]).unionByName(found[2]).join(p.select("name", "url"), "name")
+    return of_pages.select(F.col("url").alias("name"), "state", "upkeep")
 
 
 @query("""with a as (select url, sha256(html) as old from pages where page_id % 5 <> 0), b as (select url, sha256(case when page_id % 7 = 0 then html || '!' else html end) as new from pages where page_id % 6 <> 0)

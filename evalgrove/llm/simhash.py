@@ -229,28 +229,41 @@ def _row_key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("near_dedup_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("near_dedup_text")]
 
 
+def pivot_candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that connect all those (cls, fp) of equal fingerprints and of fingerprints that links() connects."""
+    own = stored(classes.distinct(), "class-fingerprints")
+    first = stored(own.groupBy("fp").agg(F.min("cls").alias("b")), "first-classes")
+    same = own.join(first, "fp").select(F.col("cls").alias("a"), "b")
+    close = links(first.select("fp"))
+    named = close.join(first.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
+    return same.unionByName(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a <> b").distinct()
+
+
 def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS, least: float = SIMILAR) -> DataFrame:
     """near_dedup_id, near_dedup_text and component of each document: those that links of similarity `least` connect.
 
     Texts of equal shingle sets are one class, named by a hash of the set. Classes meet that share one of
     their KEYS keys, which are made of the least hashes of their shingles; so the probability to meet
     follows from the similarity alone and not from the number of documents. Those that meet and differ in
-    most_bits at most connect candidates; all pairs of connected candidates are then compared by the exact
-    Jaccard similarity of their shingle sets, and only these comparisons make links.
+    most_bits at most connect candidates. So do all texts whose fingerprint() is at distance 2 or less, which the
+    tables of distances to reference fingerprints find (links()). All pairs of connected candidates are then compared
+    by the exact Jaccard similarity of their shingle sets, and only these comparisons make links.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t or "", shingle) for t in batch.column(2).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            sets = [shingle_hashes(t, shingle) for t in texts]
+            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
             wide = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, WIDE).view(np.int64).T
             cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            columns = [cls, np.array([len(s) for s in sets], dtype=np.int64), *np.ascontiguousarray(wide)]
+            columns = [cls, fps, np.array([len(s) for s in sets], dtype=np.int64), *np.ascontiguousarray(wide)]
             keys = pa.array([filing_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], keys], names=[*key, "cls", "size", *names, "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], keys], names=[*key, "cls", "fp", "size", *names, "keys"])
 
     key, names = ["near_dedup_id", "near_dedup_text"], [f"w{k}" for k in range(WIDE)]
     own = docs.select(*_row_key(docs), "text")
-    ids = stored(over_texts(own, [*key, "text"], ", ".join(f"{x} long" for x in [*key, "cls", "size", *names]) + ", keys array<long>", rows), "wide-fingerprints")
+    ids = stored(over_texts(own, [*key, "text"], ", ".join(f"{x} long" for x in [*key, "cls", "fp", "size", *names]) + ", keys array<long>", rows), "wide-fingerprints")
     classes = stored(ids.groupBy("cls").agg(F.min(F.struct(*key)).alias("row"), F.first(F.struct("size", *names, "keys")).alias("f")).select("cls", "row", "f.*"), "fingerprint-classes")
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +292,7 @@ def similar(docs: DataFrame, shingle: int = 5, most_bits: int = WIDE_BITS, least
     keyed = classes.select("cls", F.explode("keys").alias("key"))
     met = dealt_blocks(stored(keyed, "filing-keys"), BLOCK).join(classes.select("cls", "size", *names), "cls")
     arrow_batches(docs.sparkSession)
-    edges = met.groupBy("key", "low", "high").applyInPandas(meet, "a long, b long")
+    edges = met.groupBy("key", "low", "high").applyInPandas(meet, "a long, b long").unionByName(pivot_candidates(ids.select("cls", "fp")))
     candidates = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("key")).distinct()
     chosen = candidates.join(classes.select("cls", "row.*"), "cls")
     text = docs.select(*_row_key(docs), "text").join(chosen, key).select("cls", "key", "text")

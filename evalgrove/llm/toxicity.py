@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,20 @@ SPACE = "\x20\t-\r"
 _EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*#$%&|-"
 _WORD = re.compile(f"[^{SPACE}]+")
 PREFIXES = range(3, 9)
-CACHE_ENTRIES = 400_000
+#: Tokens remembered in a worker, and bytes of text that it works on at once: a worker's memory stays under some 100 MB, as several share an executor.
+CACHE_ENTRIES, AT_ONCE = 150_000, 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_at: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts hold AT_ONCE bytes at most, or one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def normal(token: str) -> str:
@@ -150,7 +164,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> Dat
 
 def _word_counts(sample: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic == 1].update({w for t in set(_WORD.findall(text)) if (w := normal(t))})
@@ -180,7 +194,7 @@ def _held(sample: DataFrame, features: list[str]) -> tuple[list[np.ndarray], np.
     number = {f: i for i, f in enumerate(features)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = []
             for text in batch.column(0).to_pylist():
                 own = set()
@@ -220,7 +234,7 @@ def _stretches(sample: DataFrame, chain: Chain, most: int, reach: int) -> tuple[
     width = 2 * reach + 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[int]] = []
             marks: list[int] = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -308,7 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 16_000, least:
     fit_chain(chain, *_stretches(sample, chain, stretches, reach))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, _ = chain.evidence(batch.column(0).to_pylist())
             yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
@@ -322,7 +336,7 @@ def tag(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             scores, p = chain.scores(texts)
             spans = []
@@ -342,7 +356,7 @@ def without_toxic(docs: DataFrame, chain: Chain, limit: float = 0.5) -> DataFram
     text_at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_at):
             scores, _ = chain.scores([t or "" for t in batch.column(text_at).to_pylist()])
             yield batch.filter(pa.array(scores < limit))
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -639,6 +640,29 @@ def test_near_dedup_recall_against_brute_force(spark, real):
     assert gone <= expected and len(gone) >= 0.98 * len(expected) and len(expected) > 60
 
 
+def test_near_dedup_takes_candidates_from_pivot_tables(spark, monkeypatch):
+    """Classes of fingerprints at distance 2 or less are connected by the tables of distances, and the stage asks these."""
+    rng, asked = np.random.default_rng(31), []
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 30)]
+    fps = [b ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 62, (4, 2))] + base + base[:5]
+    edges = simhash.pivot_candidates(spark.createDataFrame(list(enumerate(fps)), "cls long, fp long"))
+    got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
+    expected = brute_components(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2])
+    assert {i: got.get(i, i) for i in range(len(fps))} == expected
+    monkeypatch.setattr(simhash, "links", lambda fps, own=simhash.links: (asked.append(fps.count()), own(fps))[1])
+    text = " ".join(f"w{i}" for i in range(50))
+    kept = simhash.near_dedup(spark.createDataFrame([(1, text), (2, text + " more"), (3, "quite another text")], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and asked == [3]
+
+
+def test_toxicity_works_on_bounded_slices():
+    texts = ["a" * 700_000, None, "b" * 700_000, "c" * 3_000_000, "", "d"]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(toxicity.slices([batch], 1))
+    assert [x for part in parts for x in part.column(0).to_pylist()] == list(range(6))
+    assert [part.num_rows for part in parts] == [2, 1, 1, 2] and not list(toxicity.slices([batch.slice(0, 0)], 1))
+
+
 def test_quality_verdicts_match_brute_force(spark):
     """base_failed by its rule, and kept by the learned list, read off its thresholds in plain Python."""
     sf = "/root/testdata/sf0.01"

@@ -216,3 +216,36 @@ def test_judges_against_rules_with_tests(spark):
     assert a["judge_low"] <= a["judge_agreement"] <= a["judge_high"] and 0 < a["p_value"] <= 1
     none = found["none"]
     assert (none["n"], none["n_no_rule"], none["winner"], none["p_value"], none["rule_low"]) == (0, 60, None, None, None)
+
+
+def test_exact_permutation_draws_nothing_for_larger_groups(spark):
+    """One pass for small groups; a larger one has its number of pairs and null."""
+    d = spark.createDataFrame([(1, 1.0)] * 3 + [(2, float(i % 5)) for i in range(17)] + [(3, 0.0)] * 17, "g int, d double")
+    found = resampling.permutation_exact(d, ["g"], "d")
+    assert {r["g"]: (r["n"], r["p_value"]) for r in found.collect()} == {1: (3, 0.25), 2: (17, None), 3: (17, None)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_flipped_sums_by_bytes_and_words():
+    """Signs of eight differences come from one byte and those of equal ones from words, not from a stream for each; moments are those of random signs."""
+    v, c, draws = np.array([1.0, -2.5, 4.0, 0.5, 3.0]), np.array([1, 12, 13, 200, 5000]), 40_000
+    sums = resampling._flipped_sums(resampling._generator(1, 2), v, c, draws)
+    spread = np.sqrt((v**2 * c).sum())
+    assert abs(sums.mean()) < 5 * spread / np.sqrt(draws) and sums.std() == pytest.approx(spread, rel=0.03)
+    for k in range(5):
+        own = resampling._flipped_sums(resampling._generator(3, k), v[k : k + 1], c[k : k + 1], draws)
+        assert own.std() == pytest.approx(abs(v[k]) * np.sqrt(c[k]), rel=0.03) and np.abs(own).max() <= abs(v[k]) * c[k]
+    few = resampling._flipped_sums(resampling._generator(4), np.array([1.0, 2.0, 4.0]), np.array([1, 1, 1]), draws)
+    values, times = np.unique(few, return_counts=True)
+    assert values.tolist() == [-7, -5, -3, -1, 1, 3, 5, 7] and np.abs(times / draws - 1 / 8).max() < 0.01
+
+
+def test_draws_come_in_short_numbers_and_bounded_parts():
+    class Asked:
+        def integers(self, low, high, size, dtype):
+            asked.append((size, dtype))
+            return rng.integers(low, high, size, dtype=dtype)
+
+    rng, asked, times = np.random.default_rng(8), [], np.array([0, 3, 0, 200_000, 0, 5, 40_000, 0])
+    sums = resampling._drawn_sums(Asked(), times, np.full(1000, 2.0), np.ones(1000, np.int64))
+    assert sums.tolist() == (2.0 * times).tolist() and {d for _, d in asked} == {np.uint16} and sorted(n for n, _ in asked) == [3, 40_005, 200_000]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import table, view
-from ..functions.intervals import wilson_sql
+from ..functions.intervals import rate, wilson_sql
 from ..functions.rules import RULES
 from ..operators import checks, compare, conversations, rates, steps, summary
 from ..sources.traces import judge_runs
@@ -45,8 +45,7 @@ def all_checks(spark, sf_dir):
     )
     made = checks.check_rows(views, ["doc_id", "lang"], checks.standard_checks(["search", "lookup"], most_calls=7))
     passed = checks.all_passed(made, ["doc_id", "lang"])
-    out = rates.rates_by(passed, ["lang"], F.col("all_passed"))
-    return out.join(passed.groupBy("lang").agg(F.sum("n_checks").alias("n_checks")), "lang")
+    return passed.groupBy("lang").agg(*rate(F.col("all_passed")), F.sum("n_checks").alias("n_checks"))
 
 
 @query("""select axis, count(*) as n, count(*) filter (parse_ok and pair_id % 7 <> 0) as n_first_pass, count(*) filter (parse_ok and pair_id % 7 = 0) as n_repaired, count(*) filter (not parse_ok) as n_unparsed,

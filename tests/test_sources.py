@@ -1,6 +1,7 @@
 """Readers: what they take, skip and refuse; streaming."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -184,3 +185,22 @@ def test_metrics_of_a_run_are_replaced(spark):
     traces.write_metrics(rows.where("run_id = '01' and metric = 'a'").withColumn("mean", F.lit(0.75)), path)
     assert sorted(map(tuple, traces.read_metrics(spark, path).select("run_id", "metric", "mean").collect())) == [("01", "a", 0.75), ("r2", "a", 1.0)]
     assert traces.read_metrics(spark, path, ["r2"]).count() == 1
+
+
+def test_hedges_are_counted_as_by_all_patterns():
+    """Patterns that are passed over for want of their words would have found nothing; letters that only folding makes i, s or k too."""
+    patterns = [re.compile(p, re.IGNORECASE) for p in rules.RULES["hedging_token"]]
+    words = "may MAY might could possibly it depends varies varie from person to person by individual consider you want to it's hard difficult to say I'm not sure certain be careful cautious proceed with caution take care everyone is different individual results your mileage worth Often uſually lıkely \u0130t depends per\u017fon ta\u212ae care ta\u212ae none other".split(" ")
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(4000)] + ["", "varie by individual", "it depends", "I'm not sure it may be worth it", "it depend\u017f", "ta\u212ae care", "Generally it\u2019s hard to say; your mileage varies by individual"]
+    for t in texts:
+        assert rules.hedges(t, patterns) == rules.longest_apart(t, patterns), t
+    assert rules.hedges("it depend\u017f", patterns) == 1 and rules.hedges("plain words " * 1000, [None] * 7) == 0
+
+
+def test_all_checks_run_each_pattern_once(spark):
+    """One pass over documents, and each pattern of a check in one place of the plan."""
+    from evalgrove.plans import catalog
+
+    plan = catalog.QUERIES["all_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") == 1 and plan.count("kcal|cal|calories") == 1 and plan.count("must decline") == 1
